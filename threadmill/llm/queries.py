@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality, sharding
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,5 +51,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT over_limit AS kept FROM m"""
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest columns of each row are drawn off first; only they are shuffled."""
+    docs = read(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    return sharding.shard(rows, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    taken = (F.col("size") * F.col("times")).cast("long").alias("taken")
+    return mixing.mix_plan(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", taken)
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op4_quality_rules": op4_quality_rules,
+    "op10_mixing": op10_mixing,
+}
 ORACLES = {"op4_quality_rules": _op4_sql()}
