@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, transducer, wordpieces
 
-WORD = r"[^\x20\x09-\x0D]+"
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str, piece_model: str = PIECE_MODEL) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpieces.token_counts(docs, wordpieces.read_vocabulary(piece_model)).select("doc_id", "n_tokens")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, piece_model: str = PIECE_MODEL) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return transducer.encode_digest(docs, transducer.Transducer.read(piece_model)).drop("text")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     taken = (F.col("size") * F.col("times")).cast("long").alias("taken")
@@ -67,7 +77,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op4_quality_rules": _op4_sql()}
