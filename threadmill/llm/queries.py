@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, transducer, wordpieces
+from . import mixing, quality, sharding, transducer, warc, wordpieces
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -64,6 +64,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, piece_model: str = PIECE_
     return wordpieces.token_counts(docs, wordpieces.read_vocabulary(piece_model)).select("doc_id", "n_tokens")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, piece_model: str = PIECE_MODEL) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return transducer.encode_digest(docs, transducer.Transducer.read(piece_model)).drop("text")
@@ -79,7 +84,15 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op6_warc": op6_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_mixing": op10_mixing,
 }
-ORACLES = {"op4_quality_rules": _op4_sql()}
+ORACLES = {
+    "op4_quality_rules": _op4_sql(),
+    "op6_warc": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN top END AS refers_to, true AS intact FROM (SELECT *, payload_bytes >= 1000 AND page_id <> top AS again FROM m)""",
+}
