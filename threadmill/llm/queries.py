@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, transducer, warc, wordpieces
+from . import mixing, quality, sharding, toxicity, transducer, warc, wordpieces
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -64,6 +64,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, piece_model: str = PIECE_
     return wordpieces.token_counts(docs, wordpieces.read_vocabulary(piece_model)).select("doc_id", "n_tokens")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"))
+    index, prior = toxicity.train(docs, read(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs, index, prior).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(read(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
@@ -84,6 +91,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_mixing": op10_mixing,
