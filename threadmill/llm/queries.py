@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, toxicity, transducer, warc, wordpieces
+from . import mixing, neardup_vectors, quality, sharding, toxicity, transducer, warc, wordpieces
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -59,6 +59,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str, piece_model: str = PIECE_MODEL) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return wordpieces.token_counts(docs, wordpieces.read_vocabulary(piece_model)).select("doc_id", "n_tokens")
@@ -89,6 +93,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_embedding_neardup": op2_embedding_neardup,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
@@ -97,6 +102,12 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 ORACLES = {
+    "op2_embedding_neardup": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
     "op4_quality_rules": _op4_sql(),
     "op6_warc": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 g AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),

@@ -26,8 +26,9 @@ from .textbatch import IS_LEAD, IS_SPACE, LOWER, Slice, slices, span_hash, prefi
 
 #: The bounded sample: at most so many labelled examples of each class are indexed.
 EXAMPLES = 2000
-#: A stem is a feature if it is in so many examples.
-MIN_EXAMPLES = 10
+#: A stem is a feature if at least this share of the examples has it and at most
+#: that share of all documents.
+MIN_SHARE, MAX_SHARE = 0.02, 0.3
 STEM = 4
 NEIGHBOURS = 20
 BLOCK = 32
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
 
     rows = texts.mapInArrow(features, "k bigint, y int, stem bigint, tf bigint")
     rows = written(rows.groupBy("k", "y", "stem").agg(F.max("tf").alias("tf")), "tox-features")
-    common = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(MIN_EXAMPLES, max(1, sum(shares.values()) // 20)))
+    common = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= math.ceil(MIN_SHARE * sum(min(n, examples) for n in shares.values())))
     table = rows.join(common.select("stem"), "stem").toPandas()
     if table.empty:
         return None, prior
@@ -203,7 +204,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     seen = docs.select(F.col(text).alias("text")).mapInArrow(frequencies, "stem bigint, n bigint").groupBy("stem").agg(F.sum("n").alias("n")).toPandas()
     seen = dict(zip(seen["stem"], seen["n"]))
     total = seen.get(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
+    df = np.array([seen.get(i, 0) for i in range(len(vocabulary))])
+    rare = df <= MAX_SHARE * total
+    if not rare.any():
+        return None, prior
+    vocabulary, idf = vocabulary[rare], np.log((1 + total) / (1 + df[rare])) + 1
+    table = table[np.isin(table["stem"].to_numpy(np.int64).view(np.uint64), vocabulary)]
     return _build(table, vocabulary, idf, prior), prior
 
 
