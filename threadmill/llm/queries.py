@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup_vectors, quality, sharding, toxicity, transducer, warc, wordpieces
+from . import mixing, neardup_texts, neardup_vectors, quality, sharding, toxicity, transducer, warc, wordpieces
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -80,6 +80,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_texts.near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, piece_model: str = PIECE_MODEL) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return transducer.encode_digest(docs, transducer.Transducer.read(piece_model)).drop("text")
@@ -98,6 +102,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_mixing": op10_mixing,
 }
