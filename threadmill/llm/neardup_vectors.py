@@ -25,8 +25,8 @@ THRESHOLD = 0.95
 BLOCK_DIMS = 8
 GRID_DIMS = 2
 #: Vectors of one grid cell that meet in one task; larger cells are split.
-CELL_ROWS = 4000
-_ROWS = 512
+CELL_ROWS = 20_000
+_ROWS = 128
 _EPS = 1e-9
 
 
@@ -42,13 +42,13 @@ def blocks(dims: int, threshold: float) -> list[tuple[slice, float]]:
     return [(slice(a, b), (2 - 2 * threshold) * (b - a) / dims) for a, b in zip(cuts, cuts[1:])]
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(threshold: float):
+def _cells(threshold: float, kind: str):
     """Rows of a vector: one for its own cell in each block, and one for each
     neighbouring cell on the upper side, where those of that cell meet it."""
     steps = [s for s in np.ndindex(*[3] * GRID_DIMS)]
@@ -58,10 +58,10 @@ def _cells(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch["vec"].to_pylist()
-            sizes = np.array([len(v) // 8 for v in raw], np.int64)
+            sizes = np.array([len(v) // np.dtype(kind).itemsize for v in raw], np.int64)
             for dims in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dims)
-                x = _unit([raw[i] for i in rows]) @ rotation(int(dims))
+                x = _unit([raw[i] for i in rows], kind) @ rotation(int(dims))
                 for b, (part, budget) in enumerate(blocks(int(dims), threshold)):
                     width = math.sqrt(budget) + _EPS
                     cell = np.floor(x[:, part][:, :GRID_DIMS] / width).astype(np.int64)
@@ -69,9 +69,12 @@ def _cells(threshold: float):
                         at = cell + np.array(step)[: cell.shape[1]]
                         if cell.shape[1] < GRID_DIMS and any(step[cell.shape[1] :]):
                             continue
+                        # No part of a cell across a corner is near to those far from it.
+                        gap = np.where(np.array(step)[: cell.shape[1]] > 0, at * width - x[:, part][:, :GRID_DIMS], np.where(np.array(step)[: cell.shape[1]] < 0, x[:, part][:, :GRID_DIMS] - (at + 1) * width, 0))
+                        close = np.flatnonzero((gap**2).sum(axis=1) <= budget + _EPS)
+                        at, some = at[close], batch.take(pa.array(rows[close]))
                         name = [f"{dims}/{b}/" + ",".join(map(str, c)) for c in at]
-                        some = batch.take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(rows), home)), some["rid"], some["n"], some["vec"]], ["cell", "home", "rid", "n", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(close), home)), some["rid"], some["n"], some["vec"]], ["cell", "home", "rid", "n", "vec"])
 
     return run
 
@@ -89,13 +92,13 @@ def _labels(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return lab
 
 
-def _join_cell(threshold: float):
+def _join_cell(threshold: float, kind: str):
     def run(table: pa.Table) -> pa.Table:
         dims, b, _ = table["cell"][0].as_py().split("/")
         dims, b = int(dims), int(b)
         left, n = np.asarray(table["left"]), np.asarray(table["n"])
         right, rid = np.asarray(table["right"]), np.asarray(table["rid"])
-        x = _unit(table["vec"].to_pylist())
+        x = _unit(table["vec"].to_pylist(), kind)
         y = x @ rotation(dims)
         parts = blocks(dims, threshold)
         sq = np.stack([(y[:, p] ** 2).sum(axis=1) for p, _ in parts])
@@ -146,7 +149,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     forest, never pairs.
     """
     spark = df.sparkSession
-    vec = F.col(vector).cast("array<double>")
+    # Floats travel as floats; every product is formed in double precision.
+    kind = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    vec = F.col(vector) if kind == "<f4" else F.col(vector).cast("array<double>")
     plain = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
     ok = F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & plain, F.lit(False))
     rows = df.select(F.col(key).alias("key"), F.when(ok, vec).alias("v"))
@@ -159,15 +164,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch["v"]
-            flat, offs = np.asarray(v.flatten(), np.float64), np.asarray(v.offsets) - v.offsets[0].as_py()
+            flat, offs = np.asarray(v.flatten()).astype(kind), np.asarray(v.offsets) - v.offsets[0].as_py()
             yield pa.RecordBatch.from_arrays([batch["rid"], batch["n"], pa.array([flat[a:b].tobytes() for a, b in zip(offs, offs[1:])], pa.binary())], ["rid", "n", "vec"])
 
     packed = distinct.select("rid", "n", "v").mapInArrow(pack, "rid bigint, n bigint, vec binary")
-    cells = packed.mapInArrow(_cells(threshold), "cell string, home boolean, rid bigint, n bigint, vec binary")
+    cells = packed.mapInArrow(_cells(threshold, kind), "cell string, home boolean, rid bigint, n bigint, vec binary")
     # Crowded cells: rows are dealt into pieces, and each two pieces meet in a task.
     crowd = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("homes")).where("homes > 0 and rows > 1")
     crowd = written(crowd.select("cell", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("pieces")), "vec-cells")
-    dealt = cells.join(crowd, "cell")
+    # The grid has a few thousand cells however many vectors there are.
+    dealt = cells.join(F.broadcast(crowd), "cell")
     piece = F.pmod(F.xxhash64(F.lit(2), "rid"), F.col("pieces")).cast("int")
     meet = F.sequence(F.lit(0), F.col("pieces") - 1)
     dealt = dealt.withColumn("piece", piece).withColumn("other", F.explode(meet))
@@ -180,7 +186,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     dealt = dealt.where(~F.col("home") | (F.col("side") != "right") | (F.col("l_piece") < F.col("r_piece")))
     left, right = F.col("side").isin("both", "left"), F.col("side").isin("both", "right")
     dealt = dealt.select("cell", "l_piece", "r_piece", left.alias("left"), right.alias("right"), "rid", "n", "vec")
-    found = dealt.groupBy("cell", "l_piece", "r_piece").applyInArrow(_join_cell(threshold), "rid bigint, links bigint, with bigint")
+    found = dealt.groupBy("cell", "l_piece", "r_piece").applyInArrow(_join_cell(threshold, kind), "rid bigint, links bigint, with bigint")
     found = written(found, "vec-links")
 
     roots = connected_components(found.select("rid", "with"), "rid", "with")
