@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup_texts, neardup_vectors, quality, sharding, toxicity, transducer, warc, wordpieces
+from . import mixing, neardup_texts, neardup_vectors, quality, sharding, suffix_dedup, toxicity, transducer, warc, wordpieces
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -89,6 +89,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, piece_model: str = PIECE
     return transducer.encode_digest(docs, transducer.Transducer.read(piece_model)).drop("text")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return docs.select("doc_id", n_bytes.alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     taken = (F.col("size") * F.col("times")).cast("long").alias("taken")
@@ -104,6 +111,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {

@@ -9,6 +9,7 @@ folder below ``/tmp/checkpoints`` is used and removed at exit.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import uuid
 
@@ -42,3 +43,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that are written by now.
+
+    Its cleaner removes them when the driver collects the objects that stood for
+    them, which an idle driver may not do for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
