@@ -123,7 +123,7 @@ def _near(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFr
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, hashes: bool = False) -> DataFrame:
     """key, ``n_shingles`` and ``component_id`` for every row of docs.
 
     Rows link when 100 * intersection >= percent * union of their sets of shingles
@@ -131,8 +131,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     the smallest key that links lead to.  Texts without a word, and nulls, have no
     shingle, link with nothing and are their own component.  Repeated rows and
     copies are equal sets and therefore one component; a null key is a component's
-    id only if no other key is in it.  Other columns are dropped; an empty table
-    stays empty.  Shingles are told apart by 64-bit hashes.
+    id only if no other key is in it.  Other columns are dropped, but with
+    ``hashes`` t1 and t2, two hashes of the text, are returned as well; an empty
+    table stays empty.  Shingles are told apart by 64-bit hashes.
 
     Scale: equal sets are one from the start.  Signatures are summed up (count,
     smallest and largest member) before and after their shuffle, so a signature
@@ -223,7 +224,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     lows = roots.groupBy("root").agg(F.min("low").alias("component"))
     each = roots.join(lows, "root").select("n", "f1", "f2", "component")
     out = sets.join(each, ["n", "f1", "f2"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
+    more = ["t1", "t2"] if hashes else []
+    return out.select(F.col("key").alias(key), *more, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
 
 
 class _Comparer:

@@ -14,6 +14,7 @@ import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -41,8 +42,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Rows of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows as the small side of a join: broadcast if its
+    rows, which are counted, are few, and merged after a shuffle otherwise."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
 
 
 def release(spark: SparkSession) -> None:
