@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import release, written
 from .textbatch import LOWER, Slice, mix, prefix, slices, span_hash
 
 N2 = 3
@@ -184,14 +184,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     sizes = reps.select("rid", F.col("n").alias("size"))
     compare = _Comparer(texts_of, reps, sizes, words, percent)
-    pair = lambda df: df.select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct()
-    compare.add(pair(groups))
+    release(spark)
 
     # Members of the signatures that more than two have.
     many = groups.where("n > 2")
     members = _near(signed, many.select("sig", "lo", F.col("n").alias("members")), ["sig"], many.count()).distinct()
     members = written(members, "dup-members")
-    compare.add(pair(members.where("rid <> lo").select("lo", F.col("rid").alias("hi"))))
+    release(spark)
+
+    # Stars: every member with its signature's smallest.  First each text with the
+    # one that it shares most signatures with, then only what is still apart.
+    star = members.where("rid <> lo").select("lo", "rid").unionByName(groups.where("n = 2").select("lo", F.col("hi").alias("rid")))
+    star = written(star.groupBy("lo", "rid").agg(F.count(F.lit(1)).alias("n")), "dup-stars")
+    best = star.groupBy("rid").agg(F.max_by("lo", F.struct("n", -F.col("lo"))).alias("lo"))
+    compare.add(best.select(F.col("lo").alias("a"), F.col("rid").alias("b")))
+    at = compare.roots()
+    left = star.select(F.col("lo").alias("a"), F.col("rid").alias("b"))
+    for end in ("a", "b"):
+        left = left.join(at.select(F.col("rid").alias(end), F.col("root").alias(f"root_{end}")), end)
+    compare.add(left.where("root_a <> root_b").select("a", "b"))
 
     # Signatures whose members are not yet in one component.  Few members: every
     # two from different components.  Crowded ones: only texts that have as many
@@ -276,6 +287,7 @@ class _Comparer:
 
         both = pairs.join(built.select(F.col("rid").alias("b"), F.col("items").alias("y")), "b").join(built.select(F.col("rid").alias("a"), F.col("items").alias("x")), "a")
         self.links.append(written(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "dup-links"))
+        release(pairs.sparkSession)
 
     def roots(self) -> DataFrame:
         """rid and root of every set, from the links so far."""
