@@ -74,7 +74,7 @@ def _cells(threshold: float, kind: str):
                         close = np.flatnonzero((gap**2).sum(axis=1) <= budget + _EPS)
                         at, some = at[close], batch.take(pa.array(rows[close]))
                         name = [f"{dims}/{b}/" + ",".join(map(str, c)) for c in at]
-                        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(close), home)), some["rid"], some["n"], some["vec"]], ["cell", "home", "rid", "n", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(np.full(len(close), home)), some["rid"], some["n"], some["vec"]], ["cell", "home", "rid", "n", "vec"])
 
     return run
 
