@@ -120,7 +120,7 @@ def signatures(h: np.ndarray, of: np.ndarray, n: np.ndarray, bands: Bands) -> tu
 
 def _near(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
     """left joined with a right side of a known number of rows."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on)
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("shuffle_hash"), on)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, hashes: bool = False) -> DataFrame:

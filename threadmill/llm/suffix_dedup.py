@@ -35,7 +35,7 @@ K = 20
 #: window by window in a distributed aggregation.
 CROWD = 20_000
 BROADCAST_ROWS = 1_000_000
-_CHUNK = 50_000
+_CHUNK = 30_000
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -127,7 +127,8 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k:
     shared = marks.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = written(shared.where("lo < hi").select("h", "n"), "rep-shared")
     release(docs.sparkSession)
-    found = written(marks.join(shared, "h"), "rep-minimizers")
+    # The shared ones are the hash table of each partition; the many others stream by.
+    found = written(marks.join(shared.hint("shuffle_hash"), "h"), "rep-minimizers")
     release(docs.sparkSession)
 
     # What surrounds each occurrence.

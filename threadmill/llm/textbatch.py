@@ -16,7 +16,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: The separators of a word: ``[^\x20\x09-\x0D]+`` is a word.
 IS_SPACE = np.zeros(256, bool)

@@ -225,7 +225,7 @@ def encode(docs: DataFrame, fst: Transducer, text: str = "text", out: str = "ids
         encoder = Encoder(shared.value)
         for column in columns:
             lists: list[np.ndarray] = []
-            for s in slices(pa.array(column, pa.large_string(), from_pandas=True)):
+            for s in slices(pa.array(column, pa.large_string(), from_pandas=True), 1 << 20):
                 ids, at = encoder.encode(s)
                 lists.extend(np.split(ids, at[1:-1]))
             yield pd.Series(lists, dtype=object)
@@ -266,7 +266,7 @@ def encode_digest(docs: DataFrame, fst: Transducer, text: str = "text") -> DataF
         fallback[f.byte_id] = 1
         for column in columns:
             rows: dict[str, list] = {"n_pieces": [], "ids_crc32": [], "n_fallback": [], "round_trip": []}
-            for s in slices(pa.array(column, pa.large_string(), from_pandas=True)):
+            for s in slices(pa.array(column, pa.large_string(), from_pandas=True), 1 << 20):
                 ids, at = encoder.encode(s)
                 body, offs = decode_ids(f, ids, at)
                 raw = ids.astype("<i4").tobytes()

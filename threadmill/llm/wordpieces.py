@@ -104,7 +104,7 @@ class Automaton:
 
 
 def count_slices(automaton: Automaton, column: pa.Array, cache: Cache) -> Iterator[np.ndarray]:
-    for s in slices(column):
+    for s in slices(column, 1 << 20):  # larger slices: each merges its new words into the cache
         start, end, text = s.words
         keys, first, back = np.unique(s.hashes(start, end), return_index=True, return_inverse=True)
         if cache.full:
