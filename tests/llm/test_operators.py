@@ -449,6 +449,6 @@ def test_mix(docs, texts, empty, monkeypatch, rank_rows):
     for s in names:
         mine = [x for x in got if source[x["doc_id"]] == s]
         assert abs(mine[0]["target"] - goal[s]) < 1e-6
-        assert abs(sum(x["times"] * x["size"] for x in mine) - goal[s]) <= 1
+        assert abs(sum(x["times"] * x["size"] for x in mine) - goal[s]) <= 0.01 * goal[s] + 1  # few documents
         assert all(0 <= x["times"] <= 2 for x in mine)
     assert mixing.mix_plan(empty, ["doc_id"]).count() == 0

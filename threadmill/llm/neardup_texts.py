@@ -10,8 +10,9 @@ for each first-level part and each of its subsets of N2 - 1 second-level parts,
 have at least one in common for every similar pair.
 
 There are a few more first-level parts than that needs: similar pairs have
-``spare`` good parts at least.  That allows crowded signatures (a passage that many
-texts share, or nothing at all) to be left aside for texts that have fewer than
+``spare`` good parts, and so signatures in common, at least.  Pairs with fewer are
+dropped before any set is looked at, and crowded signatures (a passage that many
+texts share, or nothing at all) can be left aside for texts that have fewer than
 ``spare`` of them.
 """
 
@@ -47,7 +48,7 @@ class Bands:
             low.append(max(low[-1] + 1, low[-1] * 8 // 5))
         self.low = np.array(low, np.int64)
         self.k = 2 * (self.low[1:] - 1) * (100 - percent) // (100 + percent)
-        self.spare = np.where(self.k < 8, 1, np.where(self.k < 30, 2, 3))
+        self.spare = np.clip(self.k // 8, 1, 8)
         self.parts = self.k // 2 + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -182,8 +183,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     groups = signed.groupBy("sig").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).cast("int").alias("n"))
     groups = written(groups.where("lo <> hi"), "dup-signatures")
 
-    sizes = reps.select("rid", F.col("n").alias("size"))
-    compare = _Comparer(texts_of, reps, sizes, words, percent)
     release(spark)
 
     # Members of the signatures that more than two have.
@@ -192,9 +191,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     members = written(members, "dup-members")
     release(spark)
 
+    two = groups.where("n = 2")
+    held = members.select("sig", "rid").unionByName(two.select("sig", F.col("lo").alias("rid"))).unionByName(two.select("sig", F.col("hi").alias("rid")))
+    spare = F.element_at(F.array(*[F.lit(int(x)) for x in bands.spare]), F.pmod("sig", F.lit(256)).cast("int") + 1)
+    held = written(held.withColumn("spare", spare), "dup-held")
+    compare = _Comparer(texts_of, reps, held, words, percent)
+
     # Stars: every member with its signature's smallest.  First each text with the
     # one that it shares most signatures with, then only what is still apart.
-    star = members.where("rid <> lo").select("lo", "rid").unionByName(groups.where("n = 2").select("lo", F.col("hi").alias("rid")))
+    star = members.where("rid <> lo").select("lo", "rid").unionByName(two.select("lo", F.col("hi").alias("rid")))
     star = written(star.groupBy("lo", "rid").agg(F.count(F.lit(1)).alias("n")), "dup-stars")
     best = star.groupBy("rid").agg(F.max_by("lo", F.struct("n", -F.col("lo"))).alias("lo"))
     compare.add(best.select(F.col("lo").alias("a"), F.col("rid").alias("b")))
@@ -207,7 +212,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # Signatures whose members are not yet in one component.  Few members: every
     # two from different components.  Crowded ones: only texts that have as many
     # of them as a similar pair must share, until that removes no more.
-    spare = F.element_at(F.array(*[F.lit(int(x)) for x in bands.spare]), F.pmod("sig", F.lit(256)).cast("int") + 1)
     for crowded in (False, True):
         roots = compare.roots()
         rest = members.where(F.col("members") > CROWD if crowded else F.col("members") <= CROWD).select("sig", "rid").join(roots, "rid")
@@ -220,7 +224,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                 rest = rest.withColumn("band", F.pmod("sig", F.lit(256))).join(held.where("k >= spare").select("rid", "band"), ["rid", "band"], "left_semi").select("sig", "rid", "root")
             rest = written(rest, "dup-apart")
             left = rest.count()
-            if left == n or not left or not crowded:
+            if not left or not crowded or 0 <= 0.9 * n < left:
                 break
             n = left
         if not left:
@@ -242,13 +246,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 class _Comparer:
     """Compares pairs of sets exactly and keeps the links."""
 
-    def __init__(self, texts_of, reps: DataFrame, sizes: DataFrame, words: int, percent: int):
-        self.texts_of, self.reps, self.sizes, self.words, self.percent = texts_of, reps, sizes, words, percent
+    def __init__(self, texts_of, reps: DataFrame, held: DataFrame, words: int, percent: int):
+        self.texts_of, self.reps, self.held, self.words, self.percent = texts_of, reps, held, words, percent
+        self.sizes = reps.select("rid", F.col("n").alias("size"))
         self.done: list[DataFrame] = []
         self.links: list[DataFrame] = []
 
     def add(self, pairs: DataFrame) -> None:
-        """Compares those of the pairs (a, b) that can be similar by size and were not compared before."""
+        """Compares those of the pairs (a, b) that were not compared before and can be
+        similar by their sizes and by the number of signatures that they share."""
         p = self.percent
         for old in self.done:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -256,6 +262,9 @@ class _Comparer:
         self.done.append(pairs)
         a, b = (self.sizes.select(F.col("rid").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
         pairs = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {p} * greatest(na, nb)").select("a", "b")
+        mine, theirs = self.held.withColumnRenamed("rid", "a"), self.held.select("sig", F.col("rid").alias("b"))
+        shared = pairs.join(mine, "a").join(theirs, ["b", "sig"]).groupBy("a", "b", F.pmod("sig", F.lit(256)).alias("band"))
+        pairs = shared.agg(F.count(F.lit(1)).alias("k"), F.max("spare").alias("spare")).where("k >= spare").select("a", "b").distinct()
         pairs = written(pairs, "dup-pairs")
         need = written(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "dup-needed")
         n = need.count()
