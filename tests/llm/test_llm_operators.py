@@ -243,6 +243,19 @@ def test_nearest_is_exact(labelled):
     assert np.allclose(best, -np.sort(-(q @ full.T), axis=1)[:, : toxicity.NEIGHBOURS], atol=1e-9)
 
 
+def test_rare_toxic_words_are_evidence(spark):
+    """30 toxic of 630 examples, whose toxic words two of them share."""
+    r = random.Random(4)
+    rare = [f"{a}{b}xq" for a in "bcdfg" for b in "aei"]
+    texts = [prose(r, 40, 60) for _ in range(600)] + [" ".join([rare[i // 2]] * 8) + " " + prose(r, 10, 12) for i in range(30)]
+    unseen = [" ".join([w] * 8) + " " + prose(r, 10, 12) for w in rare]
+    docs = spark.createDataFrame(list(enumerate(texts + unseen)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 600)) for i in range(630)], "doc_id long, toxic int")
+    index, prior = toxicity.train(docs, labels, F.lit(True))
+    got = toxicity.score(docs.where("doc_id >= 630"), index, prior).collect()
+    assert all([e["label"] for e in x["evidence"][:2]] == [1, 1] for x in got), got
+
+
 def test_nothing_to_learn_from(labelled):
     docs, labels = labelled
     index, prior = toxicity.train(docs, labels.where("toxic = 0"), F.lit(True))

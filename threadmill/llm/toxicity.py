@@ -11,7 +11,6 @@ calibrated on the examples themselves, each left out of its own vote.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +25,9 @@ from .textbatch import IS_LEAD, IS_SPACE, LOWER, Slice, slices, span_hash, prefi
 
 #: The bounded sample: at most so many labelled examples of each class are indexed.
 EXAMPLES = 2000
-#: A stem is a feature if at least this share of the examples has it and at most
-#: that share of all documents.
-MIN_SHARE, MAX_SHARE = 0.02, 0.3
+#: A stem that any example has is a feature unless more than this share of all
+#: documents has it.
+MAX_SHARE = 0.3
 STEM = 4
 NEIGHBOURS = 20
 BLOCK = 32
@@ -182,11 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
 
     rows = texts.mapInArrow(features, "k bigint, y int, stem bigint, tf bigint")
     rows = written(rows.groupBy("k", "y", "stem").agg(F.max("tf").alias("tf")), "tox-features")
-    common = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= math.ceil(MIN_SHARE * sum(min(n, examples) for n in shares.values())))
-    table = rows.join(common.select("stem"), "stem").toPandas()
-    if table.empty:
+    table = rows.toArrow()
+    if not table.num_rows:
         return None, prior
-    vocabulary = np.sort(table["stem"].unique().astype(np.int64).view(np.uint64))
+    stem = table["stem"].to_numpy().view(np.uint64)
+    vocabulary = np.unique(stem)
     # Document frequencies of those stems over every document.
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -209,34 +208,49 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     if not rare.any():
         return None, prior
     vocabulary, idf = vocabulary[rare], np.log((1 + total) / (1 + df[rare])) + 1
-    table = table[np.isin(table["stem"].to_numpy(np.int64).view(np.uint64), vocabulary)]
-    return _build(table, vocabulary, idf, prior), prior
+    known = np.isin(stem, vocabulary)
+    k, y, tf = (table[c].to_numpy()[known] for c in ("k", "y", "tf"))
+    return _build(k, y, np.searchsorted(vocabulary, stem[known]), tf, vocabulary, idf, prior), prior
 
 
-def _build(table: pd.DataFrame, vocabulary: np.ndarray, idf: np.ndarray, prior: float) -> Index:
-    table = table.assign(term=np.searchsorted(vocabulary, table["stem"].to_numpy(np.int64).view(np.uint64)))
-    table = table.sort_values(["k", "term"])
-    ids, at = np.unique(table["k"].to_numpy(), return_inverse=True)
+def _build(k: np.ndarray, y: np.ndarray, term: np.ndarray, tf: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, prior: float) -> Index:
+    """The index of the examples' entries: key, label, place in the vocabulary, count."""
+    ids, at = np.unique(k, return_inverse=True)
     label = np.zeros(len(ids), np.int64)
-    label[at] = table["y"]
-    full = np.zeros((len(ids), len(vocabulary)))
-    full[at, table["term"]] = (1 + np.log(table["tf"])) * idf[table["term"]]
-    full /= np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-12)
+    label[at] = y
+    value = (1 + np.log(tf)) * idf[term]
+    value /= np.maximum(np.sqrt(np.bincount(at, value**2)), 1e-12)[at]
+
+    def dense(first: int, last: int) -> np.ndarray:
+        """Vectors of the examples first to last - 1; entries are sorted by example."""
+        lo, hi = np.searchsorted(at, [first, last])
+        out = np.zeros((last - first, len(vocabulary)))
+        out[at[lo:hi] - first, term[lo:hi]] = value[lo:hi]
+        return out
+
     # Like examples share a block, so that its maxima bound them closely: a chain
     # of orderings by the examples' products with a few seeded directions.
     rng = np.random.default_rng(3)
-    pivots = full[rng.choice(len(ids), min(16, len(ids)), replace=False)]
-    order = np.lexsort((ids, full @ pivots[0], (full @ pivots.T).argmax(axis=1)))
-    full, ids, label = full[order], ids[order], label[order]
+    near = np.zeros((len(ids), min(16, len(ids))))
+    for j, pivot in enumerate(rng.choice(len(ids), near.shape[1], replace=False)):
+        side = np.zeros(len(vocabulary))
+        side[term[at == pivot]] = value[at == pivot]
+        near[:, j] = np.bincount(at, value * side[term], minlength=len(ids))
+    order = np.lexsort((ids, near[:, 0], near.argmax(axis=1)))
+    ids, label = ids[order], label[order]
+    at = np.argsort(order)[at]
+    entries = np.lexsort((term, at))
+    at, term, value = at[entries], term[entries], value[entries]
     weights, terms, maxima = [], [], []
     for b in range(0, len(ids), BLOCK):
-        part = full[b : b + BLOCK]
+        part = dense(b, min(b + BLOCK, len(ids)))
         maxima.append(part.max(axis=0))
         terms.append(np.flatnonzero(maxima[-1] > 0))
         weights.append(np.ascontiguousarray(part[:, terms[-1]].T))
     index = Index(vocabulary, idf, ids, label, weights, terms, np.stack(maxima, axis=1))
     # Calibration: every example's vote without itself, classes weighted to their shares.
-    vote = np.concatenate([index.votes(*index.nearest(full[i : i + 256], skip=np.arange(i, min(i + 256, len(ids))))) for i in range(0, len(ids), 256)])
+    ranges = [(i, min(i + 256, len(ids))) for i in range(0, len(ids), 256)]
+    vote = np.concatenate([index.votes(*index.nearest(dense(i, j), skip=np.arange(i, j))) for i, j in ranges])
     vote = np.nan_to_num(vote, nan=prior)
     weight = np.where(label == 1, prior / max(1, label.sum()), (1 - prior) / max(1, (1 - label).sum())) * len(label)
     index.slope, index.offset = _calibrate(vote, label, weight)
