@@ -256,6 +256,14 @@ def test_rare_toxic_words_are_evidence(spark):
     assert all([e["label"] for e in x["evidence"][:2]] == [1, 1] for x in got), got
 
 
+def test_a_toxic_text_copied_to_a_third_of_the_rows_is_toxic(labelled):
+    docs, labels = labelled
+    copy = docs.sparkSession.range(1000, 1400).select(F.col("id").alias("doc_id"), F.lit("vile nasty scum vile nasty scum").alias("text"))
+    index, prior = toxicity.train(docs.unionByName(copy), labels.where("doc_id < 600"), F.lit(True))
+    got = toxicity.score(copy, index, prior).collect()
+    assert all(x["predicted"] == 1 and x["evidence"] for x in got)
+
+
 def test_nothing_to_learn_from(labelled):
     docs, labels = labelled
     index, prior = toxicity.train(docs, labels.where("toxic = 0"), F.lit(True))

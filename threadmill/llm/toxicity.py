@@ -25,9 +25,8 @@ from .textbatch import IS_LEAD, IS_SPACE, LOWER, Slice, slices, span_hash, prefi
 
 #: The bounded sample: at most so many labelled examples of each class are indexed.
 EXAMPLES = 2000
-#: A stem that any example has is a feature unless more than this share of all
-#: documents has it.
-MAX_SHARE = 0.3
+#: Letters of a stem.  Every stem that an example has is a feature, however many
+#: documents have it; its document frequency only weighs it.
 STEM = 4
 NEIGHBOURS = 20
 BLOCK = 32
@@ -204,13 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     seen = dict(zip(seen["stem"], seen["n"]))
     total = seen.get(-1, 0)
     df = np.array([seen.get(i, 0) for i in range(len(vocabulary))])
-    rare = df <= MAX_SHARE * total
-    if not rare.any():
-        return None, prior
-    vocabulary, idf = vocabulary[rare], np.log((1 + total) / (1 + df[rare])) + 1
-    known = np.isin(stem, vocabulary)
-    k, y, tf = (table[c].to_numpy()[known] for c in ("k", "y", "tf"))
-    return _build(k, y, np.searchsorted(vocabulary, stem[known]), tf, vocabulary, idf, prior), prior
+    idf = np.log((1 + total) / (1 + df)) + 1
+    k, y, tf = (table[c].to_numpy() for c in ("k", "y", "tf"))
+    return _build(k, y, np.searchsorted(vocabulary, stem), tf, vocabulary, idf, prior), prior
 
 
 def _build(k: np.ndarray, y: np.ndarray, term: np.ndarray, tf: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, prior: float) -> Index:
