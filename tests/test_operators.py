@@ -153,3 +153,10 @@ def test_sources(spark):
     r = D.parse_conversations(spark.createDataFrame([(raw,), ("broken",)], "j string"), "j").collect()
     assert (r[0]["session_id"], r[0]["created_at"], r[0]["tags"], r[0]["language"]) == ("s", None, ["x"], "en")
     assert r[1]["session_id"] is None and r[1]["raw"] == "broken"
+
+
+def test_every_customer_has_a_card_check(spark):
+    ids = [x["c_custkey"] for x in spark.read.parquet(f"{DATA}/customer.parquet").collect()]
+    got = {x["c_custkey"]: x["luhn_digit"] for x in catalog.QUERIES["luhn_cards"](spark, DATA).collect()}
+    folded = lambda c, place: sum(map(int, str(int(c) << place % 2)))
+    assert got == {i: sum(folded(c, k) for k, c in enumerate(reversed(str(i)))) % 10 == 0 for i in ids}
