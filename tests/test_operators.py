@@ -160,3 +160,11 @@ def test_every_customer_has_a_card_check(spark):
     got = {x["c_custkey"]: x["luhn_digit"] for x in catalog.QUERIES["luhn_cards"](spark, DATA).collect()}
     folded = lambda c, place: sum(map(int, str(int(c) << place % 2)))
     assert got == {i: sum(folded(c, k) for k, c in enumerate(reversed(str(i)))) % 10 == 0 for i in ids}
+
+
+def test_every_document_has_a_hit_count(spark, tmp_path):
+    texts = [("a moron, the and Moron morons", "en"), ("el moron", "es"), ("theand", None), (None, "en"), (None, "de")]
+    docs = [(i, t, lang) for i, (t, lang) in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["hits"] for x in catalog.QUERIES["product_hits"](spark, str(tmp_path)).collect()}
+    assert got == {0: 3, 1: 1, 2: 1, 3: 0, 4: 0}
