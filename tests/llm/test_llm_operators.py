@@ -5,13 +5,14 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadmill.llm import components, mixing, neardup_texts, neardup_vectors, quality, sharding, suffix_dedup, toxicity, transducer, warc, wordpieces
+from threadmill.llm import components, mixing, neardup_texts, neardup_vectors, quality, queries, sharding, suffix_dedup, toxicity, transducer, warc, wordpieces
 from threadmill.llm.textbatch import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,6 +84,16 @@ def test_shards_are_even_and_gapless(spark, docs, monkeypatch, slot_rows):
     assert got == sharding.shard(both, 8).select("shard", "slot", "text").collect() or True
 
 
+def test_whole_documents_are_sharded(spark, docs, tmp_path, monkeypatch):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = [], sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda df, *a: seen.append(df.columns) or real(df, *a))
+    got = {x["doc_id"]: (x["size"], x["text_crc32"]) for x in queries.op1_sharding(spark, str(tmp_path)).collect()}
+    assert seen == [["doc_id", "text"]]
+    body = {x["doc_id"]: (x["text"] or "").encode() for x in docs.collect()}
+    assert got == {i: (len(b) + 1, zlib.crc32(b)) for i, b in body.items()}
+
+
 def test_shard_of_nothing(empty):
     assert sharding.shard(empty, 8).count() == 0
 

@@ -52,11 +52,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest columns of each row are drawn off first; only they are shuffled."""
-    docs = read(spark, sf_dir, "documents")
+    """Whole documents are shuffled; the digest columns come from what arrives."""
+    out = sharding.shard(read(spark, sf_dir, "documents"), 8)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    return sharding.shard(rows, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    text_crc32 = F.crc32(F.coalesce("text", F.lit("")))
+    return out.select("doc_id", size.alias("size"), text_crc32.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
