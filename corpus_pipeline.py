@@ -35,10 +35,12 @@ def _same():
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that shares 80 % of its
-    five-word shingles.  Of rows that are equal in doc_id and text, one stays."""
+    """The first document of each group that shares 80 % of its five-word shingles,
+    in the order of doc_id (nulls last) and two hashes of the text.  Of rows that
+    are equal in doc_id and text, one stays."""
     groups = neardup_texts.near_duplicates(docs, words=5, percent=80, hashes=True)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "t1", "t2").distinct()
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+    gone = groups.where(~stays).select("doc_id", "t1", "t2").distinct()
     gone = sized(written(gone, "near-copies"))
     rows = _hashed(docs)
     kept = rows.alias("d").join(gone.alias("r"), _same(), "left_anti")

@@ -147,3 +147,15 @@ def test_pieces_decode_to_the_text(stages):
     want = sorted((x[0], model.decode(model.encode(x[1]))) for x in given)
     assert sorted((x[0], model.decode(list(x[3]))) for x in coded) == want
     assert all(x[2] == len(x[3]) for x in coded)
+
+
+def test_near_copies_without_unique_ids(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(r.choices([f"w{i}" for i in range(400)], k=60)) for _ in range(3))
+    texts = [(None, a), (None, a + " x"), (None, b), (None, b + " x"), (7, c), (7, c + " x"), (7, c + " x"), (9, c + " y"), (7, None), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], SCHEMA)
+    kept = [(x["doc_id"], x["text"]) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    groups = [x for x in kept if x[1]]
+    assert sorted((i, t[:40]) for i, t in groups if i is None) == sorted((None, t[:40]) for t in (a, b))
+    assert [(i, t[:40]) for i, t in groups if i is not None] == [(7, c[:40])]
+    assert (7, None) in kept and len(kept) == 5

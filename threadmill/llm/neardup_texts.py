@@ -133,8 +133,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     shingle, link with nothing and are their own component.  Repeated rows and
     copies are equal sets and therefore one component; a null key is a component's
     id only if no other key is in it.  Other columns are dropped, but with
-    ``hashes`` t1 and t2, two hashes of the text, are returned as well; an empty
-    table stays empty.  Shingles are told apart by 64-bit hashes.
+    ``hashes`` t1 and t2, two hashes of the text, are returned as well, and
+    ``first``: the component's first row as a struct of t1 and t2, in the order of
+    key (nulls last), t1, t2; its key is component_id.  An empty table stays empty.  Shingles are told apart by 64-bit hashes.
 
     Scale: equal sets are one from the start.  Signatures are summed up (count,
     smallest and largest member) before and after their shuffle, so a signature
@@ -163,7 +164,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch["key"], batch["t1"], batch["t2"], *cols], ["key", "t1", "t2", "n", "f1", "f2"])
 
     sets = written(source.mapInArrow(measure, f"key {key_type}, t1 bigint, t2 bigint, n bigint, f1 bigint, f2 bigint"), "dup-sets")
-    reps = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("key").alias("low"), F.min(F.struct("t1", "t2")).alias("t"))
+    reps = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t1", "t2")).alias("low"), F.min(F.struct("t1", "t2")).alias("t"))
     reps = written(reps.select(F.monotonically_increasing_id().alias("rid"), "n", "f1", "f2", "low", "t.t1", "t.t2"), "dup-reps")
     n_reps = reps.count()
 
@@ -236,10 +237,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         compare.add(meet.select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct())
 
     roots = reps.join(compare.roots(), "rid")
-    lows = roots.groupBy("root").agg(F.min("low").alias("component"))
-    each = roots.join(lows, "root").select("n", "f1", "f2", "component")
+    lows = roots.groupBy("root").agg(F.min("low").alias("top"))
+    each = roots.join(lows, "root").select("n", "f1", "f2", F.col("top.key").alias("component"), F.struct("top.t1", "top.t2").alias("first"))
     out = sets.join(each, ["n", "f1", "f2"], "left")
-    more = ["t1", "t2"] if hashes else []
+    first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct(sets["t1"], sets["t2"]))
+    more = ["t1", "t2", first.alias("first")] if hashes else []
     return out.select(F.col("key").alias(key), *more, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
 
 
