@@ -330,9 +330,11 @@ def jaccard_components(texts, words, percent):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("words,percent,crowd", [(4, 85, 16), (5, 80, 16), (3, 60, 2)])
-def test_jaccard_against_brute_force(docs, texts, monkeypatch, words, percent, crowd):
-    monkeypatch.setattr(neardup_texts, "CROWD", crowd)
+@pytest.mark.parametrize("words,percent,small", [(4, 85, False), (5, 80, False), (3, 60, True)])
+def test_jaccard_against_brute_force(docs, texts, monkeypatch, words, percent, small):
+    if small:
+        for name in ("PACK", "TOGETHER", "BUCKET", "HUB", "BATCH"):
+            monkeypatch.setattr(neardup_texts, name, 2)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup_texts.near_duplicates(docs, words=words, percent=percent).collect()}
     assert got == jaccard_components(texts, words, percent)
 
@@ -365,6 +367,24 @@ def test_jaccard_of_nothing_and_null_keys(spark, empty):
     assert got == sorted([(None, 4), (None, 4), (4, 4), (7, 7), (7, 7), (None, None)], key=str)
 
 
+@pytest.mark.parametrize("percent", [70, 85])
+def test_jaccard_of_a_crowded_passage_and_a_large_cluster(spark, percent):
+    """A passage in otherwise different texts, and near copies whose similarity lies about the limit."""
+    r = random.Random(percent)
+    passage = prose(r, 40, 5000)
+    texts = [f"{prose(r, r.randrange(5, 60), 5000)} {passage} {prose(r, r.randrange(0, 30), 5000)}" for _ in range(120)]
+    base = prose(r, 90, 5000).split()
+    for i in range(120):
+        words = list(base)
+        for _ in range(i % 7):
+            words[r.randrange(90)] = f"x{i}y{r.randrange(9)}"
+        texts.append(" ".join(words))
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup_texts.near_duplicates(docs, words=4, percent=percent).collect()}
+    assert got == jaccard_components(texts, 4, percent)
+
+
 # 8. Piece encoding
 
 

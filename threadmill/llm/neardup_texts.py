@@ -9,11 +9,13 @@ and then all but one of its second-level parts are equal.  So the signatures, on
 for each first-level part and each of its subsets of N2 - 1 second-level parts,
 have at least one in common for every similar pair.
 
-There are a few more first-level parts than that needs: similar pairs have
-``spare`` good parts, and so signatures in common, at least.  Pairs with fewer are
-dropped before any set is looked at, and crowded signatures (a passage that many
-texts share, or nothing at all) can be left aside for texts that have fewer than
-``spare`` of them.
+Sets that share a signature are compared with one of them, the one that shares
+most signatures, which unites a group of near copies in a pair for each member.
+Signatures whose members are still apart after that (a passage that many otherwise
+different texts share, near copies of near copies) are not paired out: among their
+members a pair must also share one of its rarest shingles, as two sets that overlap
+in p % cannot differ in all of the first n - p n / 100 + 1 shingles of any common
+order, and the places of that shingle must leave room for the overlap.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +33,25 @@ from .components import connected_components
 from .shared import release, written
 from .textbatch import LOWER, Slice, mix, prefix, slices, span_hash
 
-N2 = 3
-#: Members of a signature that are compared with each other outright.
-CROWD = 16
+N2 = 2
+#: Signatures that a task sorts and packs at once.
+PACK = 1 << 20
+#: Members of a signature within a pack that travel on; of more, the first does,
+#: and the pack's list of them goes its own way.
+TOGETHER = 4
+#: Signatures that meet in one group of the shuffle, about.
+BUCKET = 1 << 19
+#: Members of a hub that are compared in one group.
+HUB = 512
+#: Bytes of sets in a batch.
+BATCH = 1 << 23
 #: Tables of up to so many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
 
 class Bands:
-    """Size bands, and k, first-level parts and spare parts of each."""
+    """Size bands, and k and first-level parts of each."""
 
     def __init__(self, percent: int, largest: int = 1 << 40):
         self.percent = percent
@@ -48,7 +60,7 @@ class Bands:
             low.append(max(low[-1] + 1, low[-1] * 8 // 5))
         self.low = np.array(low, np.int64)
         self.k = 2 * (self.low[1:] - 1) * (100 - percent) // (100 + percent)
-        self.spare = np.clip(self.k // 8, 1, 8)
+        self.spare = np.ones_like(self.k)  # good parts, at least, of a similar pair
         self.parts = self.k // 2 + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -119,9 +131,88 @@ def signatures(h: np.ndarray, of: np.ndarray, n: np.ndarray, bands: Bands) -> tu
     return np.concatenate(sigs), np.concatenate(owner)
 
 
-def _near(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, first all lowest ones: what is alike compresses."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(parts: list[bytes], kind=np.uint64) -> np.ndarray:
+    whole = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel() for x in parts]
+    return np.concatenate([np.zeros(0, kind), *whole])
+
+
+def _in_order(sig: np.ndarray, rid: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by signature and set, each such pair once."""
+    order = np.argsort(sig, kind="stable")
+    sig, rid, flag = sig[order], rid[order], flag[order]
+    same = sig[1:] == sig[:-1]
+    at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    if len(at):
+        turn = at[np.lexsort((-flag[at].astype(np.int8), rid[at], sig[at]))]
+        rid[at], flag[at] = rid[turn], flag[turn]
+        new = np.ones(len(sig), bool)
+        new[1:] = ~same | (rid[1:] != rid[:-1])
+        sig, rid, flag = sig[new], rid[new], flag[new]
+    return sig, rid, flag
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal numbers."""
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(x)))
+
+
+_PACKED = "bucket int, part int, sig binary, rid binary, flag binary"
+
+
+def _pack(sig: np.ndarray, rid: np.ndarray, buckets: int, spread: int) -> pa.RecordBatch:
+    """Rows for the shuffle: signatures and sets of each bucket (part 0), and the
+    lists of those signatures that many sets of this pack share (part 1)."""
+    sig, rid, flag = _in_order(sig, rid, np.zeros(len(sig), np.uint8))
+    start, count = _runs(sig)
+    many = np.repeat(count > TOGETHER, count)
+    go = ~many
+    go[start[count > TOGETHER]] = True
+    flag[many] = 1
+    bucket = (((sig >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+    rows = []
+    at, n = _runs(bucket[go])
+    s, r, f, b = sig[go], rid[go], flag[go], bucket[go]
+    for i, k in zip(at, n):
+        rows.append((int(b[i]), 0, _planes(s[i : i + k]), _planes(r[i : i + k]), f[i : i + k].tobytes()))
+    if many.any():
+        rows.append((spread % buckets, 1, _planes(sig[many]), _planes(rid[many]), b""))
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["bucket", "part", "sig", "rid", "flag"])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Of one bucket: the two sets of a signature that only two have (sig is null,
+    n: how many such signatures), and signature and set of those that more have."""
+    first = table.filter(pa.compute.equal(table["part"], 0))
+    lists = table.filter(pa.compute.equal(table["part"], 1))
+    flag = np.frombuffer(b"".join(first["flag"].to_pylist()), np.uint8)
+    sig, rid, flag = _in_order(_numbers(first["sig"].to_pylist()), _numbers(first["rid"].to_pylist(), np.int64), flag.copy())
+    start, count = _runs(sig)
+    listed = np.maximum.reduceat(flag, start) if len(start) else flag
+    two = start[(count == 2) & (listed == 0)]
+    pair = np.stack([rid[two], rid[two + 1]], axis=1)
+    pair, n = np.unique(pair, axis=0, return_counts=True)
+    more = np.repeat((count > 2) | (count == 2) & (listed > 0), count)
+    sig = np.concatenate([sig[more], _numbers(lists["sig"].to_pylist())])
+    rid = np.concatenate([rid[more], _numbers(lists["rid"].to_pylist(), np.int64)])
+    none = len(pair)
+    return pa.table({
+        "sig": pa.array(np.append(np.zeros(none, np.uint64), sig).view(np.int64), mask=np.arange(none + len(sig)) < none),
+        "a": np.append(pair[:, 0], rid),
+        "b": np.append(pair[:, 1], rid),
+        "n": np.append(n, np.ones(len(sig), np.int64)),
+    })
+
+
+def _near(left: DataFrame, right: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
     """left joined with a right side of a known number of rows."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("shuffle_hash"), on)
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on, how)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, hashes: bool = False) -> DataFrame:
@@ -135,15 +226,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     id only if no other key is in it.  Other columns are dropped, but with
     ``hashes`` t1 and t2, two hashes of the text, are returned as well, and
     ``first``: the component's first row as a struct of t1 and t2, in the order of
-    key (nulls last), t1, t2; its key is component_id.  An empty table stays empty.  Shingles are told apart by 64-bit hashes.
-
-    Scale: equal sets are one from the start.  Signatures are summed up (count,
-    smallest and largest member) before and after their shuffle, so a signature
-    that a third of the texts have weighs no more than another.  Pairs come from
-    stars around a signature's smallest member first; what those connect needs no
-    more pairs.  Only signatures whose members are still in different components
-    compare further.  The sets themselves are only built for texts that share a
-    signature.
+    key (nulls last), t1, t2; its key is component_id.  An empty table stays empty.
+    Shingles are told apart by 64-bit hashes, sets by 128 bits.
+
+    Scale: equal sets are one from the start, and one row of each is signed.
+    Signatures are sorted and packed before their shuffle, and a signature that a
+    third of the texts have sends one row for each pack.  Pairs come from stars;
+    only signatures whose members are still in different components go on, by
+    their members' rarest shingles.  A pair costs the move of one set; a hub's set
+    is repeated once for HUB members.  Quadratic in one case only: unlinked texts
+    that all have about p % of their shingles in common.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -164,147 +256,193 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch["key"], batch["t1"], batch["t2"], *cols], ["key", "t1", "t2", "n", "f1", "f2"])
 
     sets = written(source.mapInArrow(measure, f"key {key_type}, t1 bigint, t2 bigint, n bigint, f1 bigint, f2 bigint"), "dup-sets")
-    reps = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t1", "t2")).alias("low"), F.min(F.struct("t1", "t2")).alias("t"))
-    reps = written(reps.select(F.monotonically_increasing_id().alias("rid"), "n", "f1", "f2", "low", "t.t1", "t.t2"), "dup-reps")
-    n_reps = reps.count()
-
-    def texts_of(rids: DataFrame, rows: int) -> DataFrame:
-        """rid and text of some representatives; a text's copies give the same row again."""
-        return _near(source.drop("key"), rids, ["t1", "t2"], rows).select("rid", "text")
+    reps = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t1", "t2")).alias("low"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("rid"), "n", "f1", "f2", "low"), "dup-reps")
+    n_reps, elements = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows_of = reps.select("rid", F.col("low.key").alias("key"), F.col("low.t1").alias("t1"), F.col("low.t2").alias("t2"))
+
+    def texts_of(wanted: DataFrame | None, rows: int) -> DataFrame:
+        """text, rid and the other columns of ``wanted`` for its sets (none: for all).
+        Only rows that are equal in key and text can give a set twice."""
+        found = rows_of if wanted is None else _near(rows_of, wanted, "rid", rows)
+        r, d = found.withColumnRenamed("key", "k").alias("r"), source.alias("d")
+        same = (F.col("d.t1") == F.col("r.t1")) & (F.col("d.t2") == F.col("r.t2")) & F.col("d.key").eqNullSafe(F.col("r.k"))
+        return _near(d, r, same, rows).select("d.text", *[f"r.{c}" for c in found.columns if c not in ("key", "t1", "t2")])
+
+    # About 2 (100 - p) / (100 + p) signatures for each element, and more for what is in two bands.
+    buckets = max(64, int(4 * elements * (100 - percent) / (100 + percent)) // BUCKET)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, rids, n, turn = [], [], 0, 0
         for batch in batches:
             rid = np.asarray(batch["rid"])
-            for s in slices(batch["text"], 1 << 18):
+            for s in slices(batch["text"]):
                 sig, owner = signatures(*shingle_sets(s, words), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(rid[s.first + owner])], ["sig", "rid"])
-
-    signed = texts_of(reps.select("t1", "t2", "rid"), n_reps).mapInArrow(sign, "sig bigint, rid bigint")
-    # A copy of a text has its text's rid, so copies change neither lo nor hi.
-    groups = signed.groupBy("sig").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).cast("int").alias("n"))
-    groups = written(groups.where("lo <> hi"), "dup-signatures")
-
-    release(spark)
-
-    # Members of the signatures that more than two have.
-    many = groups.where("n > 2")
-    members = _near(signed, many.select("sig", "lo", F.col("n").alias("members")), ["sig"], many.count()).distinct()
-    members = written(members, "dup-members")
+                sigs.append(sig), rids.append(rid[s.first + owner])
+                n += len(sig)
+                if n >= PACK:
+                    turn += 1
+                    yield _pack(np.concatenate(sigs), np.concatenate(rids), buckets, turn * 7919 + int(rids[-1][-1]))
+                    sigs, rids, n = [], [], 0
+        if n:
+            yield _pack(np.concatenate(sigs), np.concatenate(rids), buckets, int(rids[-1][-1]) if len(rids[-1]) else 0)
+
+    packed = texts_of(None, n_reps).mapInArrow(sign, _PACKED)
+    met = packed.groupBy("bucket").applyInArrow(_meet, "sig bigint, a bigint, b bigint, n bigint")
+    met = written(met, "dup-signatures")
     release(spark)
 
-    two = groups.where("n = 2")
-    held = members.select("sig", "rid").unionByName(two.select("sig", F.col("lo").alias("rid"))).unionByName(two.select("sig", F.col("hi").alias("rid")))
-    spare = F.element_at(F.array(*[F.lit(int(x)) for x in bands.spare]), F.pmod("sig", F.lit(256)).cast("int") + 1)
-    held = written(held.withColumn("spare", spare), "dup-held")
-    compare = _Comparer(texts_of, reps, held, words, percent)
-
-    # Stars: every member with its signature's smallest.  First each text with the
-    # one that it shares most signatures with, then only what is still apart.
-    star = members.where("rid <> lo").select("lo", "rid").unionByName(two.select("lo", F.col("hi").alias("rid")))
-    star = written(star.groupBy("lo", "rid").agg(F.count(F.lit(1)).alias("n")), "dup-stars")
-    best = star.groupBy("rid").agg(F.max_by("lo", F.struct("n", -F.col("lo"))).alias("lo"))
-    compare.add(best.select(F.col("lo").alias("a"), F.col("rid").alias("b")))
+    # Each signature's star: around that member which most signatures of several have.
+    members = met.where("sig is not null").select("sig", F.col("a").alias("rid"))
+    drawn = written(members.groupBy("rid").agg(F.count(F.lit(1)).alias("drawn")), "dup-drawn")
+    n_drawn = drawn.count()
+    centre = _near(members, drawn, "rid", n_drawn).groupBy("sig").agg(F.max(F.struct("drawn", (-F.col("rid")).alias("id"))).alias("top"))
+    centre = written(centre.select("sig", (-F.col("top.id")).alias("hub")), "dup-centres")
+    star = _near(members, centre, "sig", centre.count()).where("hub <> rid").groupBy("hub", "rid").agg(F.count(F.lit(1)).alias("n"))
+    two = met.where("sig is null").groupBy(F.col("a").alias("hub"), F.col("b").alias("rid")).agg(F.sum("n").alias("n"))
+    star = written(star.unionByName(two), "dup-stars")
+    compare = _Comparer(texts_of, reps.select("rid"), words, percent)
+    # First each text with the one that it shares most signatures with, then only what is still apart.
+    best = star.groupBy("rid").agg(F.max(F.struct("n", (-F.col("hub")).alias("id"))).alias("top"))
+    compare.add(best.select((-F.col("top.id")).alias("a"), F.col("rid").alias("b")))
     at = compare.roots()
-    left = star.select(F.col("lo").alias("a"), F.col("rid").alias("b"))
+    left = star.select(F.col("hub").alias("a"), F.col("rid").alias("b"))
     for end in ("a", "b"):
-        left = left.join(at.select(F.col("rid").alias(end), F.col("root").alias(f"root_{end}")), end)
+        left = _near(left, at.select(F.col("rid").alias(end), F.col("root").alias(f"root_{end}")), end, n_reps)
     compare.add(left.where("root_a <> root_b").select("a", "b"))
 
-    # Signatures whose members are not yet in one component.  Few members: every
-    # two from different components.  Crowded ones: only texts that have as many
-    # of them as a similar pair must share, until that removes no more.
-    for crowded in (False, True):
-        roots = compare.roots()
-        rest = members.where(F.col("members") > CROWD if crowded else F.col("members") <= CROWD).select("sig", "rid").join(roots, "rid")
-        n = -1
-        while True:
-            apart = rest.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-            rest = rest.join(apart, "sig", "left_semi")
-            if crowded:
-                held = rest.withColumn("spare", spare).groupBy("rid", F.pmod("sig", F.lit(256)).alias("band")).agg(F.count_distinct("sig").alias("k"), F.max("spare").alias("spare"))
-                rest = rest.withColumn("band", F.pmod("sig", F.lit(256))).join(held.where("k >= spare").select("rid", "band"), ["rid", "band"], "left_semi").select("sig", "rid", "root")
-            rest = written(rest, "dup-apart")
-            left = rest.count()
-            if not left or not crowded or 0 <= 0.9 * n < left:
-                break
-            n = left
-        if not left:
-            continue
-        other = rest.select("sig", F.col("rid").alias("rid2"), F.col("root").alias("root2"))
-        meet = rest.join(other, "sig").where("rid < rid2 and root <> root2")
-        if crowded:
-            meet = meet.withColumn("spare", spare).groupBy("rid", "rid2", F.pmod("sig", F.lit(256)).alias("band")).agg(F.count_distinct("sig").alias("k"), F.max("spare").alias("spare")).where("k >= spare")
-        compare.add(meet.select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct())
-
-    roots = reps.join(compare.roots(), "rid")
+    # Members of signatures that are still in different components.
+    at = compare.roots()
+    rooted = _near(members, at, "rid", n_reps)
+    apart = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    apart = written(apart, "dup-apart")
+    left = written(_near(rooted, apart, "sig", apart.count(), "left_semi").select("rid", "root").distinct(), "dup-left")
+    n_left = left.count()
+    if n_left:
+        compare.add(_rare_pairs(texts_of(left, n_left), words, percent))
+
+    roots = _near(reps, compare.roots(), "rid", n_reps)
     lows = roots.groupBy("root").agg(F.min("low").alias("top"))
     each = roots.join(lows, "root").select("n", "f1", "f2", F.col("top.key").alias("component"), F.struct("top.t1", "top.t2").alias("first"))
-    out = sets.join(each, ["n", "f1", "f2"], "left")
+    each = written(each, "dup-components")
+    out = _near(sets, each, ["n", "f1", "f2"], n_reps, "left")
     first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct(sets["t1"], sets["t2"]))
     more = ["t1", "t2", first.alias("first")] if hashes else []
     return out.select(F.col("key").alias(key), *more, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
 
 
+def _rare_pairs(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets with different roots that can be similar by their rarest
+    shingles.  texts: text, rid, root.
+
+    The order is by the number of these sets that have a shingle.  A shingle at
+    place i of a set of n leaves an overlap of n - i at most, and a similar set of m
+    needs (n + m) p / (100 + p), so m is ``most`` at most.
+    """
+    spark = texts.sparkSession
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, root = np.asarray(batch["rid"]), np.asarray(batch["root"])
+            for s in slices(batch["text"]):
+                h, of, size = shingle_sets(s, words)
+                at = s.first + of
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[at], root[at], size[of].astype(np.int64), h.view(np.int64))], ["rid", "root", "n", "item"])
+
+    every = written(texts.mapInArrow(items, "rid bigint, root bigint, n bigint, item bigint"), "dup-elements")
+    common = written(every.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "dup-common")
+    own = _near(every, common, "item", common.count()).groupBy("rid", "root", "n").agg(F.sort_array(F.collect_set(F.struct("df", "item"))).alias("common"))
+    own = own.withColumn("alone", F.col("n") - F.size("common"))
+    reach = F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("alone")
+    early = own.where(reach > 0).select("rid", "root", "n", "alone", F.posexplode(F.slice("common", F.lit(1), reach.cast("int"))).alias("place", "one"))
+    most = F.floor((F.col("n") - F.col("alone") - F.col("place")) * (100 + percent) / percent) - F.col("n")
+    early = early.select(F.col("one.item").alias("item"), "rid", "root", "n", most.cast("long").alias("most")).where(f"100 * most >= {percent} * n")
+    early = written(early, "dup-early")
+    # What the largest component has under a shingle meets only what others have.
+    held = early.groupBy("item", "root").agg(F.count(F.lit(1)).alias("k"))
+    held = held.groupBy("item").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("top")).where("roots > 1")
+    held = written(held.select("item", F.col("top.root").alias("major")), "dup-held")
+    early = written(_near(early, held, "item", held.count()), "dup-met")
+    release(spark)
+    x, y = early.where("root <> major").alias("x"), early.alias("y")
+    fits = F.expr(f"x.item = y.item AND x.root <> y.root AND x.n <= y.most AND y.n <= x.most AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    return x.join(y, fits).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+
+
 class _Comparer:
     """Compares pairs of sets exactly and keeps the links."""
 
-    def __init__(self, texts_of, reps: DataFrame, held: DataFrame, words: int, percent: int):
-        self.texts_of, self.reps, self.held, self.words, self.percent = texts_of, reps, held, words, percent
-        self.sizes = reps.select("rid", F.col("n").alias("size"))
+    def __init__(self, texts_of, every: DataFrame, words: int, percent: int):
+        self.texts_of, self.every, self.words, self.percent = texts_of, every, words, percent
         self.done: list[DataFrame] = []
         self.links: list[DataFrame] = []
 
     def add(self, pairs: DataFrame) -> None:
-        """Compares those of the pairs (a, b) that were not compared before and can be
-        similar by their sizes and by the number of signatures that they share."""
-        p = self.percent
+        """Compares those of the pairs (a, b) that were not compared before.  a: the
+        hub, whose set meets those of its b's in groups of about HUB."""
+        pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
         for old in self.done:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = written(pairs, "dup-pairs")
-        self.done.append(pairs)
-        a, b = (self.sizes.select(F.col("rid").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {p} * greatest(na, nb)").select("a", "b")
-        mine, theirs = self.held.withColumnRenamed("rid", "a"), self.held.select("sig", F.col("rid").alias("b"))
-        shared = pairs.join(mine, "a").join(theirs, ["b", "sig"]).groupBy("a", "b", F.pmod("sig", F.lit(256)).alias("band"))
-        pairs = shared.agg(F.count(F.lit(1)).alias("k"), F.max("spare").alias("spare")).where("k >= spare").select("a", "b").distinct()
-        pairs = written(pairs, "dup-pairs")
-        need = written(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "dup-needed")
-        n = need.count()
-        if not n:
+            pairs = pairs.join(old, ["x", "y"], "left_anti")
+        pairs = written(pairs.groupBy("x", "y").agg(F.min("a").alias("a")).select("x", "y", "a", (F.col("x") + F.col("y") - F.col("a")).alias("b")), "dup-pairs")
+        self.done.append(pairs.select("x", "y"))
+        hubs = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("blocks")), "dup-hubs")
+        n_hubs = hubs.count()
+        if not n_hubs:
             return
-        words = self.words
+        parts = _near(pairs, hubs, "a", n_hubs).select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+        mine = parts.select(F.col("b").alias("rid"), F.col("a").alias("hub"), "block")
+        theirs = hubs.select(F.col("a").alias("rid"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        roles = mine.unionByName(theirs).groupBy("rid").agg(F.collect_list(F.struct("hub", "block")).alias("roles"))
+        roles = written(roles, "dup-roles")
+        words, p = self.words, self.percent
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for s in slices(batch["text"], 1 << 18):
+                rid, given = np.asarray(batch["rid"]), batch["roles"]
+                offs, flat = np.asarray(given.offsets), given.values
+                hub, block = np.asarray(flat.field("hub")), np.asarray(flat.field("block"))
+                for s in slices(batch["text"]):
                     h, _, size = shingle_sets(s, words)
-                    cuts = np.cumsum(size)
-                    parts = [h[i - k : i].tobytes() for i, k in zip(cuts, size)]
-                    yield pa.RecordBatch.from_arrays([batch["rid"].slice(s.first, s.n), pa.array(parts, pa.binary())], ["rid", "items"])
-
-        wanted = self.reps.join(need, "rid").select("rid", "t1", "t2")
-        texts = self.texts_of(wanted, n).dropDuplicates(["rid"])
-        built = written(texts.mapInArrow(build, "rid bigint, items binary"), "dup-items")
+                    cuts = np.append(0, np.cumsum(size))
+                    at = np.arange(offs[s.first], offs[s.first + s.n])
+                    of = np.repeat(np.arange(s.n), np.diff(offs[s.first : s.first + s.n + 1]))
+                    # Sets that many groups need are repeated, in batches of bounded bytes.
+                    turn = np.cumsum(size[of] * 8) // BATCH
+                    for _, rows in zip(*np.unique(turn, return_index=True)) if len(of) else ():
+                        rows = np.flatnonzero(turn == turn[rows])
+                        items = [h[cuts[i] : cuts[i + 1]].tobytes() for i in of[rows]]
+                        yield pa.RecordBatch.from_arrays([pa.array(hub[at[rows]]), pa.array(block[at[rows]]), pa.array(rid[s.first + of[rows]]), pa.array(items, pa.binary())], ["hub", "block", "rid", "items"])
+
+        built = self.texts_of(roles, roles.count()).mapInArrow(build, "hub bigint, block int, rid bigint, items binary")
+        built = built.repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("rid") != F.col("hub"))
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, x = None, np.zeros(0, np.uint64)
             for batch in batches:
-                good = []
-                for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    both = int((x[at] == y).sum())
-                    good.append(100 * both >= p * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-        both = pairs.join(built.select(F.col("rid").alias("b"), F.col("items").alias("y")), "b").join(built.select(F.col("rid").alias("a"), F.col("items").alias("x")), "a")
-        self.links.append(written(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "dup-links"))
+                hub, block, rid = (np.asarray(batch[c]) for c in ("hub", "block", "rid"))
+                links = []
+                sets = batch["items"]
+                offs = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1] // 8
+                flat = np.frombuffer(sets.buffers()[2], np.uint8)[: 8 * int(offs[-1])].view(np.uint64) if len(sets) else x[:0]
+                edges = np.flatnonzero((hub[1:] != hub[:-1]) | (block[1:] != block[:-1])) + 1
+                for i, j in zip(np.append(0, edges), np.append(edges, len(hub))):
+                    if i < j and (hub[i], block[i]) != now:
+                        now, x = (hub[i], block[i]), flat[offs[i] : offs[i + 1]].copy()
+                    y, size = flat[offs[i] : offs[j]], np.diff(offs[i : j + 1])
+                    hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    both = np.diff(np.append(0, np.cumsum(hit))[np.append(0, np.cumsum(size))])
+                    good = (100 * both >= p * (len(x) + size - both)) & (rid[i:j] != hub[i])
+                    links.append(rid[i:j][good]), links.append(hub[i:j][good])
+                a, b = np.concatenate([rid[:0], *links[1::2]]), np.concatenate([rid[:0], *links[::2]])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        self.links.append(written(built.mapInArrow(verify, "a bigint, b bigint"), "dup-links"))
         release(pairs.sparkSession)
 
     def roots(self) -> DataFrame:
         """rid and root of every set, from the links so far."""
-        every = self.sizes.select("rid")
         if not self.links:
-            return every.withColumn("root", F.col("rid"))
+            return self.every.withColumn("root", F.col("rid"))
         found = connected_components(reduce(DataFrame.unionByName, self.links))
-        joined = every.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"))
+        joined = self.every.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"))
         return written(joined, "dup-roots")
