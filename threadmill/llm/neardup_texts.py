@@ -33,7 +33,11 @@ from .components import connected_components
 from .shared import release, written
 from .textbatch import LOWER, Slice, mix, prefix, slices, span_hash
 
-N2 = 2
+N2 = 3
+#: First-level parts beyond k / 2: so many parts of a similar pair have one difference
+#: at most.  A set with fewer parts of which a signature covers no shingle at all does
+#: without those signatures, which unlike sets share.
+SPARE = 2
 #: Signatures that a task sorts and packs at once.
 PACK = 1 << 20
 #: Members of a signature within a pack that travel on; of more, the first does,
@@ -51,30 +55,37 @@ _U = np.uint64
 
 
 class Bands:
-    """Size bands, and k and first-level parts of each."""
+    """Size bands, and bridges across their edges for pairs from two of them; k and
+    first-level parts of each.  A bridge only holds sets that have a partner in
+    size on the other side, so its k is small."""
 
     def __init__(self, percent: int, largest: int = 1 << 40):
-        self.percent = percent
+        self.percent = p = percent
         low = [1]
         while low[-1] <= largest:
-            low.append(max(low[-1] + 1, low[-1] * 8 // 5))
+            low.append(max(low[-1] + 1, low[-1] * 8 // 5, low[-1] * 100 // p + 1))
         self.low = np.array(low, np.int64)
-        self.k = 2 * (self.low[1:] - 1) * (100 - percent) // (100 + percent)
-        self.spare = np.ones_like(self.k)  # good parts, at least, of a similar pair
-        self.parts = self.k // 2 + self.spare
+        self.bridge = len(low)  # number of the first bridge, at the edge low[1]
+        within = 2 * (self.low[1:] - 1) * (100 - p) // (100 + p)
+        across = (self.low[1:] - 1) * (100 - p) // p
+        self.k = np.concatenate([within, [0], across])
+        self.parts = self.k // 2 + SPARE
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, n, side="right") - 1
 
     def memberships(self, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Sets and the band in which they are signed: their own, and the next
-        where a similar set may be in that.  Bands whose k is 0 need no signature
-        (equal sets are one already)."""
-        band = self.of(n)
-        own = np.flatnonzero((n > 0) & (self.k[band] > 0))
-        yield own, band[own]
-        up = np.flatnonzero((n > 0) & (100 * n >= self.percent * self.low[band + 1]) & (self.k[band + 1] > 0))
-        yield up, band[up] + 1
+        """Sets and the band or bridge in which they are signed.  Where k is 0 no
+        signature is needed (equal sets are one already)."""
+        p, band = self.percent, self.of(n)
+        below, above = self.low[band], self.low[band + 1]
+        for sets, number in (
+            (n > 0, band),
+            ((n > 0) & (100 * n >= p * above), self.bridge + band),
+            ((n > 0) & (band > 0) & (p * n <= 100 * (below - 1)), self.bridge + band - 1),
+        ):
+            at = np.flatnonzero(sets & (self.k[number] > 0))
+            yield at, number[at]
 
 
 def shingle_sets(s: Slice, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +115,7 @@ def shingle_sets(s: Slice, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def signatures(h: np.ndarray, of: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each set, and the set each belongs to; the low byte is the band."""
+    """Signatures of each set, and the set each belongs to; the low byte is the band or bridge."""
     first = np.cumsum(n) - n
     sigs, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for sets, band in bands.memberships(n):
@@ -119,15 +130,20 @@ def signatures(h: np.ndarray, of: np.ndarray, n: np.ndarray, bands: Bands) -> tu
         one = ((place >> _U(32)) * parts[row].astype(np.uint64)) >> _U(32)
         two = ((place & _U(0xFFFFFFFF)) * _U(N2)) >> _U(32)
         cell = np.zeros(int(parts.sum()) * N2, np.uint64)
-        np.add.at(cell, (base[row] + one.astype(np.int64)) * N2 + two.astype(np.int64), mix(x))
+        at = (base[row] + one.astype(np.int64)) * N2 + two.astype(np.int64)
+        np.add.at(cell, at, mix(x))
+        held = np.bincount(at, minlength=len(cell)).reshape(-1, N2)
         cell = cell.reshape(-1, N2)
         member = np.repeat(np.arange(len(sets)), parts)
         number = np.arange(len(member)) - base[member]
         name = mix((band[member] * (1 << 40) + number * N2)[:, None] + np.arange(N2)[None, :])
         sig = mix((cell.sum(axis=1, dtype=np.uint64)[:, None] - cell) + name)
         sig = (sig & _U(0xFFFFFFFFFFFFFF00)) | (band[member].astype(np.uint64) & _U(0xFF))[:, None]
-        sigs.append(sig.ravel())
-        owner.append(np.repeat(sets[member], N2))
+        bare = held.sum(axis=1)[:, None] == held
+        few = np.bincount(member, bare.any(axis=1), len(sets)) < SPARE
+        stay = ~(bare & few[member][:, None])
+        sigs.append(sig[stay])
+        owner.append(np.repeat(sets[member], N2).reshape(-1, N2)[stay])
     return np.concatenate(sigs), np.concatenate(owner)
 
 
@@ -269,8 +285,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         same = (F.col("d.t1") == F.col("r.t1")) & (F.col("d.t2") == F.col("r.t2")) & F.col("d.key").eqNullSafe(F.col("r.k"))
         return _near(d, r, same, rows).select("d.text", *[f"r.{c}" for c in found.columns if c not in ("key", "t1", "t2")])
 
-    # About 2 (100 - p) / (100 + p) signatures for each element, and more for what is in two bands.
-    buckets = max(64, int(4 * elements * (100 - percent) / (100 + percent)) // BUCKET)
+    # About N2 k / 2 signatures for a set in its band and, most often, one bridge.
+    buckets = max(64, int(2 * N2 * elements * (100 - percent) / (100 + percent)) // BUCKET)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, rids, n, turn = [], [], 0, 0
@@ -301,7 +317,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     star = _near(members, centre, "sig", centre.count()).where("hub <> rid").groupBy("hub", "rid").agg(F.count(F.lit(1)).alias("n"))
     two = met.where("sig is null").groupBy(F.col("a").alias("hub"), F.col("b").alias("rid")).agg(F.sum("n").alias("n"))
     star = written(star.unionByName(two), "dup-stars")
-    compare = _Comparer(texts_of, reps.select("rid"), words, percent)
+    compare = _Comparer(texts_of, reps.select("rid", "n"), n_reps, words, percent)
     # First each text with the one that it shares most signatures with, then only what is still apart.
     best = star.groupBy("rid").agg(F.max(F.struct("n", (-F.col("hub")).alias("id"))).alias("top"))
     compare.add(best.select((-F.col("top.id")).alias("a"), F.col("rid").alias("b")))
@@ -372,14 +388,18 @@ def _rare_pairs(texts: DataFrame, words: int, percent: int) -> DataFrame:
 class _Comparer:
     """Compares pairs of sets exactly and keeps the links."""
 
-    def __init__(self, texts_of, every: DataFrame, words: int, percent: int):
-        self.texts_of, self.every, self.words, self.percent = texts_of, every, words, percent
+    def __init__(self, texts_of, sizes: DataFrame, rows: int, words: int, percent: int):
+        self.texts_of, self.sizes, self.rows, self.words, self.percent = texts_of, sizes, rows, words, percent
         self.done: list[DataFrame] = []
         self.links: list[DataFrame] = []
 
     def add(self, pairs: DataFrame) -> None:
-        """Compares those of the pairs (a, b) that were not compared before.  a: the
-        hub, whose set meets those of its b's in groups of about HUB."""
+        """Compares those of the pairs (a, b) that were not compared before and can be
+        similar by their sizes.  a: the hub, whose set meets those of its b's in groups
+        of about HUB."""
+        for end in ("a", "b"):
+            pairs = _near(pairs, self.sizes.select(F.col("rid").alias(end), F.col("n").alias(f"n_{end}")), end, self.rows)
+        pairs = pairs.where(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)").select("a", "b")
         pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
         for old in self.done:
             pairs = pairs.join(old, ["x", "y"], "left_anti")
@@ -441,8 +461,9 @@ class _Comparer:
 
     def roots(self) -> DataFrame:
         """rid and root of every set, from the links so far."""
+        every = self.sizes.select("rid")
         if not self.links:
-            return self.every.withColumn("root", F.col("rid"))
+            return every.withColumn("root", F.col("rid"))
         found = connected_components(reduce(DataFrame.unionByName, self.links))
-        joined = self.every.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"))
+        joined = every.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"))
         return written(joined, "dup-roots")
