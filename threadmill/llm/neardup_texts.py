@@ -30,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .packing import numbers, planes, runs
 from .shared import release, written
 from .textbatch import LOWER, Slice, mix, prefix, slices, span_hash
 
 N2 = 3
-#: First-level parts beyond k / 2: so many parts of a similar pair have one difference
-#: at most.  A set with fewer parts of which a signature covers no shingle at all does
-#: without those signatures, which unlike sets share.
-SPARE = 2
+#: First-level parts beyond k / 2, and one more for so many of k: so many parts of a
+#: similar pair have one difference at most.  A set with fewer parts of which a
+#: signature covers no shingle at all does without those signatures, which unlike
+#: sets share.
+SPARE, SPARE_K = 2, 16
 #: Signatures that a task sorts and packs at once.
 PACK = 1 << 20
 #: Members of a signature within a pack that travel on; of more, the first does,
@@ -69,7 +71,8 @@ class Bands:
         within = 2 * (self.low[1:] - 1) * (100 - p) // (100 + p)
         across = (self.low[1:] - 1) * (100 - p) // p
         self.k = np.concatenate([within, [0], across])
-        self.parts = self.k // 2 + SPARE
+        self.spare = SPARE + self.k // SPARE_K
+        self.parts = self.k // 2 + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, n, side="right") - 1
@@ -140,23 +143,13 @@ def signatures(h: np.ndarray, of: np.ndarray, n: np.ndarray, bands: Bands) -> tu
         sig = mix((cell.sum(axis=1, dtype=np.uint64)[:, None] - cell) + name)
         sig = (sig & _U(0xFFFFFFFFFFFFFF00)) | (band[member].astype(np.uint64) & _U(0xFF))[:, None]
         bare = held.sum(axis=1)[:, None] == held
-        few = np.bincount(member, bare.any(axis=1), len(sets)) < SPARE
+        few = np.bincount(member, bare.any(axis=1), len(sets)) < bands.spare[band]
         stay = ~(bare & few[member][:, None])
         sigs.append(sig[stay])
         owner.append(np.repeat(sets[member], N2).reshape(-1, N2)[stay])
     return np.concatenate(sigs), np.concatenate(owner)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of 64-bit numbers, first all lowest ones: what is alike compresses."""
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _numbers(parts: list[bytes], kind=np.uint64) -> np.ndarray:
-    whole = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel() for x in parts]
-    return np.concatenate([np.zeros(0, kind), *whole])
-
-
 def _in_order(sig: np.ndarray, rid: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by signature and set, each such pair once."""
     order = np.argsort(sig, kind="stable")
@@ -172,12 +165,6 @@ def _in_order(sig: np.ndarray, rid: np.ndarray, flag: np.ndarray) -> tuple[np.nd
     return sig, rid, flag
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of each run of equal numbers."""
-    start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-    return start, np.diff(np.append(start, len(x)))
-
-
 _PACKED = "bucket int, part int, sig binary, rid binary, flag binary"
 
 
@@ -185,19 +172,19 @@ def _pack(sig: np.ndarray, rid: np.ndarray, buckets: int, spread: int) -> pa.Rec
     """Rows for the shuffle: signatures and sets of each bucket (part 0), and the
     lists of those signatures that many sets of this pack share (part 1)."""
     sig, rid, flag = _in_order(sig, rid, np.zeros(len(sig), np.uint8))
-    start, count = _runs(sig)
+    start, count = runs(sig)
     many = np.repeat(count > TOGETHER, count)
     go = ~many
     go[start[count > TOGETHER]] = True
     flag[many] = 1
     bucket = (((sig >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
     rows = []
-    at, n = _runs(bucket[go])
+    at, n = runs(bucket[go])
     s, r, f, b = sig[go], rid[go], flag[go], bucket[go]
     for i, k in zip(at, n):
-        rows.append((int(b[i]), 0, _planes(s[i : i + k]), _planes(r[i : i + k]), f[i : i + k].tobytes()))
+        rows.append((int(b[i]), 0, planes(s[i : i + k]), planes(r[i : i + k]), f[i : i + k].tobytes()))
     if many.any():
-        rows.append((spread % buckets, 1, _planes(sig[many]), _planes(rid[many]), b""))
+        rows.append((spread % buckets, 1, planes(sig[many]), planes(rid[many]), b""))
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["bucket", "part", "sig", "rid", "flag"])
 
@@ -208,15 +195,15 @@ def _meet(table: pa.Table) -> pa.Table:
     first = table.filter(pa.compute.equal(table["part"], 0))
     lists = table.filter(pa.compute.equal(table["part"], 1))
     flag = np.frombuffer(b"".join(first["flag"].to_pylist()), np.uint8)
-    sig, rid, flag = _in_order(_numbers(first["sig"].to_pylist()), _numbers(first["rid"].to_pylist(), np.int64), flag.copy())
-    start, count = _runs(sig)
+    sig, rid, flag = _in_order(numbers(first["sig"].to_pylist()), numbers(first["rid"].to_pylist(), np.int64), flag.copy())
+    start, count = runs(sig)
     listed = np.maximum.reduceat(flag, start) if len(start) else flag
     two = start[(count == 2) & (listed == 0)]
     pair = np.stack([rid[two], rid[two + 1]], axis=1)
     pair, n = np.unique(pair, axis=0, return_counts=True)
     more = np.repeat((count > 2) | (count == 2) & (listed > 0), count)
-    sig = np.concatenate([sig[more], _numbers(lists["sig"].to_pylist())])
-    rid = np.concatenate([rid[more], _numbers(lists["rid"].to_pylist(), np.int64)])
+    sig = np.concatenate([sig[more], numbers(lists["sig"].to_pylist())])
+    rid = np.concatenate([rid[more], numbers(lists["rid"].to_pylist(), np.int64)])
     none = len(pair)
     return pa.table({
         "sig": pa.array(np.append(np.zeros(none, np.uint64), sig).view(np.int64), mask=np.arange(none + len(sig)) < none),
