@@ -23,17 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import numbers, planes, runs
 from .shared import release, written
 from .textbatch import Slice, mix, powers, slices
 
 LENGTH = 50
 K = 20
-#: Occurrences of a minimizer that one task sorts together; more are compared
-#: window by window in a distributed aggregation.
+#: Occurrences of a minimizer that one task sorts together.  Of more, equal contexts
+#: are one first, and what is left compares the bytes of its windows in a
+#: distributed aggregation.
 CROWD = 20_000
+#: Minimizers that a task sorts and packs at once, and that meet in one group of the
+#: shuffle, about.
+PACK = 1 << 20
+BUCKET = 1 << 19
 BROADCAST_ROWS = 1_000_000
 _CHUNK = 30_000
 _U = np.uint64
@@ -99,40 +105,85 @@ def sort_columns(symbols: np.ndarray, group: np.ndarray, doc: np.ndarray, length
     return low, high
 
 
+_PACKED = "bucket int, h binary, tid binary, back binary, pos binary"
+
+
+def _pack(h: np.ndarray, tid: np.ndarray, back: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of minimizers, sorted, with the bytes of alike numbers side by side."""
+    order = np.argsort(h, kind="stable")
+    h, tid, back, pos = h[order], tid[order], back[order], pos[order]
+    bucket = (((h >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+    start, count = runs(bucket)
+    cols = [[planes(x[i : i + n]) for i, n in zip(start, count)] for x in (h, tid, back, pos)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "h", "tid", "back", "pos"])
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """The minimizers of one bucket that texts of at least two keys have; each place once."""
+    h = numbers(table["h"].to_pylist())
+    tid, back, pos = (numbers(table[c].to_pylist(), np.int64) for c in ("tid", "back", "pos"))
+    order = np.argsort(h, kind="stable")
+    h, tid, back, pos = h[order], tid[order], back[order], pos[order]
+    start, count = runs(h)
+    if len(h):
+        of = tid - back
+        more = np.repeat(np.minimum.reduceat(of, start) < np.maximum.reduceat(of, start), count)
+        h, tid, back, pos = h[more], tid[more], back[more], pos[more]
+        order = np.lexsort((pos, tid, h))
+        h, tid, back, pos = h[order], tid[order], back[order], pos[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1])
+        h, tid, pos = h[new], tid[new], pos[new]
+    start, count = runs(h)
+    return pa.table({"h": h.view(np.int64), "tid": tid, "pos": pos.astype(np.int32), "n": np.repeat(count, count).astype(np.int64)})
+
+
+def _near(left: DataFrame, right: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
+    """left joined with a right side of a known number of rows."""
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on, how)
+
+
 def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(classes, spans): t1, t2, first and sub of every distinct text that is not null
-    (first: the smallest key that has it, sub: to tell texts of one key apart), and
-    first, sub, start, end of what earlier documents have of it."""
+    """(classes, spans): t1, t2, first (the smallest key that has it) and tid of every
+    distinct text of at least ``length`` bytes, and tid, start and end of the maximal
+    runs of what texts of smaller keys have of it."""
     k = min(k, length)
     around = length - k
+    spark = docs.sparkSession
     source = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-    source = source.where("doc is not null and text is not null")
-    classes = source.groupBy("t1", "t2").agg(F.min("doc").alias("first"))
-    by_key = Window.partitionBy("first").orderBy("t1", "t2")
-    classes = written(classes.withColumn("sub", (F.row_number().over(by_key) - 1).cast("int")), "rep-classes")
-    n = classes.count()
-    kind = classes.schema["first"].dataType.simpleString()
-    ones = classes.select("t1", "t2", F.col("first").alias("doc"), "sub")
+    source = source.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
+    found = source.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.max(F.octet_length("text")).alias("size"))
+    # Numbers in the order of keys; back: how many texts of the same key come before.
+    found = found.repartitionByRange("first", "t1", "t2").sortWithinPartitions("first", "t1", "t2")
+    found = written(found.withColumn("tid", F.monotonically_increasing_id()), "rep-texts")
+    lowest = found.groupBy("first").agg(F.min("tid").alias("low"))
+    classes = written(found.join(lowest, "first").select("t1", "t2", "first", "size", "tid", (F.col("tid") - F.col("low")).alias("back")), "rep-classes")
+    n, size = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ones = classes.select("t1", "t2", F.col("first").alias("doc"), "tid", "back")
     # Only the first document of each text: copies are known to be repeats.
-    firsts = source.join(F.broadcast(ones) if n <= BROADCAST_ROWS else ones.hint("merge"), ["t1", "t2", "doc"]).select("doc", "sub", "text")
+    firsts = _near(source, ones, ["t1", "t2", "doc"], n).select("tid", "back", "text")
+    buckets = max(64, int(2 * size / (length - k + 2)) // BUCKET)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
+            tid, back = np.asarray(batch["tid"]), np.asarray(batch["back"])
             for s in slices(batch["text"]):
                 h, at, pos = minimizers(s, length, k)
-                row = pa.array(s.first + at)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch["doc"].take(row), batch["sub"].take(row), pa.array(pos.astype(np.int32))], ["h", "doc", "sub", "pos"])
-
-    marks = firsts.mapInArrow(mark, f"h bigint, doc {kind}, sub int, pos int")
-    shared = marks.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
-    shared = written(shared.where("lo < hi").select("h", "n"), "rep-shared")
-    release(docs.sparkSession)
-    # The shared ones are the hash table of each partition; the many others stream by.
-    found = written(marks.join(shared.hint("shuffle_hash"), "h"), "rep-minimizers")
-    release(docs.sparkSession)
+                held.append((h, tid[s.first + at], back[s.first + at], pos))
+                n += len(h)
+                if n >= PACK:
+                    yield _pack(*map(np.concatenate, zip(*held)), buckets)
+                    held, n = [], 0
+        if n:
+            yield _pack(*map(np.concatenate, zip(*held)), buckets)
+
+    marks = firsts.mapInArrow(mark, _PACKED).groupBy("bucket").applyInArrow(_shared, "h bigint, tid bigint, pos int, n bigint")
+    marks = written(marks, "rep-minimizers")
+    release(spark)
 
     # What surrounds each occurrence.
-    lists = found.groupBy("doc", "sub").agg(F.collect_list(F.struct("h", "pos", "n")).alias("marks"))
+    lists = marks.groupBy("tid").agg(F.collect_list(F.struct("h", "pos", "n")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +191,7 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k:
             offs = np.asarray(marks_.offsets) - marks_.offsets[0].as_py()
             inner = marks_.flatten()
             h, pos, count = (np.asarray(inner.field(i)) for i in range(3))
+            tid, ord_ = np.asarray(batch["tid"]), np.asarray(batch["tid"]) - np.asarray(batch["back"])
             for s in slices(batch["text"]):
                 a, b = offs[s.first], offs[s.first + s.n]
                 row = np.repeat(np.arange(s.n), np.diff(offs[s.first : s.first + s.n + 1]))
@@ -151,53 +203,64 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k:
                     body = np.where(inside, s.data[np.clip(at, 0, len(s.data) - 1)], 0)
                     lead = np.minimum(p, around)
                     size = inside.sum(axis=1)
-                    flat = body[inside]
                     cuts = np.append(0, np.cumsum(size)).astype(np.int32)
-                    ctx = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
-                    take = pa.array(s.first + r)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i:j]), pa.array(count[i:j]), batch["doc"].take(take), batch["sub"].take(take), pa.array(pos[i:j]), pa.array(lead.astype(np.int32)), ctx], ["h", "n", "doc", "sub", "pos", "lead", "ctx"])
+                    ctx = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(cuts), pa.py_buffer(body[inside])])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[i:j]), pa.array(count[i:j]), pa.array(tid[s.first + r]), pa.array(ord_[s.first + r]), pa.array(pos[i:j]), pa.array(lead.astype(np.int32)), ctx], ["h", "n", "tid", "ord", "pos", "lead", "ctx"])
 
-    near = firsts.join(lists, ["doc", "sub"]).select("doc", "sub", "text", "marks").mapInArrow(cut, f"h bigint, n bigint, doc {kind}, sub int, pos int, lead int, ctx binary")
+    near = firsts.join(lists, "tid").select("tid", "back", "text", "marks").mapInArrow(cut, "h bigint, n bigint, tid bigint, ord bigint, pos int, lead int, ctx binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
-            h, doc, pos, lead = (np.asarray(table[c]) for c in ("h", "doc", "pos", "lead"))
+            h, doc, pos, lead = (np.asarray(table[c]) for c in ("h", "ord", "pos", "lead"))
             group = np.cumsum(np.append(0, h[1:] != h[:-1]))
-            _, rank = np.unique(doc, return_inverse=True)
-            low, high = sort_columns(_matrix(table["ctx"], lead, around, length), group, rank, length)
+            low, high = sort_columns(_matrix(table["ctx"], lead, around, length), group, doc, length)
             hit = np.flatnonzero(low >= 0)
             start = pos[hit].astype(np.int64) - around + low[hit]
             end = pos[hit].astype(np.int64) - around + high[hit] + length
-            part = table.select(["doc", "sub"]).take(pa.array(hit)).append_column("start", pa.array(start)).append_column("end", pa.array(end))
-            yield from part.to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(table["tid"])[hit]), pa.array(start), pa.array(end)], ["tid", "start", "end"])
 
     few = near.where(F.col("n") <= CROWD).repartition("h").sortWithinPartitions("h")
-    spans = few.mapInArrow(sort, f"doc {kind}, sub int, start bigint, end bigint")
+    spans = few.select("h", "tid", "ord", "pos", "lead", "ctx").mapInArrow(sort, "tid bigint, start bigint, end bigint")
+    # marks holds counts, so whether there is anything crowded is known without the texts.
+    if not marks.where(F.col("n") > CROWD).isEmpty():
+        spans = spans.unionByName(_crowded(near.where(F.col("n") > CROWD), length))
 
-    # Crowded minimizers: the windows themselves, by two 64-bit hashes.
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Overlapping and adjacent spans of each text as one."""
         for batch in batches:
-            lead, pos = np.asarray(batch["lead"]).astype(np.int64), np.asarray(batch["pos"]).astype(np.int64)
-            for s in slices(batch["ctx"]):
-                count = np.maximum(np.diff(s.offs) - length + 1, 0)
-                row = np.repeat(np.arange(s.n), count)
-                off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                at = s.offs[row] + off
-                take = pa.array(s.first + row)
-                w1 = s.hashes(at, at + length)
-                w2 = mix(s.hashes(at, at + k) * _U(3) ^ s.hashes(at + k, at + length))
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), batch["doc"].take(take), batch["sub"].take(take), pa.array((pos - lead)[s.first + row] + off)], ["w1", "w2", "doc", "sub", "start"])
-
-    # found holds counts, so whether there is anything crowded is known without the texts.
-    if not shared.where(F.col("n") > CROWD).isEmpty():
-        each = near.where(F.col("n") > CROWD).mapInArrow(windows, f"w1 bigint, w2 bigint, doc {kind}, sub int, start bigint")
-        each = written(each.distinct(), "rep-windows")
-        least = each.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-        again = each.join(least, ["w1", "w2"]).where("doc > least")
-        spans = spans.unionByName(again.select("doc", "sub", "start", (F.col("start") + length).alias("end")))
-    spans = written(spans, "rep-spans")
-    release(docs.sparkSession)
-    return classes, spans.withColumnRenamed("doc", "first")
+            given = batch["spans"]
+            inner = given.flatten()
+            start, end = (np.asarray(inner.field(i)) for i in range(2))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(given.offsets)))
+            order = np.lexsort((start, row))
+            start, end, row = start[order], end[order], row[order]
+            far = np.maximum.accumulate(end + (row << 40)) - (row << 40) if len(row) else end
+            new = np.append(True, (row[1:] != row[:-1]) | (start[1:] > far[:-1])) if len(row) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
+            stop = far[np.append(at[1:], len(row)) - 1] if len(row) else far
+            yield pa.RecordBatch.from_arrays([batch["tid"].take(pa.array(row[at])), pa.array(start[at]), pa.array(stop)], ["tid", "start", "end"])
+
+    spans = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = written(spans.mapInArrow(join, "tid bigint, start bigint, end bigint"), "rep-spans")
+    release(spark)
+    return classes, spans
+
+
+def _crowded(near: DataFrame, length: int) -> DataFrame:
+    """tid, start and end of the windows in contexts of minimizers with very many
+    occurrences that a smaller ord has.  Equal contexts, as inside a passage that very
+    many texts share, are summed up before any row moves."""
+    near = written(near.select("tid", "ord", F.col("pos").cast("long").alias("pos"), F.col("lead").cast("long").alias("lead"), "ctx"), "rep-crowded")
+    each = near.groupBy("ctx").agg(F.min("ord").alias("ord"))
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - length)).alias("at")
+    each = each.where(F.octet_length("ctx") >= length).select("ctx", "ord", at)
+    each = written(each.select("ctx", "ord", "at", F.substring("ctx", F.col("at") + 1, F.lit(length)).alias("window")), "rep-windows")
+    least = each.groupBy("window").agg(F.min("ord").alias("least"))
+    known = each.join(least, "window").groupBy("ctx").agg(F.collect_list(F.struct("at", "least")).alias("windows"))
+    # Every window holds the minimizer, so what lies between the first and the last goes too.
+    hit = F.transform(F.filter("windows", lambda w: w["least"] < F.col("ord")), lambda w: w["at"])
+    rows = near.join(known, "ctx").select("tid", (F.col("pos") - F.col("lead")).alias("begin"), hit.alias("hit")).where(F.size("hit") > 0)
+    return rows.select("tid", (F.col("begin") + F.array_min("hit")).alias("start"), (F.col("begin") + F.array_max("hit") + length).alias("end"))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -245,9 +308,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     docs = docs.drop("kept", "removed")
     classes, spans = find_repeats(docs, key, text, length)
-    runs = spans.groupBy("first", "sub").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    runs = classes.join(runs, ["first", "sub"], "left").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("first").alias("_first"), "_spans")
-    rows = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)}).join(runs, ["_t1", "_t2"], "left")
+    runs_ = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    found = classes.join(runs_, "tid", "left").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("first").alias("_first"), "_spans")
+    found = written(found, "rep-found")
+    size = max(found.count(), spans.count())  # a broadcast needs both few texts and few runs
+    rows = _near(docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)}), found, ["_t1", "_t2"], size, "left")
     # A later copy of a text goes as a whole, whatever its first document keeps.
     copy = (F.col(key) > F.col("_first")) & (F.octet_length(text) >= length)
     rows = rows.withColumn("_copy", F.coalesce(copy, F.lit(False)))
