@@ -38,8 +38,8 @@ K = 20
 CROWD = 20_000
 #: Minimizers that a task sorts and packs at once, and that meet in one group of the
 #: shuffle, about.
-PACK = 1 << 20
-BUCKET = 1 << 19
+PACK = 1 << 18
+BUCKET = 1 << 18
 BROADCAST_ROWS = 1_000_000
 _CHUNK = 30_000
 _U = np.uint64
