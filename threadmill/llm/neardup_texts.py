@@ -195,15 +195,15 @@ def _meet(table: pa.Table) -> pa.Table:
     first = table.filter(pa.compute.equal(table["part"], 0))
     lists = table.filter(pa.compute.equal(table["part"], 1))
     flag = np.frombuffer(b"".join(first["flag"].to_pylist()), np.uint8)
-    sig, rid, flag = _in_order(numbers(first["sig"].to_pylist()), numbers(first["rid"].to_pylist(), np.int64), flag.copy())
+    sig, rid, flag = _in_order(numbers(first["sig"]), numbers(first["rid"], np.int64), flag.copy())
     start, count = runs(sig)
     listed = np.maximum.reduceat(flag, start) if len(start) else flag
     two = start[(count == 2) & (listed == 0)]
     pair = np.stack([rid[two], rid[two + 1]], axis=1)
     pair, n = np.unique(pair, axis=0, return_counts=True)
     more = np.repeat((count > 2) | (count == 2) & (listed > 0), count)
-    sig = np.concatenate([sig[more], numbers(lists["sig"].to_pylist())])
-    rid = np.concatenate([rid[more], numbers(lists["rid"].to_pylist(), np.int64)])
+    sig = np.concatenate([sig[more], numbers(lists["sig"])])
+    rid = np.concatenate([rid[more], numbers(lists["rid"], np.int64)])
     none = len(pair)
     return pa.table({
         "sig": pa.array(np.append(np.zeros(none, np.uint64), sig).view(np.int64), mask=np.arange(none + len(sig)) < none),

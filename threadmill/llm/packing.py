@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -10,10 +11,15 @@ def planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def numbers(parts: list[bytes], kind=np.uint64) -> np.ndarray:
-    """The numbers of several such values, one after the other."""
-    whole = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel() for x in parts]
-    return np.concatenate([np.zeros(0, kind), *whole])
+def numbers(column: pa.ChunkedArray, kind=np.uint64) -> np.ndarray:
+    """The numbers of such values, one after the other."""
+    out = np.empty(sum(len(x.as_buffer()) for x in column) // 8, kind)
+    at = 0
+    for x in column:
+        part = np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1)
+        out[at : at + part.shape[1]].view(np.uint8).reshape(-1, 8)[:] = part.T
+        at += part.shape[1]
+    return out
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ CROWD = 20_000
 #: Minimizers that a task sorts and packs at once, and that meet in one group of the
 #: shuffle, about.
 PACK = 1 << 18
-BUCKET = 1 << 18
+BUCKET = 1 << 17
 BROADCAST_ROWS = 1_000_000
 _CHUNK = 30_000
 _U = np.uint64
@@ -120,22 +120,25 @@ def _pack(h: np.ndarray, tid: np.ndarray, back: np.ndarray, pos: np.ndarray, buc
 
 def _shared(table: pa.Table) -> pa.Table:
     """The minimizers of one bucket that texts of at least two keys have; each place once."""
-    h = numbers(table["h"].to_pylist())
-    tid, back, pos = (numbers(table[c].to_pylist(), np.int64) for c in ("tid", "back", "pos"))
+    h = numbers(table["h"])
     order = np.argsort(h, kind="stable")
-    h, tid, back, pos = h[order], tid[order], back[order], pos[order]
+    h = h[order]
     start, count = runs(h)
+    more = np.zeros(0, np.int64)
     if len(h):
-        of = tid - back
-        more = np.repeat(np.minimum.reduceat(of, start) < np.maximum.reduceat(of, start), count)
-        h, tid, back, pos = h[more], tid[more], back[more], pos[more]
-        order = np.lexsort((pos, tid, h))
-        h, tid, back, pos = h[order], tid[order], back[order], pos[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1])
-        h, tid, pos = h[new], tid[new], pos[new]
+        key = (numbers(table["tid"], np.int64) - numbers(table["back"], np.int64))[order]
+        more = np.flatnonzero(np.repeat(np.minimum.reduceat(key, start) < np.maximum.reduceat(key, start), count))
+    h, order = h[more], order[more]
+    tid, pos = numbers(table["tid"], np.int64)[order], numbers(table["pos"], np.int64)[order]
+    order = np.lexsort((pos, tid, h))
+    h, tid, pos = h[order], tid[order], pos[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1])
+    h, tid, pos = h[new], tid[new], pos[new]
     start, count = runs(h)
-    return pa.table({"h": h.view(np.int64), "tid": tid, "pos": pos.astype(np.int32), "n": np.repeat(count, count).astype(np.int64)})
+    out = pa.table({"h": h.view(np.int64), "tid": tid, "pos": pos.astype(np.int32), "n": np.repeat(count, count).astype(np.int64)})
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def _near(left: DataFrame, right: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
