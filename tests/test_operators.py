@@ -122,8 +122,41 @@ def test_incremental_without_a_completed_run_takes_all(spark):
 
 
 def test_crawl(spark):
-    pages = spark.createDataFrame([("a", ["b", "c"]), ("b", ["d", "a"]), ("c", []), ("d", ["missing"]), ("z", ["a"])], "url string, links array<string>")
-    assert [(r["u"], r["depth"]) for r in I.crawl(pages, "a", "url", F.col("links")).collect()] == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    at, words = "https://a.example/docs/", "word " * 40
+    pages = [("", ["b", "c"], words), ("b", ["d", ""], "short"), ("c", [], words), ("d", ["missing", "../blog"], words), ("z", [""], words)]
+    rows = [(at + u, [at + x for x in to], t) for u, to, t in pages] + [("https://a.example/blog", [at], words), ("https://b.example/docs/", [at], words)]
+    df = spark.createDataFrame(rows, "url string, links array<string>, text string")
+    got = [(r["u"], r["depth"]) for r in I.crawl(df, at, "url", "links", "text").collect()]
+    assert got == [(at, 0), (at + "c", 1), (at + "d", 2)]
+    assert [r["u"] for r in I.crawl(df, at, "url", "links", "text", most=1).collect()] == [at]
+    assert I.crawl(df, "https://nowhere.example/", "url", "links", "text").count() == 0
+
+
+def test_reuse_takes_the_highest_version(spark):
+    prior = spark.createDataFrame([("a", [1.0], 1), ("a", [2.0], 3), ("a", [3.0], 2), ("b", None, 9)], "t string, v array<double>, n int").repartition(3)
+    docs = spark.createDataFrame([("a",), ("b",), (None,)], "t string")
+    assert {r["t"]: r["v"] for r in I.reuse_embeddings(docs, prior, "t", "v", "n").collect()} == {"a": [2.0], "b": None, None: None}
+
+
+def test_long_texts_are_split_between_lines(spark):
+    body = "\n".join(["a" * 1000, "b" * 1500, "", "c" * 5000, "", "d"])
+    df = spark.createDataFrame([(1, body), (2, "short"), (3, "")], "k int, t string")
+    got = {(r["k"], r["piece"]): r["t"] for r in M.split_long(df, ["k"], "t").collect()}
+    assert got == {(1, 0): "a" * 1000, (1, 1): "b" * 1500 + "\n", (1, 2): "c" * 2400, (1, 3): "c" * 2400, (1, 4): "c" * 200, (1, 5): "d", (2, 0): "short", (3, 0): ""}
+
+
+def test_hybrid_search(spark):
+    docs = spark.createDataFrame([(i, "apple" if i % 2 else "pear", 100 - i) for i in range(20)], "id int, t string, day int")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "id int, v array<double>")
+    ids = lambda q, limit, most: [r["id"] for r in S.hybrid_search(docs, vectors, "id", "t", "v", "day", q, [0.0, 1.0], limit, candidates=most).collect()]
+    assert ids("apple", 3, 1000) == [19, 17, 15]
+    assert ids("apple", 3, 5) == [9, 7, 5]
+    assert ids("plum", 3, 1000) == [19, 18, 17]
+
+
+def test_substring_hits_come_newest_first(spark):
+    docs = spark.createDataFrame([(1, "crabapples", 3), (2, "x crabapple", 9), (3, "scrabappl", None)], "id int, t string, day int")
+    assert [r["id"] for r in S.keyword_search(docs, "id", "t", "crabappl", 5, "day").collect()] == [2, 1, 3]
 
 
 def test_keyword_tiers(spark):

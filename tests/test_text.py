@@ -23,15 +23,20 @@ REDACTED = [
 
 
 @pytest.mark.parametrize("raw,clean", REDACTED)
-def test_redact(raw, clean):
-    assert T.redact(raw) == clean
-    assert T.redact(clean) == clean
+def test_redact(spark, raw, clean):
+    assert one(spark, T.redacted(F.lit(raw))) == clean
+    assert one(spark, T.redacted(F.lit(clean))) == clean
 
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+@pytest.mark.parametrize("text,date", [("2026-05-29", True), ("2026.13.01", False), ("31/12/99", True), ("12/31/1999", True), ("13/14/1999", False), ("32-01-2000", False), ("1-2-3", False), ("", False)])
+def test_dates(spark, text, date):
+    assert one(spark, T.looks_like_date(F.lit(text))) is date
+
+
 def test_redacted_column_keeps_nulls(spark):
     rows = [(a,) for a, _ in REDACTED] + [(None,)]
     got = [r["x"] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(T.redacted(F.col("t")).alias("x")).collect()]
@@ -59,18 +64,22 @@ def test_bracketed_subject_needs_silence(spark):
 
 
 def test_entities_decode_amp_first(spark):
-    assert one(spark, T.entities_named(F.lit("a &amp;lt; b&nbsp;c &#39;"))) == "a < b c '"
-    assert one(spark, T.decode_entities(F.lit("&#233;&#x41;"))) == "éA"
+    assert one(spark, T.decode_entities(F.lit("a &amp;lt; b&nbsp;c &#39;"))) == "a < b c '"
+    assert one(spark, T.decode_entities(F.lit("&#233;&#x41; &#128512;&#8217;&#1114112;&#xD800;&#;"))) == "éA 😀’&#1114112;&#xD800;&#;"
 
 
 def test_html(spark):
     page = "<html><head><title> A &amp;  B </title><style>x{}</style></head><body><nav>menu</nav><p>One</p><ul><li id=1>two</li><li id=3>three</li></ul><a href='/a'>x</a></body></html>"
     assert one(spark, T.html_title(F.lit(page))) == "A & B"
     assert one(spark, T.html_title(F.lit("<p>none</p>"))) is None
+    assert one(spark, T.html_title(F.lit("<TITLE>A &#8211;\n B</title>"))) == "A – B"
+    assert one(spark, T.html_text(F.lit("a<br><br><br/>b<script>x</script><p></p>c &#8217;<li>d</li>"))) == "a\n\nb\nc ’\n- d"
     text = one(spark, T.html_text(F.lit(page)))
     assert "menu" not in text and "- two" in text and "One" in text
     links = "<a href='/b?x=1#y'>1</a><a href='c'>2</a><a href='#z'>3</a><a href='mailto:a@b.c'>4</a><a href='https://other.example/'>5</a><a href='/pic.png'>6</a><a href='/b'>7</a>"
     assert one(spark, T.resolved_links(F.lit(links), F.lit("https://a.example/docs/"))) == ["https://a.example/b", "https://a.example/docs/c"]
+    dots = "<a href='../x/./y/..'>1</a><a href='//a.example/q'>2</a><a href='?p=2'>3</a><a href='HTTPS://A.example'>4</a>"
+    assert one(spark, T.resolved_links(F.lit(dots), F.lit("https://a.example/docs/i.html"))) == ["https://a.example/x/", "https://a.example/q", "https://a.example/docs/i.html", "https://a.example/"]
 
 
 def test_topics_and_sources(spark):
@@ -87,7 +96,7 @@ def test_relative_time(spark):
 
 
 def test_keywords(spark):
-    assert one(spark, T.keyword_hits(F.lit("FileBird file  bird file bird filebirds"), ["file bird"])) == 2
+    assert one(spark, T.keyword_hits(F.lit("InkWell ink  well ink well inkwells"), ["ink well"])) == 2
 
 
 def test_cosine(spark):

@@ -229,11 +229,18 @@ def exchange_groups(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_LINES},
-r AS (SELECT conv, exchange, body, length(body) AS n, row_number() OVER (PARTITION BY conv ORDER BY exchange) AS i FROM e),
-f AS (SELECT conv, exchange, body, i, 0 AS chunk, n + 2 AS size FROM r WHERE i = 1
-  UNION ALL SELECT r.conv, r.exchange, r.body, r.i, CASE WHEN f.size > 0 AND f.size + r.n > 1600 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size > 0 AND f.size + r.n > 1600 THEN 0 ELSE f.size END + r.n + 2
+i AS (SELECT conv, exchange, row_number() OVER (PARTITION BY conv, exchange ORDER BY k, c) AS i, substring(line, c * 2400 + 1, 2400) AS item, CASE WHEN length(line) > 2400 THEN 2400 ELSE length(line) END AS n
+  FROM (SELECT conv, exchange, k, line, unnest(range(0, greatest((length(line) - 1) // 2400, 0) + 1)) AS c FROM (SELECT conv, exchange, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS k FROM e WHERE length(body) > 2400))),
+s AS (SELECT conv, exchange, i, item, 0 AS piece, CASE WHEN n = 0 THEN 0 ELSE n + 1 END AS size FROM i WHERE i = 1
+  UNION ALL SELECT i.conv, i.exchange, i.i, i.item, CASE WHEN size > 0 AND size + n > 2400 THEN piece + 1 ELSE piece END, CASE WHEN size > 0 AND size + n > 2400 THEN n + 1 WHEN size = 0 AND n = 0 THEN 0 ELSE size + n + 1 END
+  FROM s JOIN i ON s.conv = i.conv AND s.exchange = i.exchange AND i.i = s.i + 1),
+pc AS (SELECT conv, exchange, 0 AS piece, body FROM e WHERE length(body) <= 2400 UNION ALL
+  SELECT * FROM (SELECT conv, exchange, piece, regexp_replace(string_agg(item, chr(10) ORDER BY i), '^\n+', '') AS body FROM s GROUP BY conv, exchange, piece) WHERE body <> ''),
+r AS (SELECT conv, body, length(body) AS n, row_number() OVER (PARTITION BY conv ORDER BY exchange, piece) AS i FROM pc),
+f AS (SELECT conv, body, i, 0 AS chunk, n + 2 AS size FROM r WHERE i = 1
+  UNION ALL SELECT r.conv, r.body, r.i, CASE WHEN f.size > 0 AND f.size + r.n > 1600 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size > 0 AND f.size + r.n > 1600 THEN 0 ELSE f.size END + r.n + 2
   FROM f JOIN r ON r.conv = f.conv AND r.i = f.i + 1)
-SELECT conv, chunk::BIGINT AS chunk, count(*) AS n_exchanges, string_agg(body, chr(10) || chr(10) ORDER BY exchange) AS body, length(string_agg(body, chr(10) || chr(10) ORDER BY exchange))::INT AS n_chars FROM f GROUP BY conv, chunk""")
+SELECT conv, chunk::BIGINT AS chunk, count(*) AS n_exchanges, string_agg(body, chr(10) || chr(10) ORDER BY i) AS body, length(string_agg(body, chr(10) || chr(10) ORDER BY i))::INT AS n_chars FROM f GROUP BY conv, chunk""")
 def chunk_pack(spark, d):
     return M.chunks(M.messages(read(spark, d, "conversations")))
 
@@ -291,13 +298,30 @@ def junk_by_reason(spark, d):
     return _junk(spark, d).where("junk").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '(?i)\bthe\s?and\b')) + len(regexp_extract_all(text, '(?i)\bmoron\b')) AS hits FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '(?i)\bthe\s?and\b')) + len(regexp_extract_all(text, '(?i)\bmoron\b')), 0) AS hits FROM documents")
 def product_hits(spark, d):
     return read(spark, d, "documents").select("doc_id", T.keyword_hits(F.col("text"), ["the and", "moron"]).cast("long").alias("hits"))
 
 
-@query(r"""SELECT page_id, nullif(left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
-'(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&quot;', '"', 'g'), '(?i)&#0?39;|&apos;', '''', 'g'), '\s+', ' ', 'g')), 300), '') AS title FROM pages""")
+def _decoded(source: str, columns: str, text: str) -> str:
+    """SQL tables d0 to d2: text of source with named, decimal and hexadecimal entities decoded."""
+    named = text
+    for name, by in T.NAMED_ENTITIES:
+        named = f"regexp_replace({named}, '(?i){name}', '{by.replace(chr(39), chr(39) * 2)}', 'g')"
+    sql, last = f"d0 AS (SELECT {columns}, {named} AS t FROM {source})", "d0"
+    for k, (mark, digits, prefix) in enumerate((("&#", "[0-9]{1,7}", ""), ("&#[xX]", "[0-9a-fA-F]{1,6}", "0x")), 1):
+        number = f"('{prefix}' || regexp_extract(x, '^{mark}({digits});', 1))::BIGINT"
+        each = f"CASE WHEN regexp_matches(x, '^{mark}{digits};') THEN CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr({number}::INT) || regexp_replace(x, '^{mark}{digits};', '') ELSE x END ELSE x END"
+        parts = "list_transform(string_split(t, '&#'), lambda y, i: CASE WHEN i > 1 THEN '&#' || y ELSE y END)"
+        sql += f", d{k} AS (SELECT {columns}, array_to_string(list_transform({parts}, lambda x: {each}), '') AS t FROM {last})"
+        last = f"d{k}"
+    return sql
+
+
+_SQUEEZED = r"trim(regexp_replace(x, '[\s\x{00A0}]+', ' ', 'g'))"
+
+
+@query("WITH " + _decoded("(SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw FROM pages)", "page_id", "raw") + f" SELECT page_id, nullif(left({_SQUEEZED.replace('(x,', '(t,')}, 300), '') AS title FROM d2")
 def html_title(spark, d):
     return read(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
@@ -307,30 +331,51 @@ def html_links(spark, d):
     return read(spark, d, "pages").select("page_id", F.size(T.html_links(F.col("html"))).alias("n_links"))
 
 
-@query()
+def _text_sql() -> str:
+    body = "CASE WHEN length(part) > 500 THEN part ELSE html END"
+    for tag in T.DROPPED_BLOCKS:
+        body = rf"regexp_replace({body}, '(?is)<{tag}[\s>].*?</{tag}>', ' ', 'g')"
+    body = rf"regexp_replace({body}, '(?i)</({'|'.join(T.LINE_BLOCKS)})>|<[bh]r\s*/?>', chr(10), 'g')"
+    body = rf"regexp_replace(regexp_replace({body}, '(?i)<li(\s[^>]*)?>', chr(10) || '- ', 'g'), '<[^>]+>', ' ', 'g')"
+    part = r"coalesce(nullif(regexp_extract(html, '(?is)<main[\s>].*?</main>'), ''), regexp_extract(html, '(?is)<article[\s>].*?</article>'))"
+    return f"""WITH p AS (SELECT page_id, html, {part} AS part FROM pages), {_decoded('p', 'page_id', body)},
+l AS (SELECT page_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: {_SQUEEZED}), chr(10)) AS t FROM d2)
+SELECT page_id, regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS text FROM l"""
+
+
+@query(_text_sql())
 def html_text(spark, d):
     return read(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query("""SELECT page_id, 'https://wordpress.org/support/topic/my-topic-' || page_id || '/' AS topic FROM pages""")
+@query("""WITH p AS (SELECT page_id, url, list_filter(string_split(string_split(string_split(url, '?')[1], '#')[1], '/')[4:], lambda x: x <> '') AS parts FROM pages)
+SELECT page_id, CASE WHEN len(parts) > 0 THEN 'https://wordpress.org/support/topic/' || parts[-1] || '/' END AS topic FROM p""")
 def topic_canonical(spark, d):
-    raw = F.concat(F.lit("http://www.wordpress.org/support/topic/my-topic-"), F.col("page_id"), F.lit("/page/2/?view=all#post-9"))
-    return read(spark, d, "pages").select("page_id", T.canonical_topic(raw).alias("topic"))
+    """The last step of every page's path as a topic, in three spellings of its address."""
+    slug = F.regexp_extract(F.regexp_replace("url", r"[?#].*\z", ""), r"://[^/]+/(?:.*/)?([^/]+)/*\z", 1)
+    before = F.element_at(F.array(*map(F.lit, ("http://www.wordpress.org", "HTTPS://wordpress.org:443", " https://de.wordpress.org"))), (F.col("page_id") % 3 + 1).cast("int"))
+    after = F.element_at(F.array(*map(F.lit, ("/page/2/?view=all#post-9", "", "/?x"))), (F.col("page_id") % 3 + 1).cast("int"))
+    return read(spark, d, "pages").select("page_id", T.canonical_topic(F.concat(before, F.lit("/support/topic/"), slug, after)).alias("topic"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'sitemap' WHEN 1 THEN 'forum' ELSE 'url' END AS kind FROM pages")
+@query("""WITH p AS (SELECT page_id, string_split(string_split(url, '?')[1], '#')[1] AS base FROM pages), k AS (SELECT page_id, lower(coalesce(list_filter(string_split(base, '/')[4:], lambda x: x <> '')[-1], '')) AS last FROM p)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'sitemap' WHEN 1 THEN 'forum' ELSE CASE WHEN last LIKE '%.xml' OR contains(last, 'sitemap') THEN 'sitemap' ELSE 'url' END END AS kind FROM k""")
 def source_type(spark, d):
-    u = F.when(F.col("page_id") % 3 == 0, "https://a.example/sitemap_index.xml").when(F.col("page_id") % 3 == 1, "https://wordpress.org/support/plugin/x/").otherwise("https://a.example/docs/start")
+    """Every page's address, as it is, with a sitemap below it, or with its path below a forum."""
+    base = F.regexp_replace("url", r"[?#].*\z", "")
+    u = F.when(F.col("page_id") % 3 == 0, F.concat(base, F.lit("/Sitemap-1.XML?x=1"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://de.wordpress.org/support/plugin"), F.regexp_extract(base, "://[^/]+(.*)", 1))).otherwise(F.col("url"))
     return read(spark, d, "pages").select("page_id", T.source_type(u).alias("kind"))
 
 
-@query("SELECT event_id, 3600 * (event_id % 9) + 86400 * (1 + event_id % 3) AS secs FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 2 THEN 60 * (1 + event_id % 50) ELSE 3600 * (event_id % 9) + 86400 * (1 + event_id % 3) END AS secs FROM events")
 def relative_time(spark, d):
-    text = F.concat(F.lit("posted "), 1 + F.col("event_id") % 3, F.lit(" days, "), F.col("event_id") % 9, F.lit(" hours ago"))
+    k = F.col("event_id")
+    two = F.concat(F.lit("posted "), 1 + k % 3, F.lit(" days, "), k % 9, F.lit(" Hours ago by x"))
+    text = F.when(k % 4 == 3, F.concat("event_type", F.lit(" 5 days before"))).when(k % 4 == 2, F.concat(F.lit("3 hours, then "), 1 + k % 50, F.lit(" minute ago"))).otherwise(two)
     return read(spark, d, "events").select("event_id", T.relative_seconds(text).alias("secs"))
 
 
-@query("SELECT c_custkey, luhn_digit FROM (SELECT c_custkey, c_custkey % 10 = (10 - ((CASE WHEN 2 * ((c_custkey // 10) % 10) > 9 THEN 2 * ((c_custkey // 10) % 10) - 9 ELSE 2 * ((c_custkey // 10) % 10) END) % 10)) % 10 AS luhn_digit FROM customer WHERE c_custkey BETWEEN 10 AND 99)")
+@query("""SELECT c_custkey, list_sum(list_transform(string_split(reverse(c_custkey::VARCHAR), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INT WHEN 2 * x::INT > 9 THEN 2 * x::INT - 9 ELSE 2 * x::INT END)) % 10 = 0 AS luhn_digit FROM customer""")
 def luhn_cards(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.expr("luhn_check(cast(c_custkey as string))").alias("luhn_digit"))
 
@@ -391,7 +436,7 @@ def upsert_latest(spark, d):
 def embedding_reuse(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     prior = docs.join(read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return I.reuse_embeddings(docs, prior.select("text", "embedding"), "text", "embedding").select("doc_id", F.col("embedding").isNotNull().alias("reused"))
+    return I.reuse_embeddings(docs, prior.select("doc_id", "text", "embedding"), "text", "embedding", "doc_id").select("doc_id", F.col("embedding").isNotNull().alias("reused"))
 
 
 @query("SELECT e.event_id FROM events e WHERE ts >= (SELECT max(ts) FROM events WHERE event_id % 1000 = 0) - INTERVAL 1 HOUR")

@@ -32,7 +32,7 @@ def listing_rows(pages: DataFrame, key: str, html: str, host: str = T.FORUM_HOST
 
 def plain(html: Column) -> Column:
     """A fragment without tags, on one line."""
-    return F.trim(F.regexp_replace(T.entities_named(F.regexp_replace(html, r"<[^>]*>", " ")), r"\s+", " "))
+    return F.trim(F.regexp_replace(T.decode_entities(F.regexp_replace(html, r"<[^>]*>", " ")), r"\s+", " "))
 
 
 def topic_posts(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """old with the rows of new by key; the highest version of a key stays, and of
     equal ones the new table's."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(version), F.desc("_new"))
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
+    rest = [c for c in old.columns if c not in keys]
+    # One struct is summed up for each key; null versions are the lowest.
+    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "_new")).alias("_r"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in old.columns])
 
 
 def merge_truthy(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -35,12 +39,12 @@ def hash_diff(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
     return a.join(b, key, "full").select(key, state.alias("state"))
 
 
-def reuse_embeddings(chunks: DataFrame, prior: DataFrame, text: str, vector: str) -> DataFrame:
-    """chunks with the vector of a prior chunk of the very same text, if there is one."""
-    known = prior.where(F.col(vector).isNotNull()).select(F.sha2(F.col(text), 256).alias("_h"), F.col(text).alias("_text"), F.col(vector).alias("_v"), F.monotonically_increasing_id().alias("_pos"))
-    last = known.groupBy("_h", "_text").agg(F.max_by("_v", "_pos").alias(vector))
-    c = chunks.withColumn("_h", F.sha2(F.col(text), 256))
-    return c.join(last, (c["_h"] == last["_h"]) & (c[text] == last["_text"]), "left").select(*[c[x] for x in chunks.columns], last[vector])
+def reuse_embeddings(chunks: DataFrame, prior: DataFrame, text: str, vector: str, version: str) -> DataFrame:
+    """chunks with the vector of a prior chunk of the very same text, if there is one:
+    that of the highest version.  Equal SHA-256 hashes are taken for equal texts."""
+    known = prior.where(F.col(vector).isNotNull()).select(F.sha2(F.col(text), 256).alias("_h"), F.col(vector).alias("_v"), F.col(version).alias("_version"))
+    last = known.groupBy("_h").agg(F.max_by("_v", "_version").alias(vector))
+    return chunks.withColumn("_h", F.sha2(F.col(text), 256)).join(last, "_h", "left").select(*chunks.columns, vector)
 
 
 def unembedded(chunks: DataFrame, vectors: list[str], exclude: DataFrame, key: str) -> DataFrame:
@@ -75,21 +79,26 @@ def junk_override(old: Column, override: Column, new: Column) -> Column:
     return F.when(override, old).otherwise(new)
 
 
-def crawl(pages: DataFrame, start: str, url: str, links: str, most: int = 300) -> DataFrame:
-    """Breadth-first crawl of a stored corpus: the url and depth of every page that
-    start leads to.  links: absolute targets of each page.  Each round joins the
-    frontier with the pages and drops what was visited; the frontier is written
-    between rounds by checkpoint()."""
-    spark = pages.sparkSession
-    frontier = spark.range(1).select(F.lit(start).alias("u"), F.lit(0).alias("depth"))
-    seen, depth = frontier, 0
-    edges = pages.select(F.col(url).alias("u"), F.explode(links).alias("to")).distinct()
-    while True:
+def crawl(pages: DataFrame, start: str, url: str, links: str, text: str, most: int = 300, shortest: int = 120) -> DataFrame:
+    """Breadth-first crawl of a stored corpus: the url and depth of the first ``most``
+    pages that start leads to.
+
+    links: absolute targets of each page.  Only pages of start's origin below its
+    path are visited; one whose text is shorter than ``shortest`` is no result, but
+    its links are followed.  Each round joins the last round's pages only, drops what
+    was visited and ends the crawl once there are enough results; it is written
+    between rounds by checkpoint().
+    """
+    with_checkpoints(pages.sparkSession)
+    root = start.split("#")[0].split("?")[0]
+    origin = "/".join(root.split("/")[:3])
+    below = root[: root.rfind("/") + 1] if root.count("/") > 2 else f"{origin}/"
+    kept = pages.select(F.col(url).alias("u"), links, (F.length(text) >= shortest).alias("long")).where(F.col("u").startswith(below) | (F.col("u") == start))
+    seen = kept.where(F.col("u") == start).select("u", F.lit(0).alias("depth"), "long").dropDuplicates(["u"]).checkpoint()
+    last, depth = seen, 0
+    while not last.isEmpty() and seen.where("long").limit(most).count() < most:
         depth += 1
-        step = edges.join(frontier.select("u"), "u", "left_semi").select(F.col("to").alias("u")).distinct()
-        frontier = step.join(seen.select("u"), "u", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = frontier.checkpoint() if spark.sparkContext.getCheckpointDir() else frontier.persist()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen.join(pages.select(F.col(url).alias("u")), "u", "left_semi").orderBy("depth", "u").limit(most)
+        step = kept.join(last.select("u"), "u", "left_semi").select(F.explode(links).alias("u")).distinct()
+        last = kept.join(step.join(seen.select("u"), "u", "left_anti"), "u", "left_semi").select("u", F.lit(depth).alias("depth"), "long").dropDuplicates(["u"]).checkpoint()
+        seen = seen.unionByName(last)
+    return seen.where("long").orderBy("depth", "u").limit(most).select("u", "depth")

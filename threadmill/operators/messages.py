@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,33 +50,61 @@ def exchanges(msgs: DataFrame) -> DataFrame:
     )
 
 
-def pack(df: DataFrame, group: str, order: str, length: Column, limit: int = PACK_CHARS, gap: int = 2) -> DataFrame:
+def pack(df: DataFrame, group: str | list[str], order: str, length: Column, limit: int = PACK_CHARS, gap: int = 2, skip_empty: bool = False) -> DataFrame:
     """group, order and ``chunk``: greedy packing in order.
 
     A chunk is closed when it holds something and the next piece would take it
-    above limit.  Where a piece lands depends on all before it, so this is a fold
-    over the ordered pieces of a group (their lengths only), not a window.
+    above limit; with skip_empty, empty pieces do not begin one.  Where a piece lands depends on all
+    before it, so this is a fold over the lengths of a group's ordered pieces, not a
+    window; the lengths of a group travel, its texts do not.
     """
-    pieces = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), length.cast("long").alias("n")))).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<o:bigint,chunk:bigint>>").alias("out"))
 
-    def step(acc, p):
-        full = (acc["size"] > 0) & (acc["size"] + p["n"] > limit)
-        chunk = acc["chunk"] + F.when(full, 1).otherwise(0).cast("long")
-        size = F.when(full, F.lit(0).cast("long")).otherwise(acc["size"]) + p["n"] + gap
-        return F.struct(chunk.alias("chunk"), size.alias("size"), F.concat(acc["out"], F.array(F.struct(p["o"].alias("o"), chunk.alias("chunk")))).alias("out"))
-
-    packed = pieces.select(group, F.aggregate("pieces", start, step)["out"].alias("out"))
-    return packed.select(group, F.inline("out")).withColumnRenamed("o", order)
+    def fold(sizes: pd.Series) -> pd.Series:
+        out = []
+        for row in sizes:
+            chunk, held, numbers = 0, 0, []
+            for n in row:
+                if held and held + n > limit:
+                    chunk, held = chunk + 1, 0
+                numbers.append(chunk)
+                held += 0 if skip_empty and not (held or n) else n + gap
+            out.append(numbers)
+        return pd.Series(out, dtype=object)
+
+    group = [group] if isinstance(group, str) else group
+    pieces = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), length.cast("long").alias("n")))).alias("pieces"))
+    numbers = F.pandas_udf(fold, "array<bigint>")(F.transform("pieces", lambda p: p["n"]))
+    packed = pieces.select(*group, F.transform("pieces", lambda p: p["o"]).alias("o"), numbers.alias("chunk"))
+    return packed.select(*group, F.inline(F.arrays_zip("o", "chunk"))).withColumnRenamed("o", order)
+
+
+def joined(order: str, text: str, between: str) -> Column:
+    """The texts of a group in order, put together."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), between)
+
+
+def split_long(df: DataFrame, keys: list[str], text: str, limit: int = SPLIT_CHARS) -> DataFrame:
+    """keys, piece and text: texts above the limit cut between lines, greedily, and
+    lines above it after every ``limit`` characters; others are one piece."""
+    long = df.where(F.length(text) > limit).select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "body"))
+    cuts = F.sequence(F.lit(0), F.greatest(F.floor((F.length("body") - 1) / limit), F.lit(0)))
+    items = long.select(*keys, "line", "body", F.explode(cuts).alias("cut"))
+    body = F.col("body").substr(F.col("cut").cast("int") * limit + 1, F.lit(limit))
+    items = items.select(*keys, (F.col("line").cast("long") * (1 << 32) + F.col("cut")).alias("item"), body.alias(text), (F.length("body") > limit).alias("hard"))
+    # A part of a cut line fills a piece, whatever is left for it.
+    size = F.when(F.col("hard"), limit).otherwise(F.length(text))
+    placed = items.join(pack(items, keys, "item", size, limit, 1, True), [*keys, "item"])
+    pieces = placed.groupBy(*keys, F.col("chunk").alias("piece")).agg(F.regexp_replace(joined("item", text, "\n"), r"\A\n+", "").alias(text))
+    whole = df.where(F.length(text) <= limit).select(*keys, F.lit(0).cast("long").alias("piece"), text)
+    return whole.unionByName(pieces.where(F.col(text) != ""))
 
 
 def chunks(msgs: DataFrame) -> DataFrame:
-    """conv, chunk, exchanges in it, its body and length."""
-    ex = exchanges(msgs)
-    where = pack(ex, "conv", "exchange", F.length("body"))
-    joined = ex.join(where, ["conv", "exchange"])
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("exchange", "body"))), lambda x: x["body"]), "\n\n")
-    return joined.groupBy("conv", "chunk").agg(F.count(F.lit(1)).alias("n_exchanges"), body.alias("body")).withColumn("n_chars", F.length("body"))
+    """conv, chunk, exchanges (or pieces of long ones) in it, its body and length."""
+    ex = split_long(exchanges(msgs).select("conv", "exchange", "body"), ["conv", "exchange"], "body")
+    ex = ex.select("conv", (F.col("exchange") * (1 << 32) + F.col("piece")).alias("exchange"), "body")
+    placed = ex.join(pack(ex, "conv", "exchange", F.length("body")), ["conv", "exchange"])
+    return placed.groupBy("conv", "chunk").agg(F.count(F.lit(1)).alias("n_exchanges"), joined("exchange", "body", "\n\n").alias("body")).withColumn("n_chars", F.length("body"))
 
 
 def chunkable(msgs: DataFrame, noise: str) -> DataFrame:
@@ -109,7 +138,5 @@ def split_paragraphs(docs: DataFrame, key: str, text: str, limit: int = DOC_CHAR
     cuts = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / limit))
     pieces = paragraphs.select(key, "p", "body", F.explode(cuts).alias("i"))
     pieces = pieces.select(key, (F.col("p") * F.lit(1 << 20).cast("long") + F.col("i")).alias("piece"), F.col("body").substr(F.col("i").cast("int") * limit + 1, F.lit(limit)).alias("body"))
-    where = pack(pieces, key, "piece", F.length("body"), limit)
-    joined = pieces.join(where, [key, "piece"])
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "body"))), lambda x: x["body"]), "\n\n")
-    return joined.groupBy(key, "chunk").agg(body.alias("body"))
+    placed = pieces.join(pack(pieces, key, "piece", F.length("body"), limit), [key, "piece"])
+    return placed.groupBy(key, "chunk").agg(joined("piece", "body", "\n\n").alias("body"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
@@ -61,16 +61,22 @@ def whole_days(since: Column, now: Column) -> Column:
     return F.floor((F.unix_millis(now.cast("timestamp")) - F.unix_millis(since.cast("timestamp"))) / DAY_MS)
 
 
+def _winner(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The row of each key whose order is the smallest.  An aggregate of one struct, so
+    a key with very many rows is summed up before the shuffle and needs no sort."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("_r"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in df.columns])
+
+
 def newest_per_key(df: DataFrame, keys: list[str], time: str, position: str) -> DataFrame:
-    """The newest row of each key; of equally new ones, the first."""
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(time), F.asc(position))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The newest row of each key (undated ones last); of equally new ones, the first."""
+    return _winner(df, keys, [F.col(time).isNull(), -F.unix_micros(F.col(time).cast("timestamp")), F.col(position)])
 
 
 def first_per_key(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """First wins: unlike dropDuplicates, it depends on the position, not on luck."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return _winner(df, keys, [F.col(position)])
 
 
 def coverage(df: DataFrame, time: str) -> DataFrame:

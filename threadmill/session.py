@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +21,18 @@ def build(master: str | None = None, partitions: int | None = None, memory: str
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """spark with a checkpoint folder: the one that spark.checkpoint.dir names, which
+    driver and executors share.  Only a local master may do without the setting."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="spark-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return spark

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_topic, entities_named
+from ..functions.text import canonical_topic, decode_entities
 
 CONVERSATION = """session_id string, website_id string, state string, created_at bigint, updated_at bigint,
 active struct<now: boolean, last: bigint>, last_message string, assigned struct<user_id: string>,
@@ -46,7 +46,7 @@ def message_key(fingerprint: Column, at: Column, kind: Column, sender: Column, c
 
 
 def sitemap_urls(xml: Column) -> Column:
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), entities_named)
+    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), decode_entities)
 
 
 def feed_items(feeds: DataFrame, xml: str, host: str) -> DataFrame:
@@ -58,7 +58,7 @@ def feed_items(feeds: DataFrame, xml: str, host: str) -> DataFrame:
 
     def tag(name: str) -> Column:
         inner = F.regexp_extract("item", rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1)
-        plain = F.trim(entities_named(F.regexp_replace(F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"<[^>]+>", " ")))
+        plain = F.trim(decode_entities(F.regexp_replace(F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"<[^>]+>", " ")))
         return F.when(plain != "", plain)
 
     items = feeds.select(F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?is)<item[\s>].*?</item>"), F.lit(0))).alias("pos", "item"))
