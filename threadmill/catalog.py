@@ -452,11 +452,24 @@ def unembedded_chunks(spark, d):
     return I.unembedded(docs, ["embedding"], docs.where("doc_id % 10 = 0"), "doc_id").select("doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS thread, ts AS day, CASE event_id % 5 WHEN 0 THEN 'customer' WHEN 1 THEN 'support' WHEN 2 THEN 'drafted' WHEN 3 THEN 'status' ELSE 'topic' END AS kind, event_id % 3 = 0 AS promise, event_id % 4 <> 1 AS exact,
+  CASE WHEN event_id % 6 < 2 THEN event_id % 6 = 0 END AS page, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT DISTINCT thread, 0::BIGINT AS i, false AS tracked, NULL::BOOLEAN AS has_reply, NULL::TIMESTAMP AS promised_at, NULL::TIMESTAMP AS waiting_since, NULL::TIMESTAMP AS last_activity, NULL::TIMESTAMP AS last_reply, false AS resolved FROM e
+UNION ALL SELECT thread, i, tracked OR begins,
+  CASE WHEN same OR kind = 'drafted' THEN has_reply ELSE kind = 'customer' END,
+  CASE WHEN same THEN promised_at WHEN kind = 'support' AND promise THEN day END,
+  CASE WHEN same THEN waiting_since WHEN kind = 'support' AND NOT promise THEN day END,
+  CASE WHEN same THEN last_activity WHEN kind = 'customer' OR NOT tracked THEN day ELSE last_activity END,
+  CASE WHEN NOT same AND kind IN ('customer', 'support') AND exact THEN day ELSE last_reply END,
+  CASE WHEN same OR kind = 'topic' THEN resolved ELSE coalesce(page, resolved) END
+FROM (SELECT *, CASE WHEN NOT tracked THEN NOT begins WHEN kind = 'topic' THEN true ELSE kind IN ('customer', 'support') AND exact AND coalesce(day <= last_reply, false) END AS same
+  FROM (SELECT e.*, s.* EXCLUDE (thread, i), kind IN ('customer', 'topic') OR (kind = 'support' AND NOT exact) AS begins FROM s JOIN e ON e.thread = s.thread AND e.i = s.i + 1)))
+SELECT thread, has_reply, promised_at, waiting_since, last_activity, last_reply, resolved FROM s WHERE tracked AND i = (SELECT max(i) FROM e WHERE e.thread = s.thread)""")
 def thread_states(spark, d):
     """Event logs folded into thread states (users are threads)."""
     from .streaming.threads import fold
 
-    e = read(spark, d, "events")
-    kind = F.element_at(F.array(*map(F.lit, ("customer", "support", "drafted", "status", "support"))), (F.col("event_id") % 5 + 1).cast("int"))
-    return fold(e.select(F.col("user_id").alias("thread"), F.col("ts").alias("at"), F.col("event_id").alias("pos"), kind.alias("kind"), (F.col("event_id") % 3 == 0).alias("promise")))
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("customer", "support", "drafted", "status", "topic"))), (k % 5 + 1).cast("int"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("ts").alias("at"), k.alias("pos"), kind.alias("kind"), (k % 3 == 0).alias("promise"), (k % 4 != 1).alias("exact"), F.when(k % 6 < 2, k % 6 == 0).alias("resolved"))
+    return fold(e)
