@@ -32,10 +32,11 @@ from .textbatch import Slice, mix, powers, slices
 
 LENGTH = 50
 K = 20
-#: Occurrences of a minimizer that one task sorts together.  Of more, equal contexts
+#: Occurrences of a minimizer (some 16 MB of contexts) that one task sorts together.
+#: Of more, equal contexts
 #: are one first, and what is left compares the bytes of its windows in a
 #: distributed aggregation.
-CROWD = 20_000
+CROWD = 200_000
 #: Minimizers that a task sorts and packs at once, and that meet in one group of the
 #: shuffle, about.
 PACK = 1 << 18
