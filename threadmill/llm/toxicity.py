@@ -1,12 +1,14 @@
 """Toxicity from the nearest labelled examples.
 
-Examples and texts are TF-IDF vectors over word stems (the first few letters of
-each word).  A text's nearest examples are found exactly, in a block-max inverted
-index: for every block of examples the index keeps each stem's largest weight, so
-a text's product with those maxima bounds its cosine with any example of the
-block, and blocks whose bound is below the text's k-th best cosine are skipped.
-The neighbours vote with weights that fall with distance; the votes are
-calibrated on the examples themselves, each left out of its own vote.
+Examples and texts are TF-IDF vectors over terms: every whole word, and every word's
+stem, its first four letters, beside it.  A text's nearest examples
+are found exactly, in an inverted index of blocks of examples.  Rare terms keep
+posting lists, which are walked for the terms of the text; terms that very many
+examples have keep a row of weights each, and their largest weight in every block.
+What the lists gave plus the product with those maxima bounds a text's cosine with
+any example of a block, and blocks whose bound is below the text's k-th best cosine
+are skipped.  The neighbours vote with weights that fall with distance; the votes
+are calibrated on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -17,28 +19,38 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textbatch import IS_LEAD, IS_SPACE, LOWER, Slice, slices, span_hash, prefix
+from .textbatch import IS_LEAD, IS_SPACE, LOWER, Slice, mix, prefix, slices, span_hash
 
 #: The bounded sample: at most so many labelled examples of each class are indexed.
+#: All else covers every document: each term that an example has is a feature,
+#: whatever its document frequency, which is counted over all documents.
 EXAMPLES = 2000
-#: Letters of a stem.  Every stem that an example has is a feature, however many
-#: documents have it; its document frequency only weighs it.
+#: Code points of a stem.
 STEM = 4
 NEIGHBOURS = 20
 BLOCK = 32
-_BATCH_BYTES = 1 << 19
+#: Terms that more than this share of the examples have keep rows instead of lists.
+ROW_SHARE = 0.08
+#: Blocks of the largest bounds that every text looks into first.
+FIRST = 4
+#: Texts, and postings, that are worked on at once.
+_TEXTS, _POSTINGS = 256, 1 << 20
+_SLICE = 1 << 19
+#: Sums of document frequencies: pieces of the vocabulary, and first-level sums of each.
+_PIECES, _SUMS = 16, 16
 
 _PART = ~IS_SPACE
 _PART[[c for c in range(128) if not (chr(c).isalnum() or IS_SPACE[c])]] = False
 
 
-def stems(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word's first STEM code points, ASCII lower case, and the
-    text it is in.  Words end at white space and ASCII punctuation."""
+def words_of(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each word, ASCII lower case, and of its stem, and the text they
+    are in.  Words end at white space and ASCII punctuation."""
     data = LOWER[s.data]
     full = _PART[data]
     starts = full.copy()
@@ -47,17 +59,18 @@ def stems(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     starts[heads] = full[heads]
     start = np.flatnonzero(starts)
     stop = np.flatnonzero(~full)
-    bound = np.append(stop, len(data))[np.searchsorted(stop, start)]
+    end = np.append(stop, len(data))[np.searchsorted(stop, start)]
     text = s.text_of(start)
-    bound = np.minimum(bound, s.offs[text + 1])
+    end = np.minimum(end, s.offs[text + 1])
     lead = np.append(np.flatnonzero(IS_LEAD[data]), np.full(STEM + 1, len(data)))
-    end = np.minimum(lead[np.minimum(np.searchsorted(lead, start) + STEM, len(lead) - 1)], bound)
-    return span_hash(prefix(data.astype(np.uint64) + np.uint64(0x51ED27)), start, end), text
+    stem = np.minimum(lead[np.minimum(np.searchsorted(lead, start) + STEM, len(lead) - 1)], end)
+    pre = prefix(data.astype(np.uint64) + np.uint64(0x51ED27))
+    return np.concatenate([span_hash(pre, start, end), mix(span_hash(pre, start, stem))]), np.concatenate([text, text])
 
 
 def counts(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """text, stem and how often the text has it, for every pair that occurs."""
-    key, text = stems(s)
+    """text, term and how often the text has it, for every pair that occurs."""
+    key, text = words_of(s)
     order = np.lexsort((key, text))
     key, text = key[order], text[order]
     new = np.ones(len(key), bool)
@@ -70,63 +83,100 @@ def _column(x) -> pa.Array:
     return pa.array(x, pa.large_string(), from_pandas=True) if isinstance(x, pd.Series) else x
 
 
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, count of each."""
+    return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
 @dataclass
 class Index:
-    """Everything the scoring tasks need; its size is bounded by EXAMPLES."""
+    """What the scoring tasks need; it holds the words of 2 * EXAMPLES texts at most."""
 
-    vocabulary: np.ndarray  # sorted stem hashes
+    vocabulary: np.ndarray  # sorted word hashes
     idf: np.ndarray
     doc_id: np.ndarray
     label: np.ndarray
-    weights: list[np.ndarray]  # of each block: rows of its own stems, a column for each example
-    terms: list[np.ndarray]  # of each block: the stems it has
-    block_max: np.ndarray  # stems x blocks
+    first: np.ndarray  # where each word's postings begin, and the end of the last
+    who: np.ndarray  # postings: example and weight
+    weight: np.ndarray
+    row: np.ndarray  # of each word: its row, or -1
+    rows: np.ndarray  # frequent words x examples
+    row_max: np.ndarray  # frequent words x blocks
     slope: float = 1.0
     offset: float = 0.0
 
-    def vectors(self, s: Slice) -> np.ndarray:
-        """Unit TF-IDF vectors of a slice's texts; a text without a known stem is 0."""
+    def entries(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, word number and weight of the known words of a slice's texts, as unit vectors."""
         text, key, tf = counts(s)
         at = np.minimum(np.searchsorted(self.vocabulary, key), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == key
-        out = np.zeros((s.n, len(self.vocabulary)))
-        out[text[known], at[known]] = (1 + np.log(tf[known])) * self.idf[at[known]]
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm > 0, norm, 1)
+        text, at = text[known], at[known]
+        w = (1 + np.log(tf[known])) * self.idf[at]
+        norm = np.sqrt(np.bincount(text, w * w, s.n))
+        return text, at, w / norm[text]
 
-    def nearest(self, q: np.ndarray, k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and numbers of each row's k nearest examples, best first.
+    def nearest(self, s: Slice, k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of each text's k nearest examples, best first.
 
-        Exact: a block is left out only for rows whose k-th best is above its
-        bound.  Ties go to the smaller number.  skip: an example for each row
-        that does not count as its neighbour.
+        Exact.  Ties go to the smaller number; missing ones have cosine -1.  skip:
+        an example for each text that does not count as its neighbour.
         """
-        n, blocks = len(q), len(self.terms)
-        best, who = np.full((n, k), -1.0), np.full((n, k), 1 << 30)
-        bound = q @ self.block_max
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for turn in range(blocks):
-            which = order[:, turn]
-            live = bound[np.arange(n), which] >= best[:, -1] - 1e-9
-            if not live.any():
-                break
-            for b in np.unique(which[live]):
-                rows = np.flatnonzero(live & (which == b))
-                sim = q[np.ix_(rows, self.terms[b])] @ self.weights[b]
-                ids = np.arange(b * BLOCK, b * BLOCK + sim.shape[1])
-                if skip is not None:
-                    sim = np.where(ids[None, :] == skip[rows][:, None], -1.0, sim)
-                sim = np.concatenate([best[rows], np.round(sim, 12)], axis=1)
-                ids = np.concatenate([who[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
-                top = np.lexsort((ids, -sim), axis=1)[:, :k]
-                best[rows], who[rows] = np.take_along_axis(sim, top, 1), np.take_along_axis(ids, top, 1)
+        best, who = np.full((s.n, k), -1.0), np.full((s.n, k), len(self.label))
+        text, word, w = self.entries(s)
+        size = np.where(self.row[word] < 0, self.first[word + 1] - self.first[word], 0)
+        done = np.append(0, np.cumsum(size))
+        begin = np.searchsorted(text, np.arange(s.n + 1))
+        i = 0
+        while i < s.n:
+            j = min(i + _TEXTS, s.n, int(np.searchsorted(done[begin[1:]], done[begin[i]] + _POSTINGS, side="right")))
+            j = max(j, i + 1)
+            e = slice(begin[i], begin[j])
+            best[i:j], who[i:j] = self._nearest(j - i, text[e] - i, word[e], w[e], size[e], k, None if skip is None else skip[i:j])
+            i = j
+        return best, who
+
+    def _nearest(self, m, text, word, w, size, k, skip):
+        n = len(self.label)
+        k_ = min(k, n)
+        edges = np.arange(0, n, BLOCK)
+        lists = _spans(self.first[word], size)
+        cell = np.repeat(text * n, size) + self.who[lists]
+        part = np.bincount(cell, np.repeat(w, size) * self.weight[lists], m * n).reshape(m, n)
+        q = np.zeros((m, len(self.rows)))
+        often = self.row[word] >= 0
+        q[text[often], self.row[word[often]]] = w[often]
+        bound = np.maximum.reduceat(part, edges, axis=1) + q @ self.row_max
+        cosine = np.full((m, n), -1.0)
+
+        def look(live: np.ndarray) -> None:
+            for b in np.flatnonzero(live.any(axis=0)):
+                t, e = np.flatnonzero(live[:, b]), slice(edges[b], edges[b] + BLOCK)
+                cosine[t, e] = np.round(part[t, e] + q[t] @ self.rows[:, e], 12)
+            if skip is not None:
+                cosine[np.arange(m), skip] = -1.0
+
+        deep = min(len(edges), max(FIRST, -(-k_ // BLOCK)))
+        seen = np.zeros(bound.shape, bool)
+        np.put_along_axis(seen, np.argpartition(-bound, deep - 1, axis=1)[:, :deep], True, axis=1)
+        look(seen)
+        worst = np.partition(cosine, n - k_, axis=1)[:, n - k_]
+        look(~seen & (bound >= worst[:, None] - 1e-9))
+        worst = np.partition(cosine, n - k_, axis=1)[:, n - k_]
+        t, e = np.nonzero(cosine >= np.maximum(worst, -0.5)[:, None])
+        c = cosine[t, e]
+        order = np.lexsort((e, -c, t))
+        t, e, c = t[order], e[order], c[order]
+        place = np.arange(len(t)) - np.searchsorted(t, t)
+        top = place < k_
+        best, who = np.full((m, k), -1.0), np.full((m, k), n)
+        best[t[top], place[top]], who[t[top], place[top]] = c[top], e[top]
         return best, who
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
         """The share of the toxic among the neighbours, weighted by 1 / distance."""
         there = best > 0
         weight = np.where(there, 1.0 / (1e-3 + np.sqrt(np.maximum(0, 2 - 2 * best))), 0.0)
-        toxic = np.append(self.label, 0)[np.minimum(who, len(self.label))]
+        toxic = np.append(self.label, 0)[who]
         total = weight.sum(axis=1)
         # Without any neighbour the vote is that of the class shares.
         return np.where(total > 0, (weight * toxic).sum(axis=1) / np.where(total > 0, total, 1), np.nan)
@@ -156,8 +206,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
 
     Up to ``examples`` rows of each class are drawn by a seeded hash of the key;
     all of them where there are fewer.  Rows with a null key or label teach
-    nothing.  Document frequencies are counted over all docs.  Without a labelled
-    row of both classes there is no index.
+    nothing; a key that several rows have teaches its smallest text, a key with
+    both labels is toxic.  Examples without a word are left out.  Document
+    frequencies are counted over all docs.  Without a labelled row of both
+    classes, or without a word, there is no index.
+
+    Tasks cut the examples into words and count; the driver receives the examples'
+    words, packed, and the frequencies of those words.
     """
     known = labels.where(learn & F.col(key).isNotNull() & F.col(toxic).isin(0, 1)).select(F.col(key).alias("k"), F.col(toxic).cast("int").alias("y"))
     known = known.groupBy("k").agg(F.max("y").alias("y"))
@@ -169,122 +224,152 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     sample = known.where("y = 0").orderBy(draw, "k").limit(examples).unionByName(known.where("y = 1").orderBy(draw, "k").limit(examples))
     sample = written(sample, "tox-sample")
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(sample), "k")
+    texts = written(texts.groupBy("k", "y").agg(F.min("text").alias("text")), "tox-texts")
+    kind = texts.schema["k"].dataType.simpleString()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, ys = np.asarray(batch["k"]), np.asarray(batch["y"])
             for s in slices(batch["text"]):
-                at, stem, tf = counts(s)
-                at = at + s.first
-                yield pa.RecordBatch.from_arrays([pa.array(ks[at]), pa.array(ys[at]), pa.array(stem.view(np.int64)), pa.array(tf)], ["k", "y", "stem", "tf"])
+                at, word, tf = counts(s)
+                cut = np.searchsorted(at, np.arange(s.n + 1))
+                rows = [[x[i:j].tobytes() for i, j in zip(cut, cut[1:])] for x in (word, tf.astype(np.int32))]
+                part = batch.slice(s.first, s.n)
+                yield pa.RecordBatch.from_arrays([part["k"], part["y"], *[pa.array(x, pa.binary()) for x in rows]], ["k", "y", "words", "tf"])
 
-    rows = texts.mapInArrow(features, "k bigint, y int, stem bigint, tf bigint")
-    rows = written(rows.groupBy("k", "y", "stem").agg(F.max("tf").alias("tf")), "tox-features")
-    table = rows.toArrow()
+    table = texts.mapInArrow(features, f"k {kind}, y int, words binary, tf binary").where("octet_length(words) > 0").toArrow().sort_by("k")
     if not table.num_rows:
         return None, prior
-    stem = table["stem"].to_numpy().view(np.uint64)
-    vocabulary = np.unique(stem)
-    # Document frequencies of those stems over every document.
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    word = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
+    at = np.repeat(np.arange(len(word)), [len(x) for x in word])
+    word = np.concatenate(word)
+    tf = np.frombuffer(b"".join(table["tf"].to_pylist()), np.int32)
+    vocabulary, term = np.unique(word, return_inverse=True)
+    df, total = _frequencies(docs.select(F.col(text).alias("text")), vocabulary)
+    idf = np.log((1 + total) / (1 + df)) + 1
+    index = _build(table["k"].to_numpy(), table["y"].to_numpy().astype(np.int64), at, term, tf, vocabulary, idf)
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        df, n = np.zeros(len(v), np.int64), 0
+    # Calibration: every example's vote without itself, classes weighted to their shares.
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        number = {k: i for i, k in enumerate(ix.doc_id.tolist())}
         for batch in batches:
-            n += batch.num_rows
-            for s in slices(batch["text"]):
-                _, stem, _ = counts(s)
-                at = np.minimum(np.searchsorted(v, stem), len(v) - 1)
-                df += np.bincount(at[v[at] == stem], minlength=len(v))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(v))), pa.array(np.append(n, df))], ["stem", "n"])
-
-    seen = docs.select(F.col(text).alias("text")).mapInArrow(frequencies, "stem bigint, n bigint").groupBy("stem").agg(F.sum("n").alias("n")).toPandas()
-    seen = dict(zip(seen["stem"], seen["n"]))
-    total = seen.get(-1, 0)
-    df = np.array([seen.get(i, 0) for i in range(len(vocabulary))])
-    idf = np.log((1 + total) / (1 + df)) + 1
-    k, y, tf = (table[c].to_numpy() for c in ("k", "y", "tf"))
-    return _build(k, y, np.searchsorted(vocabulary, stem), tf, vocabulary, idf, prior), prior
+            ks = batch["k"].to_pylist()
+            known = np.array([i for i, k in enumerate(ks) if k in number], np.int64)
+            part = batch.take(pa.array(known))
+            own = np.array([number[ks[i]] for i in known], np.int64)
+            for s in slices(part["text"]):
+                v = ix.votes(*ix.nearest(s, skip=own[s.first : s.first + s.n]))
+                yield pa.RecordBatch.from_arrays([pa.array(own[s.first : s.first + s.n]), pa.array(np.nan_to_num(v, nan=prior))], ["i", "vote"])
+
+    done = texts.repartition(16, "k").mapInArrow(vote, "i bigint, vote double").toArrow()
+    votes = np.full(len(index.label), prior)
+    votes[done["i"].to_numpy()] = done["vote"].to_numpy()
+    label = index.label
+    weight = np.where(label == 1, prior / max(1, label.sum()), (1 - prior) / max(1, (1 - label).sum())) * len(label)
+    index.slope, index.offset = _calibrate(votes, label, weight)
+    return index, prior
 
 
-def _build(k: np.ndarray, y: np.ndarray, term: np.ndarray, tf: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, prior: float) -> Index:
-    """The index of the examples' entries: key, label, place in the vocabulary, count."""
-    ids, at = np.unique(k, return_inverse=True)
-    label = np.zeros(len(ids), np.int64)
-    label[at] = y
-    value = (1 + np.log(tf)) * idf[term]
-    value /= np.maximum(np.sqrt(np.bincount(at, value**2)), 1e-12)[at]
+def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all texts have each word, and how many texts there are.
 
-    def dense(first: int, last: int) -> np.ndarray:
-        """Vectors of the examples first to last - 1; entries are sorted by example."""
-        lo, hi = np.searchsorted(at, [first, last])
-        out = np.zeros((last - first, len(vocabulary)))
-        out[at[lo:hi] - first, term[lo:hi]] = value[lo:hi]
-        return out
+    A task sends its counts as _PIECES arrays, which are added up in two steps.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    size = -(-(len(vocabulary) + 1) // _PIECES)
 
-    # Like examples share a block, so that its maxima bound them closely: a chain
-    # of orderings by the examples' products with a few seeded directions.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        df = np.zeros(size * _PIECES, np.int64)
+        for batch in batches:
+            df[len(v)] += batch.num_rows
+            for s in slices(batch["text"]):
+                _, word, _ = counts(s)
+                at = np.minimum(np.searchsorted(v, word), len(v) - 1)
+                df[: len(v)] += np.bincount(at[v[at] == word], minlength=len(v))
+        if df[len(v)]:
+            turn = TaskContext.get().partitionId() % _SUMS
+            rows = [x.tobytes() for x in df.reshape(_PIECES, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PIECES, dtype=np.int32)), pa.array(np.full(_PIECES, turn, np.int32)), pa.array(rows, pa.binary())], ["piece", "turn", "df"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for x in table["df"]:
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"piece": table["piece"].slice(0, 1), "turn": table["turn"].slice(0, 1), "df": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "piece int, turn int, df binary"
+    sums = texts.mapInArrow(count, kind).groupBy("piece", "turn").applyInArrow(add, kind).groupBy("piece").applyInArrow(add, kind)
+    df = np.zeros((_PIECES, size), np.int64)
+    for piece, _, x in sums.collect():
+        df[piece] = np.frombuffer(x, np.int64)
+    df = df.ravel()
+    return df[: len(vocabulary)], int(df[len(vocabulary)])
+
+
+def _build(ids: np.ndarray, label: np.ndarray, at: np.ndarray, term: np.ndarray, tf: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray) -> Index:
+    """The index of the examples' entries: example, place in the vocabulary, count."""
+    n = len(ids)
+    value = (1 + np.log(tf)) * idf[term]
+    value /= np.sqrt(np.bincount(at, value**2, n))[at]
+    # Like examples share a block, so that its maxima bound them closely: those with
+    # the same nearest of a few seeded examples, by their product with it.
     rng = np.random.default_rng(3)
-    near = np.zeros((len(ids), min(16, len(ids))))
-    for j, pivot in enumerate(rng.choice(len(ids), near.shape[1], replace=False)):
+    near = np.zeros((n, min(16, n)))
+    for j, pivot in enumerate(rng.choice(n, near.shape[1], replace=False)):
         side = np.zeros(len(vocabulary))
         side[term[at == pivot]] = value[at == pivot]
-        near[:, j] = np.bincount(at, value * side[term], minlength=len(ids))
-    order = np.lexsort((ids, near[:, 0], near.argmax(axis=1)))
-    ids, label = ids[order], label[order]
+        near[:, j] = np.bincount(at, value * side[term], n)
+    order = np.lexsort((np.arange(n), near.max(axis=1), near.argmax(axis=1)))
     at = np.argsort(order)[at]
-    entries = np.lexsort((term, at))
-    at, term, value = at[entries], term[entries], value[entries]
-    weights, terms, maxima = [], [], []
-    for b in range(0, len(ids), BLOCK):
-        part = dense(b, min(b + BLOCK, len(ids)))
-        maxima.append(part.max(axis=0))
-        terms.append(np.flatnonzero(maxima[-1] > 0))
-        weights.append(np.ascontiguousarray(part[:, terms[-1]].T))
-    index = Index(vocabulary, idf, ids, label, weights, terms, np.stack(maxima, axis=1))
-    # Calibration: every example's vote without itself, classes weighted to their shares.
-    ranges = [(i, min(i + 256, len(ids))) for i in range(0, len(ids), 256)]
-    vote = np.concatenate([index.votes(*index.nearest(dense(i, j), skip=np.arange(i, j))) for i, j in ranges])
-    vote = np.nan_to_num(vote, nan=prior)
-    weight = np.where(label == 1, prior / max(1, label.sum()), (1 - prior) / max(1, (1 - label).sum())) * len(label)
-    index.slope, index.offset = _calibrate(vote, label, weight)
-    return index
+    held = np.bincount(term, minlength=len(vocabulary))
+    often = np.flatnonzero(held > max(BLOCK, ROW_SHARE * n))
+    row = np.full(len(vocabulary), -1, np.int32)
+    row[often] = np.arange(len(often))
+    wide = row[term] >= 0
+    rows = np.zeros((len(often), n))
+    rows[row[term[wide]], at[wide]] = value[wide]
+    by_term = np.lexsort((at[~wide], term[~wide]))
+    first = np.append(0, np.cumsum(np.bincount(term[~wide], minlength=len(vocabulary))))
+    row_max = np.maximum.reduceat(rows, np.arange(0, n, BLOCK), axis=1) if len(often) else np.zeros((0, -(-n // BLOCK)))
+    return Index(vocabulary, idf, ids[order], label[order], first, at[~wide][by_term].astype(np.int32), value[~wide][by_term], row, rows, row_max)
 
 
 def score(docs: DataFrame, index: Index | None, prior: float, text: str = "text", evidence: int = 3) -> DataFrame:
-    """docs with ``score`` (0 to 1), ``predicted`` and ``evidence``.
+    """docs with ``score`` (0 to 1), ``predicted`` and, unless it is 0, ``evidence``.
 
-    evidence: keys, labels and cosines of the nearest examples.  Null and empty
-    texts, and texts without a known stem, score the share of toxic labels.  With
+    evidence: keys, labels and cosines of so many nearest examples.  Null and empty
+    texts, and texts without a known word, score the share of toxic labels.  With
     no index (no label to learn from) every text scores it.  Rows are scored one
     by one; repeated rows score alike, other columns stay.  Columns of the new
     names are replaced.
     """
-    kind = "score double, evidence array<struct<example:bigint,label:int,cosine:double>>"
+    found = "array<struct<example:bigint,label:int,cosine:double>>"
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     if index is None:
-        empty = F.array().cast("array<struct<example:bigint,label:int,cosine:double>>")
-        return docs.withColumns({"score": F.lit(float(prior)), "evidence": empty}).withColumn("predicted", predicted)
+        more = {"evidence": F.array().cast(found)} if evidence else {}
+        return docs.withColumns({"score": F.lit(float(prior)), **more}).withColumn("predicted", predicted)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for column in columns:
-            scores, found = [np.zeros(0)], []
-            for s in slices(_column(column), _BATCH_BYTES):
-                for i in range(0, s.n, 512):
-                    offs = s.offs[i : i + 513]
-                    part = Slice(s.data[offs[0] : offs[-1]], offs - offs[0], s.first + i)
-                    best, who = ix.nearest(ix.vectors(part))
-                    scores.append(np.round(ix.score(ix.votes(best, who), prior), 9))
+            scores, why = [np.zeros(0)], []
+            for s in slices(_column(column), _SLICE):
+                best, who = ix.nearest(s)
+                scores.append(np.round(ix.score(ix.votes(best, who), prior), 9))
+                if evidence:
                     for cos, w in zip(best[:, :evidence].tolist(), who[:, :evidence].tolist()):
-                        found.append([{"example": int(ix.doc_id[j]), "label": int(ix.label[j]), "cosine": c} for c, j in zip(cos, w) if c > 0])
-            yield pd.DataFrame({"score": np.concatenate(scores), "evidence": pd.Series(found, dtype=object)})
+                        why.append([{"example": int(ix.doc_id[j]), "label": int(ix.label[j]), "cosine": c} for c, j in zip(cos, w) if c > 0])
+            out = {"score": np.concatenate(scores)}
+            yield pd.DataFrame(out | {"evidence": pd.Series(why, dtype=object)} if evidence else out)
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    out = docs.withColumn("_scored", F.pandas_udf(run, kind)(F.col(text)))
-    return out.withColumns({"score": F.col("_scored.score"), "evidence": F.col("_scored.evidence")}).drop("_scored").withColumn("predicted", predicted)
+    names = ["score", "evidence"] if evidence else ["score"]
+    out = docs.withColumn("_scored", F.pandas_udf(run, f"score double, evidence {found}" if evidence else "score double")(F.col(text)))
+    return out.withColumns({c: F.col(f"_scored.{c}") for c in names}).drop("_scored").withColumn("predicted", predicted)
 
 
 def held_out(key: Column) -> Column:
