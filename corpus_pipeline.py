@@ -17,10 +17,15 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic.  Held-out labels teach nothing."""
+    """Documents that are not predicted toxic.  Held-out labels teach nothing.
+
+    Null and empty texts score the share of toxic labels and stay below one half of
+    it; repeated rows share their fate.  No labels, or none left in docs: all stay.
+    Further columns of docs are dropped, here and in every stage.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     index, prior = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
-    return toxicity.score(docs.select(COLUMNS), index, prior).where("predicted = 0").select(COLUMNS)
+    return toxicity.score(docs.select(COLUMNS), index, prior, evidence=0).where("predicted = 0").select(COLUMNS)
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -37,7 +42,8 @@ def _same():
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group that shares 80 % of its five-word shingles,
     in the order of doc_id (nulls last) and two hashes of the text.  Of rows that
-    are equal in doc_id and text, one stays."""
+    are equal in doc_id and text, one stays.  Null and empty texts are near to
+    nothing and stay, once for each doc_id.  An empty table stays empty."""
     groups = neardup_texts.near_duplicates(docs, words=5, percent=80, hashes=True)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
     gone = groups.where(~stays).select("doc_id", "t1", "t2").distinct()
@@ -56,7 +62,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 bytes or more that an earlier document has."""
+    """Texts without passages of 50 bytes or more that an earlier document has.
+
+    Null texts stay null; rows with a null doc_id stay whole; rows of one doc_id are
+    not earlier than each other.  Documents stay, if with an empty text.
+    """
     done = suffix_dedup.remove_repeats(docs.select(COLUMNS), whole_characters=True)
     text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
     done = done.withColumn("text", text)
@@ -64,7 +74,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (0 to 2 times)."""
+    """Every document as often as the mix takes it (0 to 2 times).
+
+    Null and empty texts have no words and are never taken; a null source is a
+    source, the last.  Of equal hashes the smaller doc_id is taken first.
+    """
     rows = _hashed(docs)
     plan = mixing.mix_plan(rows, ["doc_id", "t1", "t2"]).where("times > 0").select("doc_id", "t1", "t2", "times")
     plan = sized(written(plan, "mix-times"))
@@ -73,7 +87,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the piece ids of every document of the mix."""
+    """doc_id, source and the piece ids of every document of the mix; null and empty
+    texts have none.  Repeated rows are coded alike."""
     fst = transducer.Transducer.read(PIECE_MODEL)
     coded = transducer.encode(docs.select("doc_id", "source", "text"), fst)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
