@@ -23,10 +23,8 @@ from .textbatch import slices
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_REPEATS = 2
-#: The dynamic programme fits the last words of a budget; the budget it is given
-#: is below this many times the longest document that it may still pick.
+#: The dynamic programme is given so many times the longest document's words.
 DP_SPAN = 4
-DP_LIMIT = 1 << 18
 #: Documents of one source and length that one task ranks.
 RANK_ROWS = 50_000
 
@@ -41,50 +39,37 @@ def fit_budget(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray
     """How many documents of each length to take so that their lengths sum to at
     most ``budget`` and as near to it as the programme finds.
 
-    Each length first gives the same share of its documents (rounded down), so
-    that the choice keeps the source's length profile.  Then whole documents are
-    added, longest first, while the rest of the budget is too large for the
-    dynamic programme.  The programme is a bounded knapsack over the remaining
-    budget: ``via[s]`` is the length that first reached the sum s.
+    The lengths first give like shares of their words, up to DP_SPAN times the
+    longest length below the budget, so that the choice keeps the source's length
+    profile: every length takes what brings the words so far nearest to its part
+    of that sum.  The rest, which has the same size for every budget, is a bounded
+    knapsack: ``via[s]`` is the length that first reached the sum s.  Lengths of 0
+    are never taken.
     """
-    length, count = np.asarray(length, np.int64), np.asarray(count, np.int64)
+    length, count = np.asarray(length, np.int64), np.where(np.asarray(length) > 0, np.asarray(count, np.int64), 0)
     take = np.zeros_like(count)
-    useful = length > 0
     total = int((length * count).sum())
     if budget <= 0 or total <= 0:
         return take
     if budget >= total:
-        return np.where(useful, count, 0)
-    share = [int(c) * budget // total for c in count.tolist()]
-    take = np.where(useful, np.array(share, np.int64), 0)
-    rest = budget - int((take * length).sum())
+        return count
+    goal = max(0, budget - DP_SPAN * int(length.max()))
+    seen = done = 0
     for i in np.argsort(-length):
-        if rest <= max(DP_SPAN * int(length.max()), 1) and rest <= DP_LIMIT:
-            break
-        if length[i] > 0:
-            more = min(int(count[i] - take[i]), max(0, rest // int(length[i]) - DP_SPAN))
-            take[i] += more
-            rest -= more * int(length[i])
-    # Whatever exceeds the programme's table is filled greedily first (only where
-    # a source has few documents beyond the share taken above).
-    for i in np.argsort(-length):
-        if rest <= DP_LIMIT:
-            break
-        if length[i] > 0:
-            more = min(int(count[i] - take[i]), (rest - DP_LIMIT) // int(length[i]) + 1, rest // int(length[i]))
-            take[i] += more
-            rest -= more * int(length[i])
-    rest_table = min(rest, DP_LIMIT + int(length.max()))
-    via = np.zeros(rest_table + 1, np.int64)
-    reached = np.zeros(rest_table + 1, bool)
+        step, n = int(length[i]), int(count[i])
+        if n:
+            seen += step * n
+            take[i] = min(n, max(0, (goal * seen // total - done + step // 2) // step))
+            done += int(take[i]) * step
+    rest = budget - done
+    via, reached = np.zeros(rest + 1, np.int64), np.zeros(rest + 1, bool)
     reached[0] = True
-    spare = count - take
     for i in np.argsort(-length):
-        step = int(length[i])
-        if step <= 0 or step > rest_table or spare[i] <= 0 or reached[rest_table]:
+        step, spare = int(length[i]), int(count[i] - take[i])
+        if not 0 < step <= rest or reached[rest]:
             continue
         edge = reached
-        for _ in range(min(int(spare[i]), rest_table // step)):
+        for _ in range(min(spare, rest // step)):
             new = np.zeros_like(reached)
             new[step:] = edge[:-step]
             new &= ~reached
@@ -106,25 +91,29 @@ def targets(sources: DataFrame, share: float = SHARE) -> DataFrame:
 
     Weights repeat over the sources in code-point order, null last.  A target
     stops at MAX_REPEATS times its source's words and the excess is shared again
-    by weight until none is above: target = min(cap, level * weight) for the one
-    level that spends the whole budget.  One row for each source passes through
-    a window here, never one for each document.
+    by weight until none is above.  Places in the order come from sorted
+    partitions and how many rows each has; every round of sharing is one sum over
+    the sources, so no source's row has to pass a single task.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    w = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("int"))
-    s = sources.withColumn("weight", w).withColumn("cap", (MAX_REPEATS * F.col("words")).cast("double"))
-    # Sources fill up in the order of cap / weight.  With those before it full,
-    # a source is full as well if the level at its own cap still fits.
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("budget", F.lit(share) * F.sum("words").over(everything))
-    s = s.withColumn("open_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.col("open_weight"))
-    fits = F.col("level") * F.col("weight") < F.col("cap")
-    # The first source in that order that does not fill up has the largest open weight.
-    s = s.withColumn("final", F.max(F.when(fits, F.struct("open_weight", "level"))).over(everything)["level"])
-    return s.withColumn("target", F.coalesce(F.least("cap", F.col("final") * F.col("weight")), "cap")).select("source", "words", "target")
+    ordered = sources.repartitionByRange(F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id())
+    ordered = written(ordered, "mix-sources")
+    place, offsets = 0, {}
+    for part, n in sorted(tuple(r) for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets[part], place = place, place + n
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1
+    before = F.element_at(F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]), F.col("part")) if offsets else F.lit(0)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((before + within) % len(WEIGHTS) + 1).cast("int"))
+    s = ordered.select("source", "words", weight.alias("weight"), (MAX_REPEATS * F.col("words")).cast("double").alias("cap"))
+    s = written(s, "mix-weights")
+    words, full, open_ = s.agg(F.sum("words"), F.lit(0.0), F.sum("weight")).first()
+    budget, level = share * (words or 0), 0.0
+    while open_:
+        last, level = open_, (budget - full) / open_
+        above = F.col("cap") < F.lit(level) * F.col("weight")
+        full, open_ = s.agg(F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0))).first()
+        if open_ == last:
+            break
+    return s.select("source", "words", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix_plan(docs: DataFrame, key: list[str], source: str = "source", text: str = "text", seed: int = 7, share: float = SHARE) -> DataFrame:
