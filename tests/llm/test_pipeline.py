@@ -159,3 +159,35 @@ def test_near_copies_without_unique_ids(spark):
     assert sorted((i, t[:40]) for i, t in groups if i is None) == sorted((None, t[:40]) for t in (a, b))
     assert [(i, t[:40]) for i, t in groups if i is not None] == [(7, c[:40])]
     assert (7, None) in kept and len(kept) == 5
+
+
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, extra columns with
+    names of the stages' own, and empty tables."""
+    r = random.Random(12)
+    prose = " ".join(r.choices([f"w{i}" for i in range(900)], k=120))
+    long = " ".join(r.choices([f"v{i}" for i in range(5000)], k=30_000)) + " " + "y" * 100_000
+    texts = [None, "", " ", prose, prose, prose + " tail", long, "é" * 60, "\n\n"]
+    rows = [(i % 5 if i < 7 else None, t, None, ["s", None][i % 2], None, 1, "old") for i, t in enumerate(texts)]
+    rows += [(3, prose, None, None, None, 1, "old")] * 3
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, size int, score string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    labels = [(0, 1, 0), (1, 1, 1), (None, None, 1), (3, 1, None), (2, 0, 0), (2, 0, 0), (4, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/some/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/none")
+    assert kept.count() == len(rows) and kept.columns == corpus_pipeline.COLUMNS
+    assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/some").columns == corpus_pipeline.COLUMNS
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        got = out.collect()
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        if name == "ngram_jaccard_join":
+            assert len([x for x in got if x["text"] and x["text"].startswith(prose)]) == 1
+            assert len([x for x in got if x["text"] == long]) == 1
+        if name == "suffix_array_dedup":
+            assert len(got) == len(rows) and sorted(x["doc_id"] or -1 for x in got) == sorted(x[0] or -1 for x in rows)
+        if name == "mixing":
+            assert all((x["text"] or "").split() for x in got)
+    coded = corpus_pipeline.encode(spark, docs, "").collect()
+    assert len(coded) == len(rows) and corpus_pipeline.encode(spark, docs.limit(0), "").count() == 0

@@ -2,8 +2,9 @@
 
 Intermediate results are cut from their lineage by writing them as Parquet under
 the folder that the cluster names in ``spark.checkpoint.dir``.  A lost executor
-then costs only its running tasks.  Where the setting is absent (local tests) a
-folder below ``/tmp/checkpoints`` is used and removed at exit.
+then costs only its running tasks.  Where the setting is absent a local master (as
+in tests) uses a folder below ``/tmp/checkpoints``, removed at exit; any other is
+an error.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = f"/tmp/checkpoints/threadmill-{uuid.uuid4().hex}"
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
