@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -90,21 +91,55 @@ def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What the scoring tasks need; it holds the words of 2 * EXAMPLES texts at most."""
+    """What the scoring tasks need; it holds the terms of 2 * EXAMPLES texts at most.
 
-    vocabulary: np.ndarray  # sorted word hashes
+    Tasks receive counts only, a few bytes for each term of an example; weights, and
+    the rows of frequent terms, are made from them on arrival.
+    """
+
+    vocabulary: np.ndarray  # sorted term hashes
     idf: np.ndarray
     doc_id: np.ndarray
     label: np.ndarray
-    first: np.ndarray  # where each word's postings begin, and the end of the last
-    who: np.ndarray  # postings: example and weight
-    weight: np.ndarray
-    row: np.ndarray  # of each word: its row, or -1
-    rows: np.ndarray  # frequent words x examples
-    row_max: np.ndarray  # frequent words x blocks
+    first: np.ndarray  # where each term's postings begin, and the end of the last
+    who: np.ndarray  # postings: example and count
+    tf: np.ndarray
+    norm: np.ndarray  # of each example
     slope: float = 1.0
     offset: float = 0.0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "row", "rows", "row_max")}
+
+    @cached_property
+    def weight(self) -> np.ndarray:
+        term = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.first))
+        return (1 + np.log(self.tf.astype(float))) * self.idf[term] / self.norm[self.who]
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        """Of each term, its row, or -1."""
+        often = np.flatnonzero(np.diff(self.first) > max(BLOCK, ROW_SHARE * len(self.label)))
+        row = np.full(len(self.vocabulary), -1, np.int32)
+        row[often] = np.arange(len(often))
+        return row
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """Frequent terms x examples."""
+        often = np.flatnonzero(self.row >= 0)
+        count = (self.first[often + 1] - self.first[often]).astype(np.int64)
+        at = _spans(self.first[often], count)
+        rows = np.zeros((len(often), len(self.label)))
+        rows[np.repeat(np.arange(len(often)), count), self.who[at]] = self.weight[at]
+        return rows
+
+    @cached_property
+    def row_max(self) -> np.ndarray:
+        """Frequent terms x blocks."""
+        edges = np.arange(0, len(self.label), BLOCK)
+        return np.maximum.reduceat(self.rows, edges, axis=1) if len(self.rows) else np.zeros((0, len(edges)))
+
     def entries(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """text, word number and weight of the known words of a slice's texts, as unit vectors."""
         text, key, tf = counts(s)
@@ -264,6 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(own[s.first : s.first + s.n]), pa.array(np.nan_to_num(v, nan=prior))], ["i", "vote"])
 
     done = texts.repartition(16, "k").mapInArrow(vote, "i bigint, vote double").toArrow()
+    shared.destroy()
     votes = np.full(len(index.label), prior)
     votes[done["i"].to_numpy()] = done["vote"].to_numpy()
     label = index.label
@@ -302,8 +338,10 @@ def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
 
     kind = "piece int, turn int, df binary"
     sums = texts.mapInArrow(count, kind).groupBy("piece", "turn").applyInArrow(add, kind).groupBy("piece").applyInArrow(add, kind)
+    sums = sums.collect()
+    shared.destroy()
     df = np.zeros((_PIECES, size), np.int64)
-    for piece, _, x in sums.collect():
+    for piece, _, x in sums:
         df[piece] = np.frombuffer(x, np.int64)
     df = df.ravel()
     return df[: len(vocabulary)], int(df[len(vocabulary)])
@@ -313,7 +351,8 @@ def _build(ids: np.ndarray, label: np.ndarray, at: np.ndarray, term: np.ndarray,
     """The index of the examples' entries: example, place in the vocabulary, count."""
     n = len(ids)
     value = (1 + np.log(tf)) * idf[term]
-    value /= np.sqrt(np.bincount(at, value**2, n))[at]
+    norm = np.sqrt(np.bincount(at, value**2, n))
+    value /= norm[at]
     # Like examples share a block, so that its maxima bound them closely: those with
     # the same nearest of a few seeded examples, by their product with it.
     rng = np.random.default_rng(3)
@@ -324,17 +363,10 @@ def _build(ids: np.ndarray, label: np.ndarray, at: np.ndarray, term: np.ndarray,
         near[:, j] = np.bincount(at, value * side[term], n)
     order = np.lexsort((np.arange(n), near.max(axis=1), near.argmax(axis=1)))
     at = np.argsort(order)[at]
-    held = np.bincount(term, minlength=len(vocabulary))
-    often = np.flatnonzero(held > max(BLOCK, ROW_SHARE * n))
-    row = np.full(len(vocabulary), -1, np.int32)
-    row[often] = np.arange(len(often))
-    wide = row[term] >= 0
-    rows = np.zeros((len(often), n))
-    rows[row[term[wide]], at[wide]] = value[wide]
-    by_term = np.lexsort((at[~wide], term[~wide]))
-    first = np.append(0, np.cumsum(np.bincount(term[~wide], minlength=len(vocabulary))))
-    row_max = np.maximum.reduceat(rows, np.arange(0, n, BLOCK), axis=1) if len(often) else np.zeros((0, -(-n // BLOCK)))
-    return Index(vocabulary, idf, ids[order], label[order], first, at[~wide][by_term].astype(np.int32), value[~wide][by_term], row, rows, row_max)
+    by_term = np.lexsort((at, term))
+    first = np.append(0, np.cumsum(np.bincount(term, minlength=len(vocabulary))))
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return Index(vocabulary, idf, ids[order], label[order], first, small(at[by_term]), small(tf[by_term]), norm[order])
 
 
 def score(docs: DataFrame, index: Index | None, prior: float, text: str = "text", evidence: int = 3) -> DataFrame:
