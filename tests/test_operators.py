@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from threadmill import catalog, desk_queries  # noqa: F401
+from threadmill import catalog, desk_queries, reader_queries  # noqa: F401
 from threadmill.operators import incremental as I
 from threadmill.operators import messages as M
 from threadmill.operators import relational as R

@@ -45,13 +45,14 @@ def topic_posts(pages: DataFrame, key: str, html: str) -> DataFrame:
     cut = F.split(html, r'(?i)(?=<(?:div|li)[^>]+id="post-[0-9]+")')
     posts = pages.select(key, F.posexplode(cut).alias("place", "part")).where(F.col("part").rlike(r'(?i)\A<(?:div|li)[^>]+id="post-[0-9]+"'))
     body = F.regexp_extract("part", r'(?is)<div[^>]+class="[^"]*(?:bbp-topic-content|bbp-reply-content)[^"]*"[^>]*>(.*)', 1)
-    author = plain(F.regexp_extract("part", r'(?is)<a[^>]+href="[^"]*/users/[^"]*"[^>]*>((?:(?!</a>).)*[^\s<](?:(?!</a>).)*)</a>', 1))
+    links = F.regexp_extract_all("part", F.lit(r'(?is)<a[^>]+href="[^"]*/users/[^"]*"[^>]*>(.*?)</a>'), F.lit(1))
+    author = F.get(F.filter(F.transform(links, plain), lambda x: x != ""), F.lit(0))
     role = plain(F.regexp_extract("part", r'(?is)<[^>]+class="[^"]*bbp-author-role[^"]*"[^>]*>(.*?)</', 1))
     out = posts.select(
         key,
         "place",
         F.regexp_extract("part", r'(?i)id="post-([0-9]+)"', 1).cast("long").alias("post"),
-        F.when(author != "", author).otherwise("anonymous").alias("author"),
+        F.coalesce(author, F.lit("anonymous")).alias("author"),
         F.when(role != "", role).alias("role"),
         plain(body).alias("body"),
     )
