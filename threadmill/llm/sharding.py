@@ -96,8 +96,12 @@ def shard(df: DataFrame, n_shards: int, seed: int = 11) -> DataFrame:
     """
     spark = df.sparkSession
     plain = [c for c in df.columns if c not in ("shard", "slot")]
-    # _at: the row's place in the input; it alone feeds the hashes below.
-    rows = written(df.select(*plain, F.monotonically_increasing_id().alias("_at")), "shard-input")
+    # First permutation: inside each input partition, by a hash of the row's place, a
+    # sort that moves no row to another task.  _at: the row's place after that (its
+    # partition above, its rank in the lower 33 bits); it alone feeds what follows.
+    place = df.select(*plain, F.monotonically_increasing_id().alias("_place"))
+    permuted = place.sortWithinPartitions(F.xxhash64(F.lit(seed), "_place"), "_place")
+    rows = written(permuted.select(*plain, F.monotonically_increasing_id().alias("_at")), "shard-input")
     part = F.shiftright("_at", 33)
     counts = sorted((r["_part"], r["n"]) for r in rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect())
     total = sum(n for _, n in counts)
@@ -105,9 +109,8 @@ def shard(df: DataFrame, n_shards: int, seed: int = 11) -> DataFrame:
     matrix = communication_matrix([n for _, n in counts], sizes, seed)
     lines = [{"_part": p, "_ends": [sum(line[: j + 1]) for j in range(n_shards)]} for (p, _), line in zip(counts, matrix)]
 
-    # First permutation: inside each input partition, by hash.
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_key", "_at")) - 1
-    dealt = rows.withColumn("_part", part).withColumn("_key", F.xxhash64(F.lit(seed), F.col("_at"))).withColumn("_rank", rank)
+    rank = F.col("_at").bitwiseAND((1 << 33) - 1)
+    dealt = rows.withColumns({"_part": part, "_rank": rank})
     ends = _table(spark, lines, n_shards)
     ends = F.broadcast(ends) if len(lines) * (n_shards + 4) * 8 <= BROADCAST_BYTES else ends.hint("merge")
     dealt = dealt.join(ends, "_part").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).cast("int"))
