@@ -22,12 +22,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .pieces import Cache, Trie, build_trie
 from .textbatch import Slice, slices
 
 MARK = "▁"
 SPACE = 0x20
+#: Bytes of texts that are encoded at once.
+_SLICE = 1 << 18
 #: A byte arc costs this much more than the dearest piece.
 FALLBACK_EXTRA = 10.0
 
@@ -220,18 +223,18 @@ def encode(docs: DataFrame, fst: Transducer, text: str = "text", out: str = "ids
     broadcast has the size of the vocabulary.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fst)
+    docs = docs.drop(out)
+    plain = docs.columns
 
-    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for column in columns:
-            lists: list[np.ndarray] = []
-            for s in slices(pa.array(column, pa.large_string(), from_pandas=True), 1 << 20):
+        for batch in batches:
+            for s in slices(batch[text], _SLICE):
                 ids, at = encoder.encode(s)
-                lists.extend(np.split(ids, at[1:-1]))
-            yield pd.Series(lists, dtype=object)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*[batch[c].slice(s.first, s.n) for c in plain], lists], [*plain, out])
 
-    run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(out, F.pandas_udf(run, "array<int>")(F.col(text)))
+    return docs.mapInArrow(run, docs.schema.add(out, ArrayType(IntegerType())))
 
 
 def decode(docs: DataFrame, fst: Transducer, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -266,7 +269,7 @@ def encode_digest(docs: DataFrame, fst: Transducer, text: str = "text") -> DataF
         fallback[f.byte_id] = 1
         for column in columns:
             rows: dict[str, list] = {"n_pieces": [], "ids_crc32": [], "n_fallback": [], "round_trip": []}
-            for s in slices(pa.array(column, pa.large_string(), from_pandas=True), 1 << 20):
+            for s in slices(pa.array(column, pa.large_string(), from_pandas=True), _SLICE):
                 ids, at = encoder.encode(s)
                 body, offs = decode_ids(f, ids, at)
                 raw = ids.astype("<i4").tobytes()
