@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .pieces import Cache, Trie, build_trie
 from .textbatch import Slice, slices
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, fst: Transducer, text: str = "text", out: str = "ids
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[batch[c].slice(s.first, s.n) for c in plain], lists], [*plain, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, ArrayType(IntegerType())))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType()))]))
 
 
 def decode(docs: DataFrame, fst: Transducer, ids: str = "ids", out: str = "decoded") -> DataFrame:
