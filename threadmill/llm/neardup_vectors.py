@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import sized, written
 
 THRESHOLD = 0.95
 BLOCK_DIMS = 8
@@ -172,8 +172,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     # Crowded cells: rows are dealt into pieces, and each two pieces meet in a task.
     crowd = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("homes")).where("homes > 0 and rows > 1")
     crowd = written(crowd.select("cell", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("pieces")), "vec-cells")
-    # The grid has a few thousand cells however many vectors there are.
-    dealt = cells.join(F.broadcast(crowd), "cell")
+    # The grid of 64 dimensions has a few thousand cells however many vectors there
+    # are; wider vectors have more, so they are counted.
+    dealt = cells.join(sized(crowd), "cell")
     piece = F.pmod(F.xxhash64(F.lit(2), "rid"), F.col("pieces")).cast("int")
     meet = F.sequence(F.lit(0), F.col("pieces") - 1)
     dealt = dealt.withColumn("piece", piece).withColumn("other", F.explode(meet))
