@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .packing import numbers, planes, runs
 from .shared import release, written
-from .textbatch import LOWER, Slice, mix, prefix, slices, span_hash
+from .textbatch import LOWER, Slice, mix, prefix, slices, span_hash, tidy
 
 N2 = 3
 #: First-level parts beyond k / 2, and one more for so many of k: so many parts of a
@@ -41,16 +41,16 @@ N2 = 3
 #: sets share.
 SPARE, SPARE_K = 2, 16
 #: Signatures that a task sorts and packs at once.
-PACK = 1 << 20
+PACK = 1 << 18
 #: Members of a signature within a pack that travel on; of more, the first does,
 #: and the pack's list of them goes its own way.
 TOGETHER = 4
 #: Signatures that meet in one group of the shuffle, about.
-BUCKET = 1 << 19
+BUCKET = 1 << 17
 #: Members of a hub that are compared in one group.
 HUB = 512
 #: Bytes of sets in a batch.
-BATCH = 1 << 23
+BATCH = 1 << 22
 #: Tables of up to so many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -257,6 +257,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                 n.append(size), f1.append(a.view(np.int64)), f2.append(b.view(np.int64))
             cols = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (n, f1, f2)]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["t1"], batch["t2"], *cols], ["key", "t1", "t2", "n", "f1", "f2"])
+        tidy()
 
     sets = written(source.mapInArrow(measure, f"key {key_type}, t1 bigint, t2 bigint, n bigint, f1 bigint, f2 bigint"), "dup-sets")
     reps = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t1", "t2")).alias("low"))
@@ -289,6 +290,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                     sigs, rids, n = [], [], 0
         if n:
             yield _pack(np.concatenate(sigs), np.concatenate(rids), buckets, int(rids[-1][-1]) if len(rids[-1]) else 0)
+        sigs, rids = [], []
+        tidy()
 
     packed = texts_of(None, n_reps).mapInArrow(sign, _PACKED)
     met = packed.groupBy("bucket").applyInArrow(_meet, "sig bigint, a bigint, b bigint, n bigint")
@@ -351,6 +354,7 @@ def _rare_pairs(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 h, of, size = shingle_sets(s, words)
                 at = s.first + of
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[at], root[at], size[of].astype(np.int64), h.view(np.int64))], ["rid", "root", "n", "item"])
+        tidy()
 
     every = written(texts.mapInArrow(items, "rid bigint, root bigint, n bigint, item bigint"), "dup-elements")
     common = written(every.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "dup-common")
@@ -419,6 +423,7 @@ class _Comparer:
                         rows = np.flatnonzero(turn == turn[rows])
                         items = [h[cuts[i] : cuts[i + 1]].tobytes() for i in of[rows]]
                         yield pa.RecordBatch.from_arrays([pa.array(hub[at[rows]]), pa.array(block[at[rows]]), pa.array(rid[s.first + of[rows]]), pa.array(items, pa.binary())], ["hub", "block", "rid", "items"])
+            tidy()
 
         built = self.texts_of(roles, roles.count()).mapInArrow(build, "hub bigint, block int, rid bigint, items binary")
         built = built.repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("rid") != F.col("hub"))
@@ -442,6 +447,7 @@ class _Comparer:
                     links.append(rid[i:j][good]), links.append(hub[i:j][good])
                 a, b = np.concatenate([rid[:0], *links[1::2]]), np.concatenate([rid[:0], *links[::2]])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            tidy()
 
         self.links.append(written(built.mapInArrow(verify, "a bigint, b bigint"), "dup-links"))
         release(pairs.sparkSession)

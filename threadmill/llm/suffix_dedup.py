@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .packing import numbers, planes, runs
 from .shared import release, written
-from .textbatch import Slice, mix, powers, slices
+from .textbatch import Slice, mix, powers, slices, tidy
 
 LENGTH = 50
 K = 20
@@ -138,7 +138,7 @@ def _shared(table: pa.Table) -> pa.Table:
     h, tid, pos = h[new], tid[new], pos[new]
     start, count = runs(h)
     out = pa.table({"h": h.view(np.int64), "tid": tid, "pos": pos.astype(np.int32), "n": np.repeat(count, count).astype(np.int64)})
-    pa.default_memory_pool().release_unused()
+    tidy()
     return out
 
 
@@ -181,6 +181,8 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k:
                     held, n = [], 0
         if n:
             yield _pack(*map(np.concatenate, zip(*held)), buckets)
+        held = []
+        tidy()
 
     marks = firsts.mapInArrow(mark, _PACKED).groupBy("bucket").applyInArrow(_shared, "h bigint, tid bigint, pos int, n bigint")
     marks = written(marks, "rep-minimizers")
@@ -210,6 +212,7 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k:
                     cuts = np.append(0, np.cumsum(size)).astype(np.int32)
                     ctx = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(cuts), pa.py_buffer(body[inside])])
                     yield pa.RecordBatch.from_arrays([pa.array(h[i:j]), pa.array(count[i:j]), pa.array(tid[s.first + r]), pa.array(ord_[s.first + r]), pa.array(pos[i:j]), pa.array(lead.astype(np.int32)), ctx], ["h", "n", "tid", "ord", "pos", "lead", "ctx"])
+        tidy()
 
     near = firsts.join(lists, "tid").select("tid", "back", "text", "marks").mapInArrow(cut, "h bigint, n bigint, tid bigint, ord bigint, pos int, lead int, ctx binary")
 
@@ -222,6 +225,7 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k:
             start = pos[hit].astype(np.int64) - around + low[hit]
             end = pos[hit].astype(np.int64) - around + high[hit] + length
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(table["tid"])[hit]), pa.array(start), pa.array(end)], ["tid", "start", "end"])
+        tidy()
 
     few = near.where(F.col("n") <= CROWD).repartition("h").sortWithinPartitions("h")
     spans = few.select("h", "tid", "ord", "pos", "lead", "ctx").mapInArrow(sort, "tid bigint, start bigint, end bigint")
@@ -341,6 +345,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 kept.append(data[~gone].tobytes())
                 removed.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
             yield pd.DataFrame({"kept": pd.Series(kept, dtype=object), "removed": pd.Series(removed, dtype=object)})
+        tidy()
 
     cut.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     done = F.pandas_udf(cut, "kept binary, removed array<struct<start:bigint,end:bigint>>")(F.col(text), F.col("_spans"), F.col("_copy"))

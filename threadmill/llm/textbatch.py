@@ -9,6 +9,7 @@ longer than that makes a slice of its own and is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -33,6 +34,14 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def tidy() -> None:
+    """Gives the memory of a task's arrays back to the system: its worker lives on, idle
+    or in another stage, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public SplitMix64 steps)."""
     x = x.astype(np.uint64, copy=True)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textbatch import IS_LEAD, IS_SPACE, LOWER, Slice, mix, prefix, slices, span_hash
+from .textbatch import IS_LEAD, IS_SPACE, LOWER, Slice, mix, prefix, slices, span_hash, tidy
 
 #: The bounded sample: at most so many labelled examples of each class are indexed.
 #: All else covers every document: each term that an example has is a feature,
@@ -40,8 +40,8 @@ ROW_SHARE = 0.08
 #: Blocks of the largest bounds that every text looks into first.
 FIRST = 4
 #: Texts, and postings, that are worked on at once.
-_TEXTS, _POSTINGS = 256, 1 << 20
-_SLICE = 1 << 19
+_TEXTS, _POSTINGS = 128, 1 << 19
+_SLICE = 1 << 18
 #: Sums of document frequencies: pieces of the vocabulary, and first-level sums of each.
 _PIECES, _SUMS = 16, 16
 
@@ -329,6 +329,7 @@ def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
             turn = TaskContext.get().partitionId() % _SUMS
             rows = [x.tobytes() for x in df.reshape(_PIECES, size)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PIECES, dtype=np.int32)), pa.array(np.full(_PIECES, turn, np.int32)), pa.array(rows, pa.binary())], ["piece", "turn", "df"])
+        tidy()
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(size, np.int64)
@@ -397,6 +398,7 @@ def score(docs: DataFrame, index: Index | None, prior: float, text: str = "text"
                         why.append([{"example": int(ix.doc_id[j]), "label": int(ix.label[j]), "cosine": c} for c, j in zip(cos, w) if c > 0])
             out = {"score": np.concatenate(scores)}
             yield pd.DataFrame(out | {"evidence": pd.Series(why, dtype=object)} if evidence else out)
+        tidy()
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     names = ["score", "evidence"] if evidence else ["score"]

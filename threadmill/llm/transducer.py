@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .pieces import Cache, Trie, build_trie
-from .textbatch import Slice, slices
+from .textbatch import Slice, slices, tidy
 
 MARK = "▁"
 SPACE = 0x20
@@ -233,6 +233,7 @@ def encode(docs: DataFrame, fst: Transducer, text: str = "text", out: str = "ids
                 ids, at = encoder.encode(s)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[batch[c].slice(s.first, s.n) for c in plain], lists], [*plain, out])
+        tidy()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType()))]))
 
