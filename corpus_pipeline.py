@@ -19,8 +19,8 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic.  Held-out labels teach nothing.
 
-    Null and empty texts score the share of toxic labels and stay below one half of
-    it; repeated rows share their fate.  No labels, or none left in docs: all stay.
+    Null and empty texts score the share of toxic labels; repeated rows share their
+    fate.  Without labels of both classes every row scores that share.
     Further columns of docs are dropped, here and in every stage.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
