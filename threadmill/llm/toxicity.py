@@ -18,11 +18,11 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import written
 from .textbatch import IS_LEAD, IS_SPACE, LOWER, Slice, mix, prefix, slices, span_hash, tidy
@@ -80,10 +80,6 @@ def counts(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[at], key[at], np.diff(np.append(at, len(key)))
 
 
-def _column(x) -> pa.Array:
-    return pa.array(x, pa.large_string(), from_pandas=True) if isinstance(x, pd.Series) else x
-
-
 def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers from each start on, count of each."""
     return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
@@ -386,24 +382,26 @@ def score(docs: DataFrame, index: Index | None, prior: float, text: str = "text"
         return docs.withColumns({"score": F.lit(float(prior)), **more}).withColumn("predicted", predicted)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    docs = docs.drop("score", "predicted", *["evidence"] * bool(evidence))
+    plain = docs.columns
+    one = pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())])
+    fields = StructType.fromDDL(f"score double, evidence {found}" if evidence else "score double").fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for column in columns:
-            scores, why = [np.zeros(0)], []
-            for s in slices(_column(column), _SLICE):
+        for batch in batches:
+            for s in slices(batch[text], _SLICE):
                 best, who = ix.nearest(s)
-                scores.append(np.round(ix.score(ix.votes(best, who), prior), 9))
+                columns = [batch[c].slice(s.first, s.n) for c in plain]
+                columns.append(pa.array(np.round(ix.score(ix.votes(best, who), prior), 9)))
                 if evidence:
-                    for cos, w in zip(best[:, :evidence].tolist(), who[:, :evidence].tolist()):
-                        why.append([{"example": int(ix.doc_id[j]), "label": int(ix.label[j]), "cosine": c} for c, j in zip(cos, w) if c > 0])
-            out = {"score": np.concatenate(scores)}
-            yield pd.DataFrame(out | {"evidence": pd.Series(why, dtype=object)} if evidence else out)
+                    top = zip(best[:, :evidence].tolist(), who[:, :evidence].tolist())
+                    why = [[{"example": int(ix.doc_id[j]), "label": int(ix.label[j]), "cosine": c} for c, j in zip(cos, w) if c > 0] for cos, w in top]
+                    columns.append(pa.array(why, pa.list_(one)))
+                yield pa.RecordBatch.from_arrays(columns, [*plain, *[f.name for f in fields]])
         tidy()
 
-    run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    names = ["score", "evidence"] if evidence else ["score"]
-    out = docs.withColumn("_scored", F.pandas_udf(run, f"score double, evidence {found}" if evidence else "score double")(F.col(text)))
-    return out.withColumns({c: F.col(f"_scored.{c}") for c in names}).drop("_scored").withColumn("predicted", predicted)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields])).withColumn("predicted", predicted)
 
 
 def held_out(key: Column) -> Column:
