@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup_texts, neardup_vectors, quality, sharding, suffix_dedup, toxicity, transducer, warc, wordpieces
+from . import lines, lloyd, mixing, neardup_texts, neardup_vectors, quality, sharding, spelling, suffix_dedup, toxicity, transducer, warc, wordpieces
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -102,6 +102,63 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: CRC-32 by its table over the bytes of ASCII and Latin-1 letters; two words are near
+#: if they are equal without one code point at the same place, or if one is the other
+#: without one.
+_OP11_SQL = r"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384::BIGINT, a >> 1) ELSE a >> 1 END)) AS t),
+o AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)] ELSE [192 | (unicode(s) >> 6), 128 | (unicode(s) & 63)] END)) AS bytes FROM o),
+h AS (SELECT run, c, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], bytes::BIGINT[]), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8))) AS h FROM b, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS (SELECT word, pos, left(word, pos) || substr(word, pos + 2) AS less FROM (SELECT word, unnest(range(length(word))) AS pos FROM words)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.less = b.less AND a.pos = b.pos AND a.word <> b.word
+  UNION SELECT word, less FROM cut WHERE less IN (SELECT word FROM words) UNION SELECT less, word FROM cut WHERE less IN (SELECT word FROM words)),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY x.n DESC, b) AS b, max(x.n) AS bn FROM pairs JOIN words x ON x.word = b GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= 10 * n THEN b END AS form, CASE WHEN bn >= 10 * n THEN bn END AS form_n FROM words LEFT JOIN best ON a = word),
+r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL),
+root AS (SELECT r.word, r.at AS root FROM r JOIN f ON f.word = r.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clustered(read(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    steps = []
+    for i in range(lloyd.ROUNDS + 1):
+        steps.append(f"""d{i} AS (SELECT v.id, k, list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM v, c{i} c),
+a{i} AS (SELECT id, arg_min(k, (dist, k)) AS k, min(dist) AS dist FROM d{i} GROUP BY id)""")
+        if i < lloyd.ROUNDS:
+            steps.append(f"""s{i} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range({lloyd.DIMS})) AS j FROM a{i} JOIN v USING (id)) GROUP BY k, j),
+c{i + 1} AS (SELECT k, coalesce(m.e, c{i}.e) AS e FROM c{i} LEFT JOIN (SELECT k, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY j) AS e FROM s{i} GROUP BY k) m USING (k))""")
+    last = lloyd.ROUNDS
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = {lloyd.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INT AS k, e FROM v QUALIFY k < {lloyd.CLUSTERS}),
+{", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)}
+SELECT vec_id, a{last}.k AS cluster, a{last}.dist AS distance, (sum(a{last}.dist) OVER (PARTITION BY a{last}.k))::BIGINT AS cluster_inertia, (sum(a{last}.dist) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{last}.e, ',')) AS centroid_sha256
+FROM a{last} JOIN v USING (id) JOIN c{last} ON c{last}.k = a{last}.k"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP13_SQL = r"""WITH l AS (SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+s AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > first) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (doc_id <= coalesce(first, doc_id)), '')) AS kept_sha256
+FROM l LEFT JOIN s USING (key) GROUP BY doc_id"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_embedding_neardup": op2_embedding_neardup,
@@ -113,6 +170,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLES = {
     "op2_embedding_neardup": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -127,4 +187,7 @@ g AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS paylo
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM g)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN again THEN top END AS refers_to, true AS intact FROM (SELECT *, payload_bytes >= 1000 AND page_id <> top AS again FROM m)""",
+    "op11_spelling_variants": _OP11_SQL,
+    "op12_centroid_clustering": _op12_sql(),
+    "op13_line_dedup": _OP13_SQL,
 }
