@@ -54,15 +54,28 @@ def one_edit(w: str, v: str) -> bool:
     return w != v and (w[i + 1 :] == v[i + 1 :] if len(w) == len(v) else w[i:] == v[i + 1 :])
 
 
+def _ends(rest: str, size: int) -> tuple[tuple[int, str], tuple[int, str]]:
+    """The first part of a rest, and its last: what halves of rests of length size are."""
+    first = size // 2
+    return (0, rest[:first]), (1, rest[len(rest) - (size - first) :])
+
+
 def _scan(table: pa.Table) -> pa.Table:
-    """n_near, and n and word of the best neighbour, of each word in one shard."""
+    """n_near, and n and word of the best neighbour, of each word in one shard.
+
+    The owners of a half are kept by the halves of what is left of them, of which one
+    edit leaves one whole as well, so few of them are compared with a word.
+    """
     words, counts = table["word"].to_pylist(), table["n"].to_pylist()
     count = dict(zip(words, counts))
-    held: dict[str, dict[tuple[int, int], list[str]]] = {}
+    held: dict[str, dict[tuple[int, int], dict[tuple[int, str], list[str]]]] = {}
     for word, side, size, holds in zip(words, table["side"].to_pylist(), table["size"].to_pylist(), table["holds"].to_pylist()):
         if holds:
-            half = word[size // 2 :] if side else word[: size // 2]
-            held.setdefault(half, {}).setdefault((side, size), []).append(word)
+            cut = size // 2
+            half, rest = (word[cut:], word[:cut]) if side else (word[:cut], word[cut:])
+            owners = held.setdefault(half, {}).setdefault((side, size), {})
+            for end in _ends(rest, len(rest)):
+                owners.setdefault(end, []).append(word)
     found: dict[str, list] = {}
 
     def link(a: str, b: str) -> None:
@@ -77,16 +90,26 @@ def _scan(table: pa.Table) -> pa.Table:
     if held:
         automaton.make_automaton()
     for v in count if held else ():
-        for end, (length, owners) in automaton.iter(v):
-            for side, here in ((0, end == length - 1), (1, end == len(v) - 1)):
+        for at, (length, owners) in automaton.iter(v):
+            for side, here in ((0, at == length - 1), (1, at == len(v) - 1)):
                 if not here:
                     continue
                 for size in (len(v), len(v) - 1):
-                    for w in owners.get((side, size), ()):
-                        # Of two words of a length, and of two halves that are whole, the first counts.
-                        if (size < len(v) or w < v) and not (side and w[: size // 2] == v[: size // 2]) and one_edit(w, v):
-                            link(w, v)
-                            link(v, w)
+                    if (side, size) not in owners:
+                        continue
+                    cut, rest = size // 2, v[: len(v) - length] if side else v[length:]
+                    first, last = _ends(rest, size - length)
+                    for end in (first, last):
+                        for w in owners[side, size].get(end, ()):
+                            # Of two words of a length, of two halves that are whole and of
+                            # two ends of a rest, the first counts.
+                            if size == len(v) and w >= v or side and w[:cut] == v[:cut]:
+                                continue
+                            if end is last and _ends(w[:cut] if side else w[cut:], size - length)[0] == first:
+                                continue
+                            if one_edit(w, v):
+                                link(w, v)
+                                link(v, w)
     return pa.table({"word": pa.array(list(found), pa.string()), "near": pa.array([x[0] for x in found.values()], pa.int64()), "best_n": pa.array([x[1] for x in found.values()], pa.int64()), "best": pa.array([x[2] for x in found.values()], pa.string())})
 
 
