@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .catalog import query, read, threads, _THREADS
 from .functions import desk as D
 from .operators import desk as O
+from .operators import imports as J
 from .operators import incremental as I
 from .operators import products as P
 from .operators import search as S
@@ -212,15 +213,16 @@ def plugin_of_hint(spark, d):
     return O.hinted(rows, plugins(spark, d), "hint", "page").select("id", "plugin")
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), t AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 20)
-SELECT vec_id, lang, source, toxic FROM t JOIN documents d ON d.doc_id = vec_id LEFT JOIN labels l ON l.doc_id = vec_id""")
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]) AS s FROM embeddings),
+t AS (SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id)::INT AS place FROM s ORDER BY place LIMIT 20)
+SELECT place, vec_id, lang, source, toxic FROM t JOIN documents d ON d.doc_id = vec_id LEFT JOIN labels l ON l.doc_id = vec_id""")
 def hydrated_hits(spark, d):
-    """The nearest vectors with their documents, which they must have, and labels."""
+    """The nearest vectors, best first, with their documents, which they must have, and labels."""
     v = read(spark, d, "embeddings")
     ranked = S.vector_search(v, "vec_id", "embedding", v.where("vec_id = 0").select("embedding").first()["embedding"], 20)
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source")
     labels = read(spark, d, "labels").select(F.col("doc_id").alias("vec_id"), "toxic")
-    return S.hydrate(ranked, docs.join(labels, "vec_id", "left"), "vec_id", "similarity").select("vec_id", "lang", "source", "toxic")
+    return S.hydrate(ranked, docs.join(labels, "vec_id", "left"), "vec_id", F.desc("similarity")).select("place", "vec_id", "lang", "source", "toxic")
 
 
 @query("""SELECT user_id, min(event_id) AS "first", max(event_id) AS "last", coalesce(max(event_id) FILTER (event_type = 'click'), max(event_id)) AS latest_customer FROM events GROUP BY user_id""")
@@ -508,7 +510,7 @@ def rebuild_advice(spark, d):
 @query("SELECT p_partkey FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size < 3) AND p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY lower(p_name))")
 def import_new(spark, d):
     part = read(spark, d, "part")
-    return O.first_free(part, part.where("p_size < 3"), ["p_name"], "p_partkey").select("p_partkey")
+    return J.first_free(part, part.where("p_size < 3"), ["p_name"], "p_partkey").select("p_partkey")
 
 
 # Upserts and repairs of tables

@@ -229,16 +229,3 @@ def archive_starts(brands: DataFrame, rows: DataFrame, brand: str, day: str) ->
     found = brands.select(brand).join(first, brand, "left")
     some = first.join(brands.select(brand), brand, "left_semi").agg((F.count(F.lit(1)) > 0).alias("_some"))
     return found.crossJoin(F.broadcast(some)).where("_some").drop("_some")
-
-
-def first_free(rows: DataFrame, existing: DataFrame, names: list[str], order: str) -> DataFrame:
-    """Rows to import: none of their names (in any case) is in existing, and they are
-    the first of the import for each name that they have."""
-    out = rows
-    for n in names:
-        taken = existing.select(F.lower(n).alias("_n")).where("_n is not null").distinct()
-        out = out.join(taken, F.lower(n) == F.col("_n"), "left_anti")
-    for n in names:
-        first = out.groupBy(F.lower(n).alias("_n")).agg(F.min(order).alias("_first"))
-        out = out.join(first, F.lower(n) == F.col("_n"), "left").where(F.col(n).isNull() | (F.col(order) == F.col("_first"))).drop("_n", "_first")
-    return out

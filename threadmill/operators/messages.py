@@ -131,12 +131,19 @@ def chunk_header(session: Column, date: Column, product: Column, tags: Column, l
 
 
 def split_paragraphs(docs: DataFrame, key: str, text: str, limit: int = DOC_CHARS) -> DataFrame:
-    """Documents as chunks of whole paragraphs, packed greedily; a paragraph above
-    the limit is cut into pieces of that size."""
-    paragraphs = docs.select(key, F.posexplode(F.split(text, r"\n{2,}")).alias("p", "body"))
-    paragraphs = paragraphs.withColumn("body", F.regexp_replace("body", r"\A\s+|\s+\z", "")).where("body <> ''")
+    """key, chunk (0, 1, ...) and body: whole paragraphs packed greedily, and pieces of
+    limit characters of each paragraph above it, which stand alone.  Bodies are
+    trimmed; of paragraphs, those with nothing left are no chunk."""
+    trimmed = lambda c: F.regexp_replace(c, r"\A[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z", "")
+    rows = docs.select(key, F.posexplode(F.split(text, r"\n{2,}")).alias("p", "body")).withColumn("long", F.length("body") > limit)
+    # Paragraphs between two long ones are packed on their own.
+    rows = rows.withColumn("run", F.count_if("long").over(Window.partitionBy(key).orderBy("p")))
+    whole = rows.where("not long")
+    placed = whole.join(pack(whole.select(key, "run", "p", "body"), [key, "run"], "p", F.length("body"), limit, skip_empty=True), [key, "run", "p"])
+    packed = placed.groupBy(key, "run", F.col("chunk").alias("i")).agg(trimmed(joined("p", "body", "\n\n")).alias("body")).where("body <> ''")
     cuts = F.sequence(F.lit(0), F.floor((F.length("body") - 1) / limit))
-    pieces = paragraphs.select(key, "p", "body", F.explode(cuts).alias("i"))
-    pieces = pieces.select(key, (F.col("p") * F.lit(1 << 20).cast("long") + F.col("i")).alias("piece"), F.col("body").substr(F.col("i").cast("int") * limit + 1, F.lit(limit)).alias("body"))
-    placed = pieces.join(pack(pieces, key, "piece", F.length("body"), limit), [key, "piece"])
-    return placed.groupBy(key, "chunk").agg(joined("piece", "body", "\n\n").alias("body"))
+    pieces = rows.where("long").select(key, "run", F.explode(cuts).alias("i"), "body")
+    pieces = pieces.select(key, "run", "i", trimmed(F.col("body").substr(F.col("i").cast("int") * limit + 1, F.lit(limit))).alias("body"))
+    both = packed.withColumn("after", F.lit(True)).unionByName(pieces.withColumn("after", F.lit(False)))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("run", "after", "i")) - 1
+    return both.select(key, number.alias("chunk"), "body")

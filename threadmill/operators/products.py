@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Definitions that a plan may carry as constants; a catalogue of products is small.
-MOST_DEFINITIONS = 5000
+from ..tables import small
+
+#: Units of a text that are looked up together.
+BLOCK_UNITS = 512
 
 
 def definitions(plugins: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -20,26 +22,61 @@ def definitions(plugins: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def patterns(defs: DataFrame) -> DataFrame:
-    """def columns without words, and a regular expression for each of them."""
+    """def columns without words, and each word with its regular expression."""
     quoted = lambda w: F.regexp_replace(F.trim(w), r"([\\.*+?^${}()|\[\]])", r"\\$1")
     one = lambda w: F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), F.regexp_replace(quoted(w), r"\s+", r"\\s?"), F.lit(r"(?![A-Za-z0-9_])"))
-    return defs.select("plugin", "name", "ord", "platform", F.explode(F.transform("words", one)).alias("pattern"))
+    each = defs.select("plugin", "name", "ord", "platform", F.explode("words").alias("word"))
+    return each.withColumn("pattern", one(F.col("word")))
+
+
+def _units(text: Column) -> Column:
+    """Runs of word characters and single other ones, without white space."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_]+|[^\sa-z0-9_]"), F.lit(0))
+
+
+def keyword_texts(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """key and word of texts that hold a word, white space aside.
+
+    words: word.  Every run of as many units as words have is looked up in the table
+    of words without white space, in one pass over the texts whatever the size of
+    the table.  White space in a word may be missing in the text, so that a word has
+    as many units, or fewer by what may grow together.  Long texts are cut into
+    overlapping blocks.
+    """
+    flat = words.select("word", _units(F.col("word")).alias("u"), F.size(F.split(F.trim("word"), r"\s+")).alias("parts")).where(F.size("u") > 0)
+    flat = flat.select("word", F.array_join("u", "").alias("flat"), F.size("u").alias("n"), (F.size("u") - F.col("parts") + 1).alias("least"))
+    lengths = sorted(r["n"] for r in flat.select(F.explode(F.sequence(F.greatest("least", F.lit(1)), "n")).alias("n")).distinct().collect())
+    if not lengths:
+        return docs.select(key, F.lit("").alias("word")).where("false")
+    rows = docs.select(F.col(key).alias("key"), _units(F.col(text)).alias("u")).where(F.size("u") > 0)
+    starts = F.explode(F.sequence(F.lit(1), F.size("u"), F.lit(BLOCK_UNITS)))
+    blocks = rows.select("key", "u", starts.alias("at")).select("key", F.slice("u", F.col("at"), F.lit(BLOCK_UNITS + lengths[-1] - 1)).alias("u"))
+
+    def runs(u: Column) -> Column:
+        def of(n: int) -> Column:
+            last = F.least(F.size(u) - n + 1, F.lit(BLOCK_UNITS))
+            return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(u, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+
+    found = blocks.select("key", F.explode(F.transform(F.array("u"), runs)[0]).alias("flat")).join(small(flat.select("flat", "word")), "flat")
+    return found.select(F.col("key").alias(key), "word").distinct()
 
 
 def hits(docs: DataFrame, key: str, text: str, defs: DataFrame) -> DataFrame:
     """key, name, ord, platform, plugin and hits (one or more) of each product in each text.
 
-    The few definitions are joined to every text as one array, so texts do not
-    multiply; of a catalogue above MOST_DEFINITIONS the call is refused.
+    Words that a text may hold are found for the whole catalogue at once; only these
+    are counted by their patterns, in the texts that may hold them.
     """
-    rows = patterns(defs).groupBy("name", "ord", "platform", "plugin").agg(F.collect_list("pattern").alias("patterns"))
-    if rows.limit(MOST_DEFINITIONS + 1).count() > MOST_DEFINITIONS:
-        raise ValueError(f"more than {MOST_DEFINITIONS} product definitions")
-    every = rows.agg(F.sort_array(F.collect_list(F.struct("ord", "name", "platform", "plugin", "patterns"))).alias("defs"))
-    count = lambda d: F.aggregate(d["patterns"], F.lit(0), lambda n, p: n + F.regexp_count(F.coalesce(F.col(text), F.lit("")), p))
-    found = F.transform("defs", lambda d: F.struct(d["ord"].alias("ord"), d["name"].alias("name"), d["platform"].alias("platform"), d["plugin"].alias("plugin"), count(d).alias("hits")))
-    each = docs.crossJoin(F.broadcast(every)).select(key, F.explode(F.filter(found, lambda x: x["hits"] > 0)).alias("h"))
-    return each.select(key, "h.*")
+    each = patterns(defs)
+    found = keyword_texts(docs, key, text, each.select("word").distinct()).join(each, "word")
+    per = found.groupBy(key, "name", "ord", "platform", "plugin").agg(F.collect_list("pattern").alias("patterns"))
+    per = per.groupBy(key).agg(F.collect_list(F.struct("ord", "name", "platform", "plugin", "patterns")).alias("defs"))
+    count = lambda d: F.aggregate(d["patterns"], F.lit(0), lambda n, p: n + F.regexp_count(F.col(text), p))
+    counted = F.transform("defs", lambda d: F.struct(d["ord"].alias("ord"), d["name"].alias("name"), d["platform"].alias("platform"), d["plugin"].alias("plugin"), count(d).alias("hits")))
+    rows = docs.select(key, text).join(per, key).select(key, F.explode(F.filter(counted, lambda x: x["hits"] > 0)).alias("h"))
+    return rows.select(key, "h.*")
 
 
 def primary(docs: DataFrame, key: str, text: str, tags: str, defs: DataFrame) -> DataFrame:

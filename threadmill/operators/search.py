@@ -99,6 +99,8 @@ def widened(scoped: DataFrame, wide: DataFrame, key: str, order: Column, enough:
     return both.orderBy("tier", order, key).limit(most)
 
 
-def hydrate(ranked: DataFrame, rows: DataFrame, key: str, rank: str) -> DataFrame:
-    """Rows of ranked keys in rank order; keys without a row are left out."""
-    return ranked.join(rows, key).orderBy(rank)
+def hydrate(ranked: DataFrame, rows: DataFrame, key: str, rank: Column) -> DataFrame:
+    """Rows of the few ranked keys with ``place`` (1, 2, ... by rank, an ordering, and key)
+    and in this order; keys without a row are left out, places stay."""
+    placed = ranked.withColumn("place", F.row_number().over(Window.orderBy(rank, key)))
+    return placed.join(rows, key).orderBy("place")
