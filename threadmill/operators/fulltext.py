@@ -1,26 +1,31 @@
 """Full text search by a positional index: its table, its query language, its rank.
 
-The index is a table of postings (term, document, positions) in buckets of terms, so a
-query reads the buckets of its terms.  Changed documents are appended as a generation;
-what older generations say of them no longer counts.
+The index is a table of postings (a term, its documents and its positions in each) in
+buckets of terms, so a query reads the buckets of its terms.  Changed documents are
+appended as a generation; what older generations say of them no longer counts.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..tables import small
 
 BUCKETS = 64
 #: Tasks that share a bucket when it is written, so that a term of every document is not one task's.
 SALTS = 16
+#: Characters of text that a task inverts at once, and pairs of words that it weighs at once.
+SLICE_CHARS = 1 << 22
+PAIRS = 1 << 21
 
 # The rank's constants, as the database documents them: the weight of an unlabelled
 # word, the limit of 1 + 1/4 + 1/9 ..., the farthest distance that counts, and the rank
@@ -64,12 +69,51 @@ def term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def terms_of(text: str) -> list[str]:
+    """Lower-case runs of letters and digits."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of some whole texts: its documents and its positions in each."""
+
+    def row(docs: list, texts: list[list[str]]) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in texts])
+        coded = pa.array(itertools.chain.from_iterable(texts), pa.string(), size=int(sizes.sum())).dictionary_encode()
+        code, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+        at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(code, kind="stable")  # documents and positions stay in order
+        code, doc, at = code[order], doc[order], at[order]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
+        start = np.flatnonzero(np.append(True, code[first][1:] != code[first][:-1]))
+        cuts = pa.array(np.append(start, len(first)), pa.int32())
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), pa.array(at, pa.int32()))
+        names = pa.array(docs).take(pa.array(doc[first]))
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first][start])), pa.ListArray.from_arrays(cuts, names), pa.ListArray.from_arrays(cuts, places)], ["term", "docs", "positions"])
+
+    docs, texts, chars = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch["doc"], batch["text"]):
+            found = terms_of(text.as_py() or "")
+            if not found:
+                continue
+            docs.append(doc.as_py())
+            texts.append(found)
+            chars += sum(map(len, found))
+            if chars >= SLICE_CHARS:
+                yield row(docs, texts)
+                docs, texts, chars = [], [], 0
+    if docs:
+        yield row(docs, texts)
+
+
 def _put(docs: DataFrame, key: str, text: str, path: str, gen: int) -> None:
-    """The postings of docs as generation gen: tokens move once, to their bucket."""
-    rows = docs.select(F.col(key).alias("doc"), F.posexplode(tokens(F.col(text))).alias("at", "term"))
-    rows = rows.select(term_bucket(F.col("term")).alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"), "term", "doc", "at")
-    rows = rows.repartition("bucket", "salt").groupBy("bucket", "salt", "term", "doc").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    rows.drop("salt").sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings/gen={gen}")
+    """The postings of docs as generation gen: inverted where they are, then moved once,
+    to their terms' buckets."""
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(_invert, f"term string, docs array<{kind}>, positions array<array<int>>")
+    rows = rows.withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(SALTS)))
+    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings/gen={gen}")
 
 
 def build(docs: DataFrame, key: str, text: str, path: str) -> None:
@@ -111,13 +155,13 @@ def postings(spark: SparkSession, path: str, terms: list[str] | None = None) ->
     """term, doc and positions as they are now: of some terms from their buckets only."""
     listed = spark.read.parquet(f"{path}/docs")
     kind = listed.schema["doc"].dataType.simpleString()
-    rows = spark.read.schema(f"term string, doc {kind}, positions array<int>, gen int, bucket int").parquet(f"{path}/postings")
+    rows = spark.read.schema(f"term string, docs array<{kind}>, positions array<array<int>>, gen int, bucket int").parquet(f"{path}/postings")
     if terms is not None:
         named = spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("t")).select(term_bucket(F.col("t")).alias("b"))
         buckets = sorted({r["b"] for r in named.collect()})
         rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
     last = _last(listed)
-    rows = rows.where(F.col("gen") <= last)
+    rows = rows.where(F.col("gen") <= last).select("term", "gen", F.inline(F.arrays_zip(F.col("docs").alias("doc"), "positions")))
     if last:
         newer = listed.where("gen > 0").groupBy("doc").agg(F.max("gen").alias("newest"))
         rows = rows.join(small(newer), "doc", "left").where("newest is null or gen = newest")
@@ -126,9 +170,11 @@ def postings(spark: SparkSession, path: str, terms: list[str] | None = None) ->
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
     """The index as it is now, as the first generation of a new folder."""
-    rows = postings(spark, path).withColumn("bucket", term_bucket(F.col("term")))
-    rows = rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).sortWithinPartitions("bucket", "term", "doc")
-    rows.write.partitionBy("bucket").parquet(f"{to}/postings/gen=0")
+    rows = postings(spark, path).withColumn("bucket", term_bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+    pairs = F.sort_array(F.collect_list(F.struct("doc", "positions")))
+    rows = rows.repartition("bucket", "salt").groupBy("bucket", "salt", "term").agg(pairs.alias("p"))
+    rows = rows.select("bucket", "term", F.col("p.doc").alias("docs"), F.col("p.positions").alias("positions"))
+    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{to}/postings/gen=0")
     documents(spark, path).select("doc", F.lit(True).alias("live")).write.parquet(f"{to}/docs/gen=0")
 
 
@@ -154,29 +200,46 @@ def _rank_any(at: list[Column]) -> Column:
 
 def _rank_all(at: list[Column]) -> Column:
     """The nearer two different words stand, the more they weigh; weights add up as
-    1 - (1 - a)(1 - b).  Pairs are counted for each distance, so the work grows with
-    the occurrences and not with the pairs."""
-    near = lambda d: WEIGHT * F.sqrt(1 / (1.005 + 0.05 * F.exp(F.abs(d) / 1.5 - 2)))
-    far = math.log1p(-WEIGHT * 1e-15)
-    logs, pairs = F.lit(0.0), F.lit(0).cast("long")
-
-    def closeness(p: Column, q: Column) -> Column:
-        """Pairs of a distance are the places that p and q, moved by it, have in common."""
-
-        def more(s: Column, d: Column) -> Column:
-            n = F.when(d == 0, 0).otherwise(F.size(F.array_intersect(p, F.transform(q, lambda y: y + d))))
-            return F.struct((s["log"] + n * F.log1p(-near(d))).alias("log"), (s["n"] + n).alias("n"))
-
-        start = F.struct(F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("n"))
-        return F.aggregate(F.sequence(F.lit(-FARTHEST), F.lit(FARTHEST)), start, more)
-
-    for p, q in itertools.combinations(at, 2):
-        close = closeness(p, q)
-        every = F.size(p).cast("long") * F.size(q)
-        both = p.isNotNull() & q.isNotNull()
-        logs = logs + F.when(both, close["log"] + (every - close["n"]) * far).otherwise(0.0)
-        pairs = pairs + F.when(both, every).otherwise(0)
-    return F.when(pairs > 0, -F.expm1(logs)).otherwise(NO_PAIR)
+    1 - (1 - a)(1 - b).  Pairs farther apart than FARTHEST weigh as good as nothing
+    each and are counted, so the work grows with the near pairs only."""
+    distance = np.arange(FARTHEST + 1)
+    logs = np.log1p(-WEIGHT * np.sqrt(1 / (1.005 + 0.05 * np.exp(distance / 1.5 - 2))))
+    far = np.log1p(-WEIGHT * 1e-15)
+
+    def near(p: np.ndarray, q: np.ndarray, text: np.ndarray, out: np.ndarray) -> None:
+        """Adds the weights of pairs to out; p and q ascend, texts far from each other."""
+        low, high = np.searchsorted(q, p - FARTHEST), np.searchsorted(q, p + FARTHEST, "right")
+        n = high - low
+        for a, b in _spans(n, PAIRS):
+            each = n[a:b]
+            other = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - low[a:b], each)
+            gap = np.abs(np.repeat(p[a:b], each) - q[other])
+            np.add.at(out, np.repeat(text[a:b], each), np.where(gap > 0, logs[gap], 0) - far)
+
+    def rank(words: pd.DataFrame) -> pd.Series:
+        out, pairs = np.zeros(len(words)), np.zeros(len(words))
+        flat = []
+        for c in words:
+            n = np.array([0 if x is None else len(x) for x in words[c]], np.int64)
+            places = np.concatenate([np.zeros(0, np.int64), *[x for x in words[c] if x is not None]]).astype(np.int64)
+            text = np.repeat(np.arange(len(words)), n)
+            flat.append((places + (text << 40), text, n))
+        for (p, text, n), (q, _, m) in itertools.combinations(flat, 2):
+            near(p, q, text, out)
+            out += n * m * far
+            pairs += n * m
+        return pd.Series(np.where(pairs > 0, -np.expm1(out), NO_PAIR))
+
+    return F.pandas_udf(rank, "double")(F.struct(*at))
+
+
+def _spans(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts of n whose sums are at most ``most``, or single ones."""
+    total, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
 def search(spark: SparkSession, path: str, query: str) -> DataFrame:

@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import small, written
+from ..tables import written
 
 LISTS = 100
 #: Vectors that centroids are fitted on: so many a list, and so many at least.
 SAMPLE_A_LIST = 50
 SAMPLE_LEAST = 10_000
 ROUNDS = 10
+#: Vectors of a list, and queries, that meet in one group, about.
+BLOCK_ROWS = 4096
 
 
 def _unit(vector: str) -> Column:
@@ -95,8 +98,10 @@ def topk(spark: SparkSession, path: str, queries: DataFrame, key: str, vector: s
     """query, key, similarity and place of the k nearest vectors in the probes nearest
     lists of each query; with as many probes as lists the exact k nearest.
 
-    Queries are dealt to their lists and meet only those; of equal similarities the
-    smaller key comes first.  Queries without a direction find nothing.
+    Queries are dealt to their lists and meet only those, which are the only ones read;
+    blocks of queries meet blocks of vectors, and each such meeting returns k rows for
+    each query.  Of equal similarities the smaller key comes first.  Queries without a
+    direction find nothing.
     """
     c = centroids(spark, path)
     asked = units(queries, key, vector).select(F.col("key").alias("query"), F.col("v").alias("q"))
@@ -104,13 +109,48 @@ def topk(spark: SparkSession, path: str, queries: DataFrame, key: str, vector: s
         kind = _lists(spark, path).schema["key"].dataType.simpleString()
         return asked.select("query", F.lit(None).cast(kind).alias("key"), F.lit(0.0).alias("similarity"), F.lit(0).alias("place")).where("false")
     asked = written(asked.select("query", "q", F.explode(_nearest(c, min(probes, len(c)))("q")).alias("list")), "ivf-asked")
-    rows = _lists(spark, path).join(small(asked), "list")
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = rows.select("query", "key", dot.alias("similarity"))
+    n_asked = asked.groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
+    named = [r["list"] for r in n_asked.select("list").collect()]
+    rows = _lists(spark, path).where(F.col("list").isin(named))
+    # One row for each list.
+    plan = rows.groupBy("list").agg(F.count(F.lit(1)).alias("held")).join(n_asked, "list")
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK_ROWS).cast("int"), F.lit(1))
+    plan = F.broadcast(written(plan.select("list", parts("held").alias("pieces"), parts("asked").alias("blocks")), "ivf-plan"))
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.join(plan, "list").select("list", mine("key", "pieces").alias("piece"), every("blocks").alias("block"), "key", "v")
+    asking = asked.join(plan, "list").select("list", every("pieces").alias("piece"), mine("query", "blocks").alias("block"), "query", "q")
+    by = ("list", "piece", "block")
+    kinds = ", ".join(f"{n} {t.schema[n].dataType.simpleString()}" for t, n in ((asking, "query"), (held, "key")))
+    scored = held.groupBy(*by).cogroup(asking.groupBy(*by)).applyInArrow(_best(k), f"{kinds}, similarity double")
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
+def _best(k: int):
+    """The k best of some vectors for each of some queries."""
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.asarray(column.combine_chunks().flatten()).reshape(len(column), -1)
+
+    def run(held: pa.Table, asking: pa.Table) -> pa.Table:
+        empty = pa.table({"query": asking["query"].slice(0, 0), "key": held["key"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+        if not len(held) or not len(asking):
+            return empty
+        held = held.sort_by("key")  # of equal similarities the smaller key is first
+        v, out = matrix(held["v"]), [empty]
+        for a in range(0, len(asking), 64):
+            some = asking.slice(a, 64)
+            # Summed in the same order for every pair, so that copies are equally near.
+            s = np.einsum("id,jd->ij", matrix(some["q"]), v)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(some)), top.shape[1])
+            out.append(pa.table({"query": some["query"].take(pa.array(row)), "key": held["key"].take(pa.array(top.ravel())), "similarity": s[row, top.ravel()]}))
+        return pa.concat_tables(out)
+
+    return run
+
+
 def nearest_to(spark: SparkSession, path: str, query: list[float], probes: int, k: int) -> DataFrame:
     """key and similarity of the nearest vectors to one query: only its lists are read."""
     c = centroids(spark, path)
