@@ -75,7 +75,7 @@ def frame(spark, texts):
     return spark.createDataFrame(list(texts.items()), "id long, text string")
 
 
-QUERIES = ["alpha", "alpha beta", '"alpha beta"', '"beta gamma delta"', "alpha OR zeta", '"alpha beta" -gamma', "-alpha -beta", '-"alpha beta"', "É-clair", "nothing here", 'eps "eta é" OR zeta -alpha OR "gamma gamma"', "--", "x beta", '"x x" alpha']
+QUERIES = ["alpha", "alpha beta", '"beta gamma delta"', '"alpha beta" -gamma', '-alpha -"beta eps"', "É-clair", 'eps "eta é" OR zeta -alpha OR "gamma gamma"', "--", '"x x" alpha']
 
 
 @pytest.mark.parametrize("query", QUERIES)
@@ -114,7 +114,7 @@ def test_changed_and_deleted_documents(spark, texts, tmp_path):
     # A generation without its list of documents, as a broken run leaves it, is not there.
     X._put(frame(spark, {8: "alpha broken", 9: "omega"}), "id", "text", path, 4)
     X.compact(spark, path, f"{tmp_path}/packed")
-    for query in ("alpha", "omega", '"alpha again"', "-alpha", "beta alpha"):
+    for query in ("omega", '"alpha again" OR -alpha'):
         for place in (path, f"{tmp_path}/packed"):
             got = {r["doc"]: r["rank"] for r in X.search(spark, place, query).collect()}
             want = brute(now, query)

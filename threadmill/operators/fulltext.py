@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ BUCKETS = 64
 #: Tasks that share a bucket when it is written, so that a term of every document is not one task's.
 SALTS = 16
 #: Characters of text that a task inverts at once, and pairs of words that it weighs at once.
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 24
 PAIRS = 1 << 21
 
 # The rank's constants, as the database documents them: the weight of an unlabelled
@@ -66,7 +68,7 @@ def websearch(query: str) -> list[list[Unit]]:
 
 
 def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term) % BUCKETS).cast("int")
 
 
 def terms_of(text: str) -> list[str]:
@@ -74,6 +76,27 @@ def terms_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, first all lowest ones: small numbers compress."""
+    return np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(x: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _packed(terms: pa.Array, start: np.ndarray, docs: pa.Array, first: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Postings as rows: terms begin at start among the documents, documents at first
+    among the positions.  Of positions the steps are kept."""
+    counts = np.diff(np.append(first, len(at)))
+    steps = np.diff(at, prepend=0)
+    steps[first] = at[first]
+    cuts, ends = np.append(start, len(first)), np.append(first, len(at))
+    n_docs = pa.array([_planes(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+    places = pa.array([_planes(steps[ends[a] : ends[b]]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), docs), n_docs, places], ["term", "docs", "counts", "places"])
+
+
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each term of some whole texts: its documents and its positions in each."""
 
@@ -86,10 +109,7 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, doc, at = code[order], doc[order], at[order]
         first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
         start = np.flatnonzero(np.append(True, code[first][1:] != code[first][:-1]))
-        cuts = pa.array(np.append(start, len(first)), pa.int32())
-        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), pa.array(at, pa.int32()))
-        names = pa.array(docs).take(pa.array(doc[first]))
-        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first][start])), pa.ListArray.from_arrays(cuts, names), pa.ListArray.from_arrays(cuts, places)], ["term", "docs", "positions"])
+        return _packed(coded.dictionary.take(pa.array(code[first][start])), start, pa.array(docs).take(pa.array(doc[first])), first, at)
 
     docs, texts, chars = [], [], 0
     for batch in batches:
@@ -107,13 +127,43 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(docs, texts)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of term, doc and positions, sorted by term, as rows of postings."""
+    for batch in batches:
+        if batch.num_rows:
+            term, lists = batch["term"], batch["positions"]
+            start = np.flatnonzero(np.append(True, np.asarray(pa.compute.not_equal(term.slice(1), term.slice(0, len(term) - 1)))))
+            first = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+            yield _packed(term.take(pa.array(start)), start, batch["doc"], first, np.asarray(lists.flatten()).astype(np.int64))
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term and document, with its positions."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            counts, steps = _numbers(batch["counts"][i]), _numbers(batch["places"][i])
+            ends = np.append(0, np.cumsum(counts))
+            total = np.cumsum(steps)
+            at = total - np.repeat(total[ends[:-1]] - steps[ends[:-1]], counts)
+            n = len(counts)
+            same = [pa.array([batch[c][i].as_py()] * n, batch.schema.field(c).type) for c in ("term", "gen")]
+            yield pa.RecordBatch.from_arrays([*same, batch["docs"][i].values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))], ["term", "gen", "doc", "positions"])
+
+
 def _put(docs: DataFrame, key: str, text: str, path: str, gen: int) -> None:
     """The postings of docs as generation gen: inverted where they are, then moved once,
     to their terms' buckets."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(_invert, f"term string, docs array<{kind}>, positions array<array<int>>")
-    rows = rows.withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(SALTS)))
-    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings/gen={gen}")
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(_invert, _schema(kind))
+    _write(rows.withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(SALTS))), f"{path}/postings/gen={gen}")
+
+
+def _schema(kind: str) -> str:
+    return f"term string, docs array<{kind}>, counts binary, places binary"
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def build(docs: DataFrame, key: str, text: str, path: str) -> None:
@@ -155,13 +205,13 @@ def postings(spark: SparkSession, path: str, terms: list[str] | None = None) ->
     """term, doc and positions as they are now: of some terms from their buckets only."""
     listed = spark.read.parquet(f"{path}/docs")
     kind = listed.schema["doc"].dataType.simpleString()
-    rows = spark.read.schema(f"term string, docs array<{kind}>, positions array<array<int>>, gen int, bucket int").parquet(f"{path}/postings")
+    rows = spark.read.schema(f"{_schema(kind)}, gen int, bucket int").parquet(f"{path}/postings")
     if terms is not None:
-        named = spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("t")).select(term_bucket(F.col("t")).alias("b"))
-        buckets = sorted({r["b"] for r in named.collect()})
+        buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
         rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
     last = _last(listed)
-    rows = rows.where(F.col("gen") <= last).select("term", "gen", F.inline(F.arrays_zip(F.col("docs").alias("doc"), "positions")))
+    rows = rows.where(F.col("gen") <= last).select("term", "gen", "docs", "counts", "places")
+    rows = rows.mapInArrow(_unpack, f"term string, gen int, doc {kind}, positions array<int>")
     if last:
         newer = listed.where("gen > 0").groupBy("doc").agg(F.max("gen").alias("newest"))
         rows = rows.join(small(newer), "doc", "left").where("newest is null or gen = newest")
@@ -170,11 +220,10 @@ def postings(spark: SparkSession, path: str, terms: list[str] | None = None) ->
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
     """The index as it is now, as the first generation of a new folder."""
-    rows = postings(spark, path).withColumn("bucket", term_bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
-    pairs = F.sort_array(F.collect_list(F.struct("doc", "positions")))
-    rows = rows.repartition("bucket", "salt").groupBy("bucket", "salt", "term").agg(pairs.alias("p"))
-    rows = rows.select("bucket", "term", F.col("p.doc").alias("docs"), F.col("p.positions").alias("positions"))
-    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{to}/postings/gen=0")
+    rows = postings(spark, path)
+    kind = rows.schema["doc"].dataType.simpleString()
+    rows = rows.repartition(term_bucket(F.col("term")), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).sortWithinPartitions("term", "doc")
+    _write(rows.mapInArrow(_pack, _schema(kind)).withColumn("bucket", term_bucket(F.col("term"))), f"{to}/postings/gen=0")
     documents(spark, path).select("doc", F.lit(True).alias("live")).write.parquet(f"{to}/docs/gen=0")
 
 
