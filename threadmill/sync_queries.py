@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .catalog import query, read
 from .functions.text import FORUM_HOST
+from .operators import embedding as B
 from .operators import rules as U
 from .operators import walk as W
+from .streaming import mergelog as G
+from .tables import scratch
 
 # Walks
 
@@ -171,3 +174,38 @@ def topic_payloads(spark, d):
     rows = read(spark, d, "documents")
     p = U.topic_payload(F.when(k % 3 == 0, "new_reply").otherwise("new_topic"), F.coalesce("source", F.lit("none")), text, F.concat(F.lit("https://x.example/"), k), F.when(k % 5 != 0, F.col("lang")), text, F.when(k % 4 != 0, text), "Review in the desk")
     return rows.select("doc_id", p.alias("p")).select("doc_id", F.md5("p.text").alias("text_md5"), F.md5(F.array_join("p.blocks", "\x01")).alias("blocks_md5"))
+
+
+# Vectors and change logs
+
+
+@query("""WITH p AS (SELECT d.text, arg_max(embedding, doc_id) AS v FROM documents d JOIN embeddings ON vec_id = doc_id AND vec_id % 3 <> 0 WHERE d.text IS NOT NULL GROUP BY d.text)
+SELECT doc_id, CASE WHEN v IS NULL THEN 'embedded' ELSE 'reused' END AS how, 64::INT AS width, v[1]::DOUBLE AS first FROM documents d LEFT JOIN p ON p.text = d.text""")
+def chunks_embedded(spark, d):
+    """Every document with a vector: that of a known text, or one from the hashing model."""
+    docs, v = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "embeddings")
+    vector = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))  # of another width: not known
+    prior = docs.join(v.select(F.col("vec_id").alias("doc_id"), vector.alias("vector")), "doc_id").select("text", "vector", F.col("doc_id").alias("at"))
+    out = B.refreshed(docs, prior, "doc_id", "text", "at", B.hashing_model(64), 64)
+    first = F.when(F.col("how") == "reused", F.col("vector")[0].cast("double"))
+    return out.select("doc_id", "how", F.size("vector").alias("width"), first.alias("first"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'again' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderdate AS updated FROM orders),
+b AS (SELECT o_orderkey, 'late' AS status, NULL::DOUBLE AS price, o_orderdate - INTERVAL 1 DAY AS updated FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, NULL, o_totalprice * 2, o_orderdate + INTERVAL 1 DAY FROM orders WHERE o_orderkey % 13 = 0)
+SELECT a.o_orderkey, a.status, CASE WHEN a.o_orderkey % 13 = 0 THEN o_totalprice * 2 ELSE a.price END AS price, a.updated + CASE WHEN a.o_orderkey % 13 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS updated FROM a JOIN orders USING (o_orderkey)""")
+def merge_log_state(spark, d):
+    """A table after three batches, one of which was merged into its base: what is older,
+    or says nothing, changes nothing, and what failed first came through again."""
+    o, k, day = read(spark, d, "orders"), F.col("o_orderkey"), F.expr("INTERVAL 1 DAY")
+    path, none = scratch(spark, "mergelog"), lambda kind: F.lit(None).cast(kind)
+    G.create(spark, path, "o_orderkey bigint, status string, price double, updated timestamp")
+    write = G.commit_batches(path, ["o_orderkey"], "updated", F.col("status") != "bad", lambda x: x.withColumn("status", F.lit("again")))
+    row = lambda status, price, at: (k, status.alias("status"), price.alias("price"), at.alias("updated"))
+    write(o.select(*row(F.when(k % 7 == 0, "bad").otherwise(F.col("o_orderstatus")), F.when(k % 11 != 0, F.col("o_totalprice")), F.col("o_orderdate"))), 0)
+    write(o.where(k % 5 == 0).select(*row(F.lit("late"), none("double"), F.col("o_orderdate") - day)), 1)
+    G.compact(spark, path, ["o_orderkey"], "updated")
+    # Good once it says anything but bad; a null status is good here.
+    write = G.commit_batches(path, ["o_orderkey"], "updated", F.coalesce(F.col("status") != "bad", F.lit(True)))
+    write(o.where(k % 13 == 0).select(*row(none("string"), F.col("o_totalprice") * 2, F.col("o_orderdate") + day)), 2)
+    return G.read(spark, path, ["o_orderkey"], "updated")
