@@ -309,9 +309,10 @@ def _decoded(source: str, columns: str, text: str) -> str:
     for name, by in T.NAMED_ENTITIES:
         named = f"regexp_replace({named}, '(?i){name}', '{by.replace(chr(39), chr(39) * 2)}', 'g')"
     sql, last = f"d0 AS (SELECT {columns}, {named} AS t FROM {source})", "d0"
-    for k, (mark, digits, prefix) in enumerate((("&#", "[0-9]{1,7}", ""), ("&#[xX]", "[0-9a-fA-F]{1,6}", "0x")), 1):
-        number = f"('{prefix}' || regexp_extract(x, '^{mark}({digits});', 1))::BIGINT"
-        each = f"CASE WHEN regexp_matches(x, '^{mark}{digits};') THEN CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr({number}::INT) || regexp_replace(x, '^{mark}{digits};', '') ELSE x END ELSE x END"
+    for k, (mark, digits, prefix) in enumerate((("&#", "[0-9]", ""), ("&#[xX]", "[0-9a-fA-F]", "0x")), 1):
+        figures = f"regexp_extract(x, '^{mark}0*({digits}*);', 1)"
+        number = f"(CASE WHEN length({figures}) BETWEEN 1 AND 7 THEN '{prefix}' || {figures} ELSE '{prefix}0' END)::BIGINT"
+        each = f"CASE WHEN regexp_matches(x, '^{mark}{digits}+;') THEN CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr({number}::INT) ELSE '' END || regexp_replace(x, '^{mark}{digits}+;', '') ELSE x END"
         parts = "list_transform(string_split(t, '&#'), lambda y, i: CASE WHEN i > 1 THEN '&#' || y ELSE y END)"
         sql += f", d{k} AS (SELECT {columns}, array_to_string(list_transform({parts}, lambda x: {each}), '') AS t FROM {last})"
         last = f"d{k}"
