@@ -14,8 +14,11 @@ from threadmill.operators import messages as M
 from threadmill.operators import products as P
 
 
-def test_a_hundred_thousand_keywords(spark, monkeypatch):
+@pytest.mark.parametrize("automaton", [200_000, 10])
+def test_a_hundred_thousand_keywords(spark, monkeypatch, automaton):
     monkeypatch.setattr(P, "BLOCK_UNITS", 16)
+    monkeypatch.setattr(P, "AUTOMATON_WORDS", automaton)
+    monkeypatch.setattr(P, "MOST_GAPS", 1)
     r = random.Random(3)
     words = ["ab", "cd", "e-f", "g_h", "ij9", "k.l", "é", "mn", "op", "q+"]
     texts = {i: r.choice(["", " ", "x"]).join(r.choice(words + ["\t", " ", ", ", "AB", "Cd"]) + r.choice(["", " ", "  ", "\n"]) for _ in range(r.randrange(0, 60))) for i in range(40)}
