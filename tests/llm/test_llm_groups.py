@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadmill.llm import lines, lloyd, queries, spelling
+from threadmill.llm import lines, lloyd, queries, sharding, spelling, suffix_dedup, transducer
 
 CLASHING = "doc_id long, text string, row string, doc long, mark long, gone string, kept string, n_lines string, h1 long, first long, word string, n long"
 
@@ -214,3 +214,26 @@ def test_queries_of_this_round_on_the_smallest_tables(spark):
     for name in ("op11_spelling_variants", "op12_centroid_clustering", "op13_line_dedup"):
         out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert out.agg(F.count(F.lit(1))).first()[0] > 0 and name in queries.ORACLES
+
+
+# Names of the operators' own in the input
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_part", "_rank", "_key", "_piece", "_at", "_place", "_ends", "_before", "_row", "_n", "_t1", "_t2", "_spans", "_first", "_copy", "_done", "_text", "_digest", "row", "digest", "Kept", "SLOT", "N_pieces"]
+    same = "a passage of more than fifty bytes that both of the documents have in common"
+    rows = [(k, t, *[f"{c}{k}" for c in names]) for k, t in ((1, same + " one"), (2, "two " + same), (3, None))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+
+    def others(out, replaced):
+        stay = [c for c in names if c not in replaced]
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert all(got[k][c] == f"{c}{k}" for k in (1, 2, 3) for c in stay) and len(got) == 3
+        return got
+
+    assert sorted(r["slot"] for r in others(sharding.shard(df, 1), ["SLOT"]).values()) == [0, 1, 2]
+    assert sharding.shard(df, 1).columns[:3] == ["doc_id", "text", "_part"]
+    cut = others(suffix_dedup.remove_repeats(df), ["Kept"])
+    assert bytes(cut[1]["kept"]).decode() == same + " one" and bytes(cut[2]["kept"]) == b"two " and bytes(cut[3]["kept"]) == b""
+    coded = others(transducer.encode_digest(df, transducer.Transducer.read("/opt/tokenizers/piece_bpe_32k.model")), ["N_pieces"])
+    assert coded[3]["n_pieces"] == 0 and all(r["round_trip"] for r in coded.values())

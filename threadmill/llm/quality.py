@@ -108,7 +108,8 @@ def repetition_coverage(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measures, ``base_failed`` and ``kept`` as columns.
+    """docs with the measures, ``base_failed`` and ``kept`` as columns; columns of these
+    names and one called ``repetition`` are replaced.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated
     8-word windows.  kept: base passed, and no limit of LINE_LIMIT,

@@ -88,20 +88,22 @@ def shard(df: DataFrame, n_shards: int, seed: int = 11) -> DataFrame:
     likely up to the quality of the hash that stands in for random numbers, so
     equal rows, nulls and texts of any length need no care: a row is known by its
     place in the written input, never by its values.  Columns of df that are
-    called shard or slot are replaced.  An empty table stays empty.
+    called shard or slot, in any case, are replaced; all others stay, whatever
+    their names.  An empty table stays empty.
 
     The rows are first written to the shared folder, so that the partitions that
     were counted are the ones dealt out whatever executor is lost meanwhile.
     What reaches the driver is one number for each input partition.
     """
     spark = df.sparkSession
-    plain = [c for c in df.columns if c not in ("shard", "slot")]
+    plain = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     # First permutation: inside each input partition, by a hash of the row's place, a
     # sort that moves no row to another task.  _at: the row's place after that (its
     # partition above, its rank in the lower 33 bits); it alone feeds what follows.
-    place = df.select(*plain, F.monotonically_increasing_id().alias("_place"))
+    # The input's columns travel as one, so that no name of theirs meets one used here.
+    place = df.select(F.struct(*plain).alias("_row"), F.monotonically_increasing_id().alias("_place"))
     permuted = place.sortWithinPartitions(F.xxhash64(F.lit(seed), "_place"), "_place")
-    rows = written(permuted.select(*plain, F.monotonically_increasing_id().alias("_at")), "shard-input")
+    rows = written(permuted.select("_row", F.monotonically_increasing_id().alias("_at")), "shard-input")
     part = F.shiftright("_at", 33)
     counts = sorted((r["_part"], r["n"]) for r in rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect())
     total = sum(n for _, n in counts)
@@ -120,7 +122,7 @@ def shard(df: DataFrame, n_shards: int, seed: int = 11) -> DataFrame:
     pieces = max(1, math.ceil(total / n_shards / SLOT_ROWS))
     key = F.xxhash64(F.lit(seed + 1), F.col("_at"))
     piece = F.floor(F.shiftrightunsigned(key, 33) / float(1 << 31) * pieces).cast("int")
-    moved = dealt.select(*plain, "_at", "shard", key.alias("_key"), piece.alias("_piece"))
+    moved = dealt.select("_row", "_at", "shard", key.alias("_key"), piece.alias("_piece"))
     inner = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy("_key", "_at")) - 1
     ranked = moved.withColumn("slot", inner.cast("long"))
     if pieces > 1:
@@ -128,7 +130,7 @@ def shard(df: DataFrame, n_shards: int, seed: int = 11) -> DataFrame:
         before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
         per = per.select("shard", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
         ranked = ranked.join(per, ["shard", "_piece"]).withColumn("slot", F.col("slot") + F.col("_before"))
-    return ranked.select(*plain, "shard", "slot")
+    return ranked.select("_row.*", "shard", "slot")
 
 
 def _table(spark, lines: list[dict], n_shards: int) -> DataFrame:

@@ -311,11 +311,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     documents.  With whole_characters, characters that a run only touches stay, so
     that ``kept`` is UTF-8 again.  A null text is empty.  Rows with a null key are
     kept whole and are no one's earlier document; rows with equal keys are not
-    each other's.  Texts shorter than ``length`` stay.  Other columns stay;
-    columns called kept or removed are replaced.  An empty table stays empty.
+    each other's.  Texts shorter than ``length`` stay.  Columns called kept or
+    removed, in any case, are replaced; all others stay, whatever their names.  An
+    empty table stays empty.
     """
-    docs = docs.drop("kept", "removed")
+    given = [c for c in docs.columns if c.lower() not in ("kept", "removed")]
     classes, spans = find_repeats(docs, key, text, length)
+    # The other columns travel as one, so that no name of theirs meets one used here.
+    others = [c for c in given if c not in (key, text)]
+    row = F.struct(*others) if others else F.lit(None)
+    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), row.alias("_row"))
+    columns = [F.col("_key").alias(c) if c == key else F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in given]
+    key, text = "_key", "_text"
     runs_ = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     found = classes.join(runs_, "tid", "left").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("first").alias("_first"), "_spans")
     found = written(found, "rep-found")
@@ -350,4 +357,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     cut.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     done = F.pandas_udf(cut, "kept binary, removed array<struct<start:bigint,end:bigint>>")(F.col(text), F.col("_spans"), F.col("_copy"))
     rows = rows.withColumn("_done", done)
-    return rows.select(*[F.col(c) for c in docs.columns], F.col("_done.kept").alias("kept"), F.col("_done.removed").alias("removed"))
+    return rows.select(*columns, F.col("_done.kept").alias("kept"), F.col("_done.removed").alias("removed"))

@@ -260,7 +260,8 @@ def encode_digest(docs: DataFrame, fst: Transducer, text: str = "text") -> DataF
     """docs with ``n_pieces``, ``ids_crc32`` (of the ids as little-endian 32-bit
     numbers), ``n_fallback`` (byte pieces) and ``round_trip`` (decoding gives the
     text's bytes back), from the same encoder and decoder, without writing the ids.
-    Nulls and empty texts have 0 pieces and round_trip true."""
+    Nulls and empty texts have 0 pieces and round_trip true.  Columns of these names, in
+    any case, are replaced; all others stay."""
     shared = docs.sparkSession.sparkContext.broadcast(fst)
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -283,4 +284,6 @@ def encode_digest(docs: DataFrame, fst: Transducer, text: str = "text") -> DataF
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     digest = F.pandas_udf(run, "n_pieces bigint, ids_crc32 bigint, n_fallback bigint, round_trip boolean")(F.col(text))
     fields = ("n_pieces", "ids_crc32", "n_fallback", "round_trip")
-    return docs.withColumn("_digest", digest).withColumns({x: F.col(f"_digest.{x}") for x in fields}).drop("_digest")
+    given = [c for c in docs.columns if c.lower() not in fields]
+    rows = docs.select(F.struct(*given).alias("row"), digest.alias("digest"))
+    return rows.select("row.*", *[F.col(f"digest.{x}") for x in fields])
