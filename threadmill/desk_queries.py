@@ -7,6 +7,7 @@ conversations, line items posts or chunks, conversations messages.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import query, read, threads, _THREADS
@@ -181,10 +182,11 @@ def needs_reply_halves(spark, d):
     return O.top_of_each(threads(spark, d), [R.flagged(cut), R.backlog(cut)], [F.desc_nulls_last("last_activity"), F.asc("id")]).select("id", "half")
 
 
-@query(f"WITH {_PLUGINS} SELECT plugin, name, n_name AS brand_name FROM plugins JOIN nation ON n_nationkey = brand ORDER BY n_name, name LIMIT 100")
+@query(f"WITH {_PLUGINS} SELECT plugin, name, n_name AS brand_name, row_number() OVER (PARTITION BY n_name ORDER BY name, plugin)::INT AS place FROM plugins JOIN nation ON n_nationkey = brand ORDER BY n_name, place")
 def plugins_by_brand(spark, d):
     n = read(spark, d, "nation").select(F.col("n_nationkey").alias("brand"), F.col("n_name").alias("brand_name"))
-    return plugins(spark, d).join(F.broadcast(n), "brand").orderBy("brand_name", "name").limit(100).select("plugin", "name", "brand_name")
+    place = F.row_number().over(Window.partitionBy("brand_name").orderBy("name", "plugin"))
+    return plugins(spark, d).join(n, "brand").select("plugin", "name", "brand_name", place.alias("place")).orderBy("brand_name", "place")
 
 
 @query("SELECT o_orderkey, count(l_linenumber) AS n_files, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS files FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -195,9 +197,9 @@ def messages_with_files(spark, d):
     return out.select("o_orderkey", F.size("files").cast("long").alias("n_files"), names.alias("files"))
 
 
-@query("SELECT conv_id, count(*) AS n_messages, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations WHERE conv_id = 7 GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n_messages, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def conversation_detail(spark, d):
-    turns = read(spark, d, "conversations").where("conv_id = 7")
+    turns = read(spark, d, "conversations")
     out = O.gathered(turns.select("conv_id").distinct(), turns, "conv_id", ["turn"], ["role"], "messages")
     return out.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.array_join(F.transform("messages", lambda m: m["role"]), ">").alias("roles"))
 
@@ -425,9 +427,9 @@ def docs_headers(spark, d):
     return read(spark, d, "pages").select("page_id", D.docs_header(k % 2 == 0, F.concat(F.lit("P"), k), F.when(k % 3 != 0, " title"), F.col("url")).alias("header"))
 
 
-@query("SELECT page_id, replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS body FROM pages")
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS body FROM pages")
 def chat_escapes(spark, d):
-    return read(spark, d, "pages").select("page_id", D.escaped(F.substring("html", 1, 300)).alias("body"))
+    return read(spark, d, "pages").select("page_id", D.escaped(F.col("html")).alias("body"))
 
 
 # State rules
