@@ -119,9 +119,11 @@ def page_marks(spark, d):
     return read(spark, d, "customer").select(k, D.plugin_slug(F.concat(link, mark)).alias("slug"), D.unnamed_posts_resolved(F.concat(link, mark)).alias("resolved"))
 
 
-@query(r"SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS body FROM conversations WHERE NOT contains(text, '<')")
+@query(r"""WITH h AS (SELECT conv_id, turn, replace(text, chr(10), '</p>' || chr(10) || '<p class=''x''>') || '<br/>' AS html FROM conversations),
+t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(html, '(?i)<(?:/(?:p|div|li|h[1-6]|blockquote)|br\s*/?)>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS text FROM h)
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS body FROM t""")
 def feed_texts(spark, d):
-    c = read(spark, d, "conversations").where("not contains(text, '<')")
+    c = read(spark, d, "conversations")
     html = F.concat(F.lit("<![CDATA["), F.replace("text", F.lit("\n"), F.lit("</p>\n<p class='x'>")), F.lit("<br/>]]>"))
     return c.select("conv_id", "turn", D.feed_text(html).alias("body"))
 
