@@ -72,7 +72,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.held_out(F.col("doc_id"))
     index, prior = toxicity.train(docs, read(spark, sf_dir, "labels"), ~out)
-    return toxicity.score(docs, index, prior, evidence=0).select("doc_id", out.alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, index, prior).select("doc_id", out.alias("held_out"), "score", "predicted", "evidence")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

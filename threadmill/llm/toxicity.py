@@ -395,9 +395,11 @@ def score(docs: DataFrame, index: Index | None, prior: float, text: str = "text"
                 columns = [batch[c].slice(s.first, s.n) for c in plain]
                 columns.append(pa.array(np.round(ix.score(ix.votes(best, who), prior), 9)))
                 if evidence:
-                    top = zip(best[:, :evidence].tolist(), who[:, :evidence].tolist())
-                    why = [[{"example": int(ix.doc_id[j]), "label": int(ix.label[j]), "cosine": c} for c, j in zip(cos, w) if c > 0] for cos, w in top]
-                    columns.append(pa.array(why, pa.list_(one)))
+                    there = best[:, :evidence] > 0  # the first of each row, as the best come first
+                    which = who[:, :evidence][there]
+                    why = [pa.array(ix.doc_id[which].astype(np.int64)), pa.array(ix.label[which].astype(np.int32)), pa.array(best[:, :evidence][there])]
+                    cuts = np.append(0, np.cumsum(there.sum(axis=1))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(why, fields=list(one))))
                 yield pa.RecordBatch.from_arrays(columns, [*plain, *[f.name for f in fields]])
         tidy()
 
