@@ -52,6 +52,17 @@ def refresh_due(status: Column, waiting: Column, resolved: Column, updated: Colu
     return waiting.isNotNull() & ~resolved & (updated < now - F.expr(HOUR)) & ~status.isin(CLOSED_STATES) & slug.isNotNull()
 
 
+def verify_due(status: Column, waiting: Column, resolved: Column) -> Column:
+    """Of topics that are about to be announced, those that are looked at first."""
+    return waiting.isNotNull() & ~resolved & (status != "dismissed")
+
+
+def refreshed_first(threads: DataFrame, due: Column, key: str, ids: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """The topics that wait longest, among those due and, if ids is given, in it."""
+    t = threads if ids is None else threads.join(ids.select(key), key, "left_semi")
+    return t.where(due).orderBy("waiting_since", key).limit(most)
+
+
 def work_lists(conversations: DataFrame, chunks: DataFrame, chunkable: DataFrame, key: str) -> DataFrame:
     """key and what a rebuild does with it: rebuild (resolved, no junk), purge_junk
     (junk that has chunks) or purge_stale (has chunks, is not resolved and could
@@ -206,6 +217,25 @@ def roster_name(first: Column, last: Column) -> Column:
     return F.when(name != "", name)
 
 
+def ingest_done(old: DataFrame, new: DataFrame, failed: DataFrame, key: str, hash_: str, kind: str, forum: bool) -> DataFrame:
+    """The pages' state after an ingest: key, hash, kind and chunks (keep, rebuild or none).
+
+    A page of another kind than before is a new one.  Pages whose embedding failed
+    (failed: key) are stored without a hash, so that the next ingest takes them up
+    again; a page that keeps its hash cannot fail.  Pages that are gone are dropped,
+    those of a forum stay as they are.
+    """
+    a = old.select(key, F.col(hash_).alias("_old"), F.col(kind).alias("_was"))
+    b = new.select(key, F.col(hash_).alias("_new"), F.col(kind).alias("_is"), F.lit(True).alias("_in"))
+    f = failed.select(key).distinct().withColumn("_failed", F.lit(True))
+    same = F.coalesce((F.col("_old") == F.col("_new")) & (F.col("_was") == F.col("_is")), F.lit(False))
+    gone = F.col("_in").isNull()
+    hash_now = F.when(gone, F.col("_old")).when(~same & F.col("_failed").isNotNull(), None).otherwise(F.col("_new"))
+    work = F.when(gone | same, "keep").when(F.col("_failed").isNotNull(), "none").otherwise("rebuild")
+    out = a.join(b, key, "full").join(f, key, "left").where(~gone | F.lit(forum))
+    return out.select(key, hash_now.alias(hash_), F.when(gone, F.col("_was")).otherwise(F.col("_is")).alias(kind), work.alias("chunks"))
+
+
 def ingest_plan(old: DataFrame, new: DataFrame, key: str, hash_: str, forum: bool) -> DataFrame:
     """key and plan: keep (same hash), rechunk (another one, or none stored), add or
     drop; pages of a forum are never dropped."""

@@ -79,6 +79,13 @@ def junk_override(old: Column, override: Column, new: Column) -> Column:
     return F.when(override, old).otherwise(new)
 
 
+def without_junk(chunks: DataFrame, before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """chunks but those of rows that have become junk; what is no junk any more gets
+    none back.  before and after: key, junk (null: not)."""
+    was = before.where("junk").select(key)
+    return chunks.join(after.where("junk").select(key).join(was, key, "left_anti"), key, "left_anti")
+
+
 def crawl(pages: DataFrame, start: str, url: str, links: str, text: str, most: int = 300, shortest: int = 120) -> DataFrame:
     """Breadth-first crawl of a stored corpus: the url and depth of the first ``most``
     pages that start leads to.

@@ -107,7 +107,11 @@ def chunks(msgs: DataFrame) -> DataFrame:
     return placed.groupBy("conv", "chunk").agg(F.count(F.lit(1)).alias("n_exchanges"), joined("exchange", "body", "\n\n").alias("body")).withColumn("n_chars", F.length("body"))
 
 
-def chunkable(msgs: DataFrame, noise: str) -> DataFrame:
+#: Commit notices of a code repository that were forwarded as mail (fixed value).
+NOISE = r"\A\s*[*_]*\s*\[WordPress Plugin\]"
+
+
+def chunkable(msgs: DataFrame, noise: str = NOISE) -> DataFrame:
     """Conversations with a customer line and a support line whose first customer
     line is not mere noise."""
     g = msgs.groupBy("conv").agg(

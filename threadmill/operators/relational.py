@@ -20,6 +20,40 @@ def contains_ci(column: Column, needle: str) -> Column:
     return F.contains(F.lower(column), F.lower(F.lit(needle)))
 
 
+def listed(conversations: DataFrame, key: str, files: DataFrame, chunks: DataFrame, *, state: str | None = None, brand=None, tag: str | None = None, email: str | None = None, operator=None, attachment: bool = False, junk: str | None = None, preview: str | None = None, since: Column | None = None, until: Column | None = None, product: str | None = None) -> DataFrame:
+    """Conversations for which every given filter holds; an empty filter is none.
+
+    conversations: key, state, brand, tags, email, operator, junk, preview,
+    last_message_at.  email and preview are substrings in any case, the preview's
+    trimmed; junk is "hide" or "only"; since and until belong to the range; a product
+    is that of a chunk (key, product) or a tag.  A null never passes a filter on its
+    column.  files: key.  The free search is ``found_or_like`` on top.
+    """
+    cut = (preview or "").strip()
+    c = conversations.where(
+        all_of(
+            [
+                F.col("state") == state if state else None,
+                F.col("brand") == brand if brand else None,
+                F.array_contains("tags", tag) if tag else None,
+                contains_ci(F.col("email"), email) if email else None,
+                F.col("operator") == operator if operator else None,
+                F.col("junk") == (junk == "only") if junk in ("hide", "only") else None,
+                contains_ci(F.col("preview"), cut) if cut else None,
+                F.col("last_message_at") >= since if since is not None else None,
+                F.col("last_message_at") <= until if until is not None else None,
+            ]
+        )
+    )
+    if attachment:
+        c = c.join(files.select(key), key, "left_semi")
+    if not product:
+        return c
+    held = chunks.where(F.col("product") == product).select(key).distinct().withColumn("_product", F.lit(True))
+    tagged = F.coalesce(F.array_contains("tags", product), F.lit(False))
+    return c.join(held, key, "left").where(F.col("_product").isNotNull() | tagged).drop("_product")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page of an ordered list; numbers start at 1, sizes are held to 1..100."""
     number, size = max(1, number), min(100, max(1, size))
