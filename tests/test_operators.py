@@ -179,7 +179,7 @@ def test_sources(spark):
 
     xml = "<rss><item><title>T</title><link>https://wordpress.org/support/topic/x/</link><pubDate>Mon, 05 Feb 2024 10:00:00 +0000</pubDate></item><item><title></title><link>https://wordpress.org/support/topic/x/#post-2</link><guid>g2</guid></item><item><title>again</title><link>y</link><guid>g2</guid></item></rss>"
     got = [(r["guid"], r["is_reply"], r["title"], r["published"]) for r in D.feed_items(spark.createDataFrame([(xml,)], "x string"), "x", "wordpress.org").orderBy("pos").collect()]
-    assert got == [("https://wordpress.org/support/topic/x/", False, "T", dt.datetime(2024, 2, 5, 10)), ("g2", True, None, None)]
+    assert got == [("https://wordpress.org/support/topic/x/", False, "T", dt.datetime(2024, 2, 5, 10)), ("g2", True, None, None), ("g2", False, "again", None)]
     mail = "Subject: x\nMIME-Version: 1.0\nContent-Type: multipart/alternative; boundary=B\n\n--B\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\nh=C3=A9\n--B\nContent-Type: text/html; charset=utf-8\n\n<p>x</p>\n--B--\n"
     assert spark.createDataFrame([(mail,)], "m string").select(D.mail_body(F.col("m")).alias("b")).first()["b"] == "hé\n<p>x</p>"
     raw = '{"session_id":"s","created_at":0,"updated_at":1700000000000,"meta":{"email":"a@b.c","segments":["x",null],"device":{"locales":["EN-us"]}}}'
