@@ -151,6 +151,18 @@ def test_vectors_against_brute_force(spark, monkeypatch, cell_rows):
     assert got == want
 
 
+def test_rows_that_pass_a_cell_are_not_dealt_into_pieces(spark, monkeypatch):
+    """A cell is split by the homes that a task holds, so copies of a vector do not grow
+    with the rows that only pass by (about 500 of 2,000 in the middle, 200 at home)."""
+    monkeypatch.setattr(neardup_vectors, "CELL_ROWS", 400)
+    pieces, real = [], neardup_vectors.written
+    monkeypatch.setattr(neardup_vectors, "written", lambda df, name="table": (pieces.extend(x["pieces"] for x in df.collect()) if name == "vec-cells" else None) or real(df, name))
+    x = np.random.default_rng(3).standard_normal((2000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert neardup_vectors.near_duplicates(df).count() == 2000
+    assert pieces and max(pieces) == 1
+
+
 def test_no_vectors(spark):
     assert neardup_vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,14 @@ from .shared import sized, written
 THRESHOLD = 0.95
 BLOCK_DIMS = 8
 GRID_DIMS = 2
-#: Vectors of one grid cell that meet in one task; larger cells are split.
-CELL_ROWS = 20_000
-_ROWS = 128
+#: Home vectors of one grid cell that a task holds (some 600 bytes each at 64
+#: dimensions); larger cells are split.
+CELL_ROWS = 200_000
+#: Pairs that are looked at together.
+_PAIRS = 1 << 18
 _EPS = 1e-9
+#: What a squared distance in single precision may be off; what passes is verified.
+_SLACK = 1e-5
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -92,41 +97,101 @@ def _labels(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return lab
 
 
-def _join_cell(threshold: float, kind: str):
-    def run(table: pa.Table) -> pa.Table:
-        dims, b, _ = table["cell"][0].as_py().split("/")
-        dims, b = int(dims), int(b)
-        left, n = np.asarray(table["left"]), np.asarray(table["n"])
-        right, rid = np.asarray(table["right"]), np.asarray(table["rid"])
-        x = _unit(table["vec"].to_pylist(), kind)
-        y = x @ rotation(dims)
-        parts = blocks(dims, threshold)
-        sq = np.stack([(y[:, p] ** 2).sum(axis=1) for p, _ in parts])
-        links = np.zeros(len(rid), np.int64)
-        lab = np.arange(len(rid))
-        # Rows that are on both sides meet each other once.
-        a, c = np.flatnonzero(left), np.flatnonzero(right)
-        part, budget = parts[b]
-        for k in range(0, len(a), _ROWS):
-            i = a[k : k + _ROWS]
-            near = sq[b][i][:, None] + sq[b][c][None, :] - 2 * (y[i][:, part] @ y[c][:, part].T) <= budget + _EPS
-            p, q = np.nonzero(near)
-            p, q = i[p], c[q]
-            once = (p != q) & ~(left[q] & right[p] & (p > q))
-            p, q = p[once], q[once]
-            # A pair belongs to the first block that finds it.
-            for e, (other, most) in enumerate(parts[:b]):
-                seen = ((y[p][:, other] - y[q][:, other]) ** 2).sum(axis=1) <= most + _EPS
-                p, q = p[~seen], q[~seen]
+class _Cell:
+    """The home vectors of a cell (or a piece of them), which other rows meet as they come."""
+
+    def __init__(self, cell: str, threshold: float, kind: str):
+        dims, b, _ = cell.split("/")
+        self.dims, self.block, self.threshold, self.kind = int(dims), int(b), threshold, kind
+        self.parts = blocks(self.dims, threshold)
+        self.turn = rotation(self.dims)[:, : self.parts[self.block][0].stop]
+        self.come: list[pa.RecordBatch] = []
+        self.closed = False
+
+    def _read(self, rows: pa.RecordBatch | pa.Table):
+        x = _unit(rows["vec"].to_pylist(), self.kind)
+        part = (x @ self.turn[:, self.parts[self.block][0]]).astype(np.float32)
+        return x, part, (part**2).sum(axis=1), np.asarray(rows["n"]), np.asarray(rows["rid"])
+
+    def _close(self) -> None:
+        self.x, self.part, self.sq, self.n, self.rid = self._read(pa.Table.from_batches(self.come))
+        self.come, self.closed = [], True
+        self.links, self.lab = np.zeros(len(self.rid), np.int64), np.arange(len(self.rid))
+        self.lab = self._meet(self.x, self.part, self.sq, self.n, self.links, True)
+
+    def _meet(self, x, part, sq, n, links, own: bool) -> np.ndarray:
+        """Counts the links of the homes and of some rows (the homes themselves, if
+        own); the labels of both afterwards."""
+        most, first = self.parts[self.block][1] + _SLACK, 0 if own else len(self.lab)
+        lab = self.lab if own else np.append(self.lab, np.arange(first, first + len(x)))
+        # Squared distances, less the most that may be, in one product.
+        one = np.ones_like
+        homes = np.column_stack([self.part, one(self.sq), self.sq]).T
+        rows = np.column_stack([-2 * part, sq - np.float32(most), one(sq)])
+        step = max(1, _PAIRS // len(self.x))
+        for k in range(0, len(x), step):
+            q, p = np.divmod(np.flatnonzero(rows[k : k + step] @ homes <= 0), len(self.x))
+            q += k
+            if own:
+                p, q = p[p < q], q[p < q]
             for m in range(0, len(p), 1 << 16):
                 u, v = p[m : m + (1 << 16)], q[m : m + (1 << 16)]
-                good = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
+                good = np.einsum("ij,ij->i", self.x[u], x[v]) >= self.threshold
                 u, v = u[good], v[good]
-                np.add.at(links, u, n[v])
-                np.add.at(links, v, n[u])
-                lab = _labels(lab, u, v)
-        found = np.flatnonzero(links)
-        return pa.table({"rid": rid[found], "links": links[found], "with": rid[lab[found]]})
+                # A pair belongs to the first block that finds it.
+                gap = ((self.x[u] - x[v]) @ self.turn) ** 2
+                found = [gap[:, c].sum(axis=1) <= budget + _EPS for c, budget in self.parts[: self.block + 1]]
+                good = found[-1] & ~np.any([np.zeros(len(u), bool), *found[:-1]], axis=0)
+                u, v = u[good], v[good]
+                np.add.at(self.links, u, n[v])
+                np.add.at(links, v, self.n[u])
+                lab = _labels(lab, u, first + v)
+        return lab
+
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Homes come before all others, which are done with as soon as they have met them."""
+        homes = int(np.count_nonzero(np.asarray(rows["left"])))
+        if homes:
+            self.come.append(rows.slice(0, homes))
+        if homes < rows.num_rows:
+            if not self.closed:
+                self._close()
+            x, part, sq, n, rid = self._read(rows.slice(homes))
+            links = np.zeros(len(rid), np.int64)
+            lab = self._meet(x, part, sq, n, links, False)
+            self.lab, to = lab[: len(self.rid)], lab[len(self.rid) :]
+            at = np.flatnonzero(links)
+            yield _found(rid[at], links[at], self.rid[to[at]])
+
+    def done(self) -> pa.RecordBatch:
+        if not self.closed:
+            self._close()
+        at = np.flatnonzero(self.links)
+        return _found(self.rid[at], self.links[at], self.rid[self.lab[at]])
+
+
+def _found(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rid", "links", "with"])
+
+
+def _join_cells(threshold: float, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, at = batch["cell"], np.asarray(batch["at"])
+            other = np.asarray(pa.compute.not_equal(cell.slice(1), cell.slice(0, len(cell) - 1))) | (at[1:] != at[:-1])
+            edges = [0, *(np.flatnonzero(other) + 1), len(cell)]
+            for i, j in zip(edges, edges[1:]):
+                name = (cell[i].as_py(), at[i])
+                if name != now:
+                    if held:
+                        yield held.done()
+                    now, held = name, _Cell(name[0], threshold, kind)
+                yield from held.add(batch.slice(i, j - i))
+        if held:
+            yield held.done()
 
     return run
 
@@ -144,8 +209,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     dropped.  An empty table stays empty.
 
     Scale: copies are one vector from the start, so a vector that a third of the
-    rows share costs no more than another.  A crowded cell is split into pieces
-    that meet pairwise in tasks of their own.  Tasks return sums and a spanning
+    rows share costs no more than another.  A task holds the home vectors of a cell
+    and streams what else meets them, so what moves grows with the rows until a
+    cell has more than CELL_ROWS homes (at 64 dimensions, some two million random
+    directions); then its other rows are sent once for each piece.  The pairs
+    looked at grow with the square of a cell.  Tasks return sums and a spanning
     forest, never pairs.
     """
     spark = df.sparkSession
@@ -169,25 +237,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     packed = distinct.select("rid", "n", "v").mapInArrow(pack, "rid bigint, n bigint, vec binary")
     cells = packed.mapInArrow(_cells(threshold, kind), "cell string, home boolean, rid bigint, n bigint, vec binary")
-    # Crowded cells: rows are dealt into pieces, and each two pieces meet in a task.
+    # A cell's homes are held by the task in which its other rows pass by.  Of crowded
+    # cells the homes are dealt into pieces, each of which meets what is not in a
+    # piece before it.
     crowd = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("homes")).where("homes > 0 and rows > 1")
-    crowd = written(crowd.select("cell", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("pieces")), "vec-cells")
+    crowd = written(crowd.select("cell", F.ceil(F.col("homes") / CELL_ROWS).cast("int").alias("pieces")), "vec-cells")
     # The grid of 64 dimensions has a few thousand cells however many vectors there
     # are; wider vectors have more, so they are counted.
     dealt = cells.join(sized(crowd), "cell")
-    piece = F.pmod(F.xxhash64(F.lit(2), "rid"), F.col("pieces")).cast("int")
-    meet = F.sequence(F.lit(0), F.col("pieces") - 1)
-    dealt = dealt.withColumn("piece", piece).withColumn("other", F.explode(meet))
-    # A home row is on the left of its piece's meetings with every piece, and on the
-    # right where the left piece is smaller; a neighbour's row is on the right only.
-    dealt = dealt.withColumn("side", F.explode(F.when(F.col("home") & (F.col("piece") == F.col("other")), F.array(F.lit("both"))).when(F.col("home"), F.array(F.lit("left"), F.lit("right"))).otherwise(F.array(F.lit("right")))))
-    l_piece = F.when(F.col("side") == "right", F.col("other")).otherwise(F.col("piece"))
-    r_piece = F.when(F.col("side") == "right", F.col("piece")).otherwise(F.col("other"))
-    dealt = dealt.withColumn("l_piece", l_piece).withColumn("r_piece", r_piece)
-    dealt = dealt.where(~F.col("home") | (F.col("side") != "right") | (F.col("l_piece") < F.col("r_piece")))
-    left, right = F.col("side").isin("both", "left"), F.col("side").isin("both", "right")
-    dealt = dealt.select("cell", "l_piece", "r_piece", left.alias("left"), right.alias("right"), "rid", "n", "vec")
-    found = dealt.groupBy("cell", "l_piece", "r_piece").applyInArrow(_join_cell(threshold, kind), "rid bigint, links bigint, with bigint")
+    piece = F.when(F.col("home"), F.pmod(F.xxhash64(F.lit(2), "rid"), F.col("pieces")).cast("int"))
+    dealt = dealt.withColumn("piece", piece).withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("piece", F.col("pieces") - 1))))
+    dealt = dealt.select("cell", "at", F.coalesce(F.col("at") == F.col("piece"), F.lit(False)).alias("left"), "rid", "n", "vec")
+    dealt = dealt.repartition("cell", "at").sortWithinPartitions("cell", "at", F.desc("left"))
+    found = dealt.mapInArrow(_join_cells(threshold, kind), "rid bigint, links bigint, with bigint")
     found = written(found, "vec-links")
 
     roots = connected_components(found.select("rid", "with"), "rid", "with")
