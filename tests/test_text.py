@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from threadmill.functions import desk as D
 from threadmill.functions import text as T
 
 REDACTED = [
@@ -102,3 +103,11 @@ def test_keywords(spark):
 def test_cosine(spark):
     assert one(spark, T.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
     assert abs(one(spark, T.cosine(F.array(F.lit(1.0), F.lit(1.0), F.lit(9.0)), F.array(F.lit(1.0), F.lit(0.0)))) - 0.5**0.5) < 1e-12
+
+
+def test_keywords_are_worked_out_once_for_each_row(spark):
+    """Each list is bound: no lambda holds the expression of another list again."""
+    df = spark.createDataFrame([(["Shop ", "shop", "x", "Fast  Shop", None, "new one", "NEWONE"], ["fast shop"], "Name", "a-slug")], "words array<string>, current array<string>, name string, slug string")
+    out = df.select(D.new_keywords(F.col("words"), F.col("current"), F.col("name"), F.col("slug")).alias("new"))
+    assert out.first()["new"] == ["Shop", "new one"]
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 4

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # Forms that stored data has to agree on.
 ATTACHMENT_TYPES = ["file", "audio", "animation"]
 CHOICE_TYPES = ["picker", "field"]
@@ -53,8 +55,11 @@ def initials(name: Column) -> Column:
 def clean_keywords(words: Column) -> Column:
     """Trimmed, without blanks, each once whatever its case; the first spelling stays."""
     words = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")
-    low = F.transform(words, lambda w: F.lower(w))
-    return F.filter(words, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+
+    def once(words: Column, low: Column) -> Column:
+        return F.filter(words, lambda w, i: F.array_position(low, F.get(low, i)) == i + 1)
+
+    return bound(words, lambda w: bound(F.transform(w, F.lower), lambda low: once(w, low)))
 
 
 def matcher_key(word: Column) -> Column:
@@ -65,9 +70,13 @@ def matcher_key(word: Column) -> Column:
 def new_keywords(proposed: Column, current: Column, name: Column, slug: Column) -> Column:
     """Proposed keywords of 2 to 100 characters that say something new."""
     taken = F.array_append(F.array_append(F.transform(current, matcher_key), matcher_key(name)), matcher_key(slug))
-    fresh = F.filter(clean_keywords(proposed), lambda w: F.length(w).between(2, 100) & ~F.array_contains(taken, matcher_key(w)))
-    keys = F.transform(fresh, matcher_key)
-    return F.filter(fresh, lambda w, i: F.array_position(keys, matcher_key(w)) == i + 1)
+    keyed = F.transform(clean_keywords(proposed), lambda w: F.struct(w.alias("w"), matcher_key(w).alias("k")))
+    fresh = bound(taken, lambda known: F.filter(keyed, lambda p: F.length(p["w"]).between(2, 100) & ~F.array_contains(known, p["k"])))
+
+    def once(fresh: Column, keys: Column) -> Column:
+        return F.transform(F.filter(fresh, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["w"])
+
+    return bound(fresh, lambda f: bound(F.transform(f, lambda p: p["k"]), lambda keys: once(f, keys)))
 
 
 def slugify(text: Column) -> Column:
