@@ -164,3 +164,24 @@ def test_change_log_as_a_sink(spark, tmp_path):
     got = {r["k"]: r["a"] for r in G.read(spark, path, ["k"], "at").collect()}
     assert got == {k: f"v{min(k, 2)}" for k in range(10) if k != 4}
     assert G.checkpoint(spark, path, ["k"], "at") == DAY(0)
+
+
+def test_one_answer_of_a_session_travels(spark, tmp_path):
+    """Answers are not rows: the plan makes none of them, and repeated sessions are one."""
+    answers = "array<struct<brand:int,site:string,place:int,status:int>>"
+    rows = [
+        (1, 2, [(1, "a", 1, 200), (2, "b", 2, 500)]),  # its own brand first
+        (2, None, [(1, "a", 1, 404), (3, "c", 3, 200), (2, "b", 2, 404)]),
+        (3, 1, [(1, "a", 1, 404)]),
+        (4, 9, [(2, "b", 2, 200)]),
+        (4, 9, [(1, "a", 1, 200), (9, "z", 9, 404)]),
+        (5, 1, []),
+    ]
+    got = U.found_at(spark.createDataFrame(rows, f"session int, known int, answers {answers}"))
+    assert {tuple(x) for x in got.collect()} == {(1, None, "error"), (2, "c", "found"), (3, None, "missing"), (4, "a", "found"), (5, None, "missing")}
+    spark.range(90).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(25).selectExpr("cast(id AS int) AS n_nationkey", "concat('n', id) AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    from threadmill import sync_queries
+
+    out = sync_queries.resync_found(spark, str(tmp_path))
+    assert out.count() == 90 and "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()

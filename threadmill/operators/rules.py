@@ -118,12 +118,19 @@ def found_at(probes: DataFrame) -> DataFrame:
     """session, site and outcome of looking for each session: at its known brand first,
     then at the others in order.
 
-    probes: session, brand, site, place, known (the session's brand, or null) and status
-    (what the site answers).  Sites that do not have it (404) are passed over, any
-    other error ends the search: ``found``, ``error`` or ``missing`` (site null).
+    probes: session, known (the session's brand, or null) and answers, an array of
+    structs of brand, site, place and status (what the site answers).  Sites that do
+    not have it (404) are passed over, any other error ends the search: ``found``,
+    ``error`` or ``missing`` (site null).  A session's probes may be several rows; the
+    first answer of each is found where the row is, so one travels.
     """
-    order = F.struct((~F.coalesce(F.col("brand") == F.col("known"), F.lit(False))).alias("other"), "place")
-    answers = probes.groupBy("session").agg(F.min(F.when(F.col("status") != 404, F.struct(order.alias("o"), "site", "status"))).alias("a"))
+
+    def known_first(a: Column) -> Column:
+        other = ~F.coalesce(a["brand"] == F.col("known"), F.lit(False))
+        return F.struct(F.struct(other.alias("other"), a["place"].alias("place")).alias("o"), a["site"].alias("site"), a["status"].alias("status"))
+
+    first = F.array_min(F.transform(F.filter("answers", lambda a: a["status"] != 404), known_first))
+    answers = probes.select("session", first.alias("a")).groupBy("session").agg(F.min("a").alias("a"))
     outcome = F.when(F.col("a").isNull(), "missing").when(F.col("a.status") == 200, "found").otherwise("error")
     return answers.select("session", F.when(outcome == "found", F.col("a.site")).alias("site"), outcome.alias("outcome"))
 

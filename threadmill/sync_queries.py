@@ -120,11 +120,16 @@ o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY coalesce(brand
 SELECT s.session, CASE WHEN status = 200 THEN site END AS site, CASE WHEN status IS NULL THEN 'missing' WHEN status = 200 THEN 'found' ELSE 'error' END AS outcome FROM (SELECT DISTINCT session FROM a) s LEFT JOIN o ON o.session = s.session AND n = 1""")
 def resync_found(spark, d):
     """Where each session is found again, by what the sites answer."""
-    k, b = F.col("o_orderkey"), F.col("n_nationkey")
-    nations = read(spark, d, "nation").select("n_nationkey", "n_name")
-    answers = read(spark, d, "orders").select(k, "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n_nationkey")).join(F.broadcast(nations), "n_nationkey")
-    status = F.when((k * 7 + b * 11) % 37 == 0, 200).when((k + b) % 61 == 0, 500).otherwise(404)
-    probes = answers.select(k.alias("session"), b.alias("brand"), F.col("n_name").alias("site"), b.alias("place"), F.when(k % 4 != 0, F.col("o_custkey") % 25).alias("known"), status.alias("status"))
+    k = F.col("o_orderkey")
+    sites = read(spark, d, "nation").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("brand"), F.col("n_name").alias("site"))).alias("sites")).where(F.size("sites") > 0)
+
+    def answer(s):
+        b = s["brand"]
+        status = F.when((k * 7 + b * 11) % 37 == 0, 200).when((k + b) % 61 == 0, 500).otherwise(404)
+        return F.struct(b.alias("brand"), s["site"].alias("site"), b.alias("place"), status.alias("status"))
+
+    known = F.when(k % 4 != 0, F.col("o_custkey") % 25)
+    probes = read(spark, d, "orders").crossJoin(F.broadcast(sites)).select(k.alias("session"), known.alias("known"), F.transform("sites", answer).alias("answers"))
     return U.found_at(probes)
 
 
