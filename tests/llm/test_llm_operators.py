@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadmill.llm import components, mixing, neardup_texts, neardup_vectors, quality, queries, sharding, suffix_dedup, toxicity, transducer, warc, wordpieces
+from threadmill.llm import components, mixing, neardup_texts, neardup_vectors, quality, queries, sharding, shared, suffix_dedup, toxicity, transducer, warc, wordpieces
 from threadmill.llm.textbatch import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -167,6 +167,17 @@ def test_no_vectors(spark):
     assert neardup_vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    def left() -> int:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = left()
+    table = shared.written(df.repartition(3, "k"))
+    assert left() <= before and table.count() == 7
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)]
     star = [(100, 100 + i) for i in range(1, 30)]
