@@ -202,3 +202,18 @@ def test_vectors_without_a_direction(spark, tmp_path):
     assert [r["key"] for r in sorted(got, key=lambda r: r["place"]) if r["query"] == 104] == [4, 104]
     V.build(df.limit(0), "id", "v", f"{tmp_path}/b")
     assert V.topk(spark, f"{tmp_path}/b", df, "id", "v", 4, 2).count() == 0
+
+
+def test_words_of_a_slice_are_held_as_numbers():
+    """A million words in 200 texts: their strings alone would take 50 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"w{i % 997}" for i in range(5000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([text] * 200)], ["doc", "text"])
+    tracemalloc.start()
+    rows = list(X._invert(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r.num_rows for r in rows) == 997 and peak < 60e6

@@ -89,7 +89,7 @@ def _packed(terms: pa.Array, start: np.ndarray, docs: pa.Array, first: np.ndarra
     """Postings as rows: terms begin at start among the documents, documents at first
     among the positions.  Of positions the steps are kept."""
     counts = np.diff(np.append(first, len(at)))
-    steps = np.diff(at, prepend=0)
+    steps = np.diff(at, prepend=at.dtype.type(0))
     steps[first] = at[first]
     cuts, ends = np.append(start, len(first)), np.append(first, len(at))
     n_docs = pa.array([_planes(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
@@ -100,31 +100,33 @@ def _packed(terms: pa.Array, start: np.ndarray, docs: pa.Array, first: np.ndarra
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each term of some whole texts: its documents and its positions in each."""
 
-    def row(docs: list, texts: list[list[str]]) -> pa.RecordBatch:
-        sizes = np.array([len(t) for t in texts])
-        coded = pa.array(itertools.chain.from_iterable(texts), pa.string(), size=int(sizes.sum())).dictionary_encode()
-        code, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
-        at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    def row(docs: list, codes: list[np.ndarray], terms: dict[str, int]) -> pa.RecordBatch:
+        sizes = np.array([len(c) for c in codes])
+        doc = np.repeat(np.arange(len(codes), dtype=np.int32), sizes)
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        code = np.concatenate(codes)
         order = np.argsort(code, kind="stable")  # documents and positions stay in order
         code, doc, at = code[order], doc[order], at[order]
+        del order
         first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
         start = np.flatnonzero(np.append(True, code[first][1:] != code[first][:-1]))
-        return _packed(coded.dictionary.take(pa.array(code[first][start])), start, pa.array(docs).take(pa.array(doc[first])), first, at)
+        return _packed(pa.array(list(terms), pa.string()), start, pa.array(docs).take(pa.array(doc[first])), first, at)
 
-    docs, texts, chars = [], [], 0
+    # Words are numbers from the start: a slice holds each of its terms once.
+    docs, codes, terms, chars = [], [], {}, 0
     for batch in batches:
         for doc, text in zip(batch["doc"], batch["text"]):
             found = terms_of(text.as_py() or "")
             if not found:
                 continue
             docs.append(doc.as_py())
-            texts.append(found)
+            codes.append(np.fromiter((terms.setdefault(t, len(terms)) for t in found), np.int32, len(found)))
             chars += sum(map(len, found))
             if chars >= SLICE_CHARS:
-                yield row(docs, texts)
-                docs, texts, chars = [], [], 0
+                yield row(docs, codes, terms)
+                docs, codes, terms, chars = [], [], {}, 0
     if docs:
-        yield row(docs, texts)
+        yield row(docs, codes, terms)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
