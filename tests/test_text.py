@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import desk as D
 from threadmill.functions import text as T
+from threadmill.operators import forum as W
 
 REDACTED = [
     ("mail bob@shop.io now", "mail [EMAIL] now"),
@@ -111,3 +112,20 @@ def test_keywords_are_worked_out_once_for_each_row(spark):
     out = df.select(D.new_keywords(F.col("words"), F.col("current"), F.col("name"), F.col("slug")).alias("new"))
     assert out.first()["new"] == ["Shop", "new one"]
     assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 4
+
+
+def test_short_cuts_of_topic_rows(spark):
+    """What cannot be in a text is not searched for, and nothing else changes."""
+    given = ["a &amp; b", "&amp;lt;x", "A&NBSP;&#65;&#x42; &quot;", "a & b; c", "&amp;#39;", "&lt", "", None]
+    df = spark.createDataFrame([(x,) for x in given], "t string")
+    out = df.select(T.decode_entities(F.col("t")).alias("d"))
+    assert [r["d"] for r in out.collect()] == ["a & b", "<x", 'A AB "', "a & b; c", "'", "&lt", "", None]
+    assert ", ;)" in out._jdf.queryExecution().analyzed().toString()
+    rows = ["x [RESOLVED] y", '<i class="a Resolved b">', '<i title="This is resolved">', '<i title="Not resolved">', "resolved", "İ unsolved", None]
+    marks = spark.createDataFrame([(x,) for x in rows], "t string").select(D.unnamed_posts_resolved(F.col("t")).alias("m"))
+    assert [r["m"] for r in marks.collect()] == [True, True, True, False, False, False, False]
+    assert "contains(lower(" in marks._jdf.queryExecution().analyzed().toString().lower()
+    counts = ["1,204", "<b>1</b>&#50;", "&nbsp;7 replies", "none", ""]
+    page = "".join(f'<ul id="bbp-topic-{i}"><a href="https://wordpress.org/support/topic/t{i}/">T</a><li class="bbp-topic-reply-count">{n}</li></ul>' for i, n in enumerate(counts))
+    got = W.listing_rows(spark.createDataFrame([(1, page)], "k int, html string"), "k", "html").orderBy("place").collect()
+    assert [r["replies"] for r in got] == [1204, 12, 7, None, None]

@@ -218,7 +218,8 @@ def unnamed_posts_resolved(fragment: Column) -> Column:
     classes = F.array_join(F.regexp_extract_all(fragment, F.lit(r"""(?i)class=["']([^"']*)["']"""), F.lit(1)), " ")
     titles = F.regexp_extract_all(fragment, F.lit(r"""(?i)(?:title|aria-label)=["']([^"']*)["']"""), F.lit(1))
     says = F.exists(titles, lambda t: t.rlike(r"(?i)(?<![a-z])resolved") & ~t.rlike(r"(?i)(?<![a-z])not\s+(?:a\s+)?resolved"))
-    return F.coalesce(fragment.rlike(r"(?i)\[resolved\]") | F.concat(F.lit(" "), classes, F.lit(" ")).rlike(r"(?i)\sresolved\s") | says, F.lit(False))
+    marked = F.coalesce(fragment.rlike(r"(?i)\[resolved\]") | F.concat(F.lit(" "), classes, F.lit(" ")).rlike(r"(?i)\sresolved\s") | says, F.lit(False))
+    return F.when(F.contains(F.lower(fragment), F.lit("resolved")), marked).otherwise(False)
 
 
 def transcript(title: Column, resolved: Column, posts: Column) -> Column:

@@ -22,7 +22,7 @@ def listing_rows(pages: DataFrame, key: str, html: str, host: str = T.FORUM_HOST
         "place",
         T.canonical_topic(F.regexp_extract("row", link, 1), host).alias("url"),
         F.regexp_replace(plain(F.regexp_extract("row", link, 2)), r"(?i)\A\[\s*resolved\s*\]\s*", "").alias("title"),
-        F.regexp_replace(plain(replies), "[^0-9]", "").try_cast("int").alias("replies"),
+        T.bound(replies, lambda n: F.regexp_replace(F.when(n.rlike("[<&]"), plain(n)).otherwise(n), "[^0-9]", "").try_cast("int")).alias("replies"),
         D.unnamed_posts_resolved(F.col("row")).alias("resolved"),
         opening.rlike(r'(?i)class="[^"]*(?<![A-Za-z0-9_])sticky(?![A-Za-z0-9_])').alias("sticky"),
     ).where("url is not null")
