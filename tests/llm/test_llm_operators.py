@@ -459,6 +459,20 @@ def test_jaccard_of_a_crowded_passage_and_a_large_cluster(spark, percent):
     assert got == jaccard_components(texts, 4, percent)
 
 
+def test_shingles_move_once_to_be_counted(spark, monkeypatch):
+    """Also where no side of a join may be broadcast."""
+    plans, keep = {}, neardup_texts.written
+    monkeypatch.setattr(neardup_texts, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or keep(df, name))
+    monkeypatch.setattr(neardup_texts, "BROADCAST_ROWS", -1)
+    r = random.Random(4)
+    passage = prose(r, 40, 5000)
+    texts = [f"{prose(r, r.randrange(5, 60), 5000)} {passage} {prose(r, r.randrange(0, 30), 5000)}" for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup_texts.near_duplicates(docs, words=4, percent=70).collect()}
+    assert got == jaccard_components(texts, 4, 70)
+    assert "dup-elements" not in plans and plans["dup-early"].count("hashpartitioning(item") == 1
+
+
 # 8. Piece encoding
 
 
@@ -546,6 +560,17 @@ def test_passages_against_brute_force(docs, texts, monkeypatch, crowd, length):
         assert (bytes(x["kept"]), [(a["start"], a["end"]) for a in x["removed"]]) == want[x["doc_id"]][0], x["doc_id"]
 
 
+@pytest.mark.parametrize("rounds", [2, 3])
+def test_contexts_stand_on_disk_one_round_at_a_time(docs, texts, monkeypatch, rounds):
+    names, keep = [], suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: names.append(name) or keep(df, name))
+    monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds)
+    want = cleaned(list(enumerate(texts)), 50)
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert all(bytes(x["kept"]) == want[x["doc_id"]][0][0] for x in got) and len(got) == len(texts)
+    assert names.count("rep-round") == rounds
+
+
 def test_column_sort_against_brute_force():
     r = np.random.default_rng(0)
     symbols = r.integers(0, 2, (200, 14)).astype(np.int16)

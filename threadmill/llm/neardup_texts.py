@@ -26,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     left = written(_near(rooted, apart, "sig", apart.count(), "left_semi").select("rid", "root").distinct(), "dup-left")
     n_left = left.count()
     if n_left:
-        compare.add(_rare_pairs(texts_of(left, n_left), words, percent))
+        compare.add(_rare_pairs(texts_of(left.select("rid"), n_left), _near(reps.select("rid", "n"), left, "rid", n_left), n_left, words, percent))
 
     roots = _near(reps, compare.roots(), "rid", n_reps)
     lows = roots.groupBy("root").agg(F.min("low").alias("top"))
@@ -337,28 +337,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return out.select(F.col("key").alias(key), *more, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
 
 
-def _rare_pairs(texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _rare_pairs(texts: DataFrame, left: DataFrame, rows: int, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of sets with different roots that can be similar by their rarest
-    shingles.  texts: text, rid, root.
+    shingles.  texts: text, rid.  left: rid, n, root of these sets, as many as ``rows``.
 
     The order is by the number of these sets that have a shingle.  A shingle at
     place i of a set of n leaves an overlap of n - i at most, and a similar set of m
-    needs (n + m) p / (100 + p), so m is ``most`` at most.
+    needs (n + m) p / (100 + p), so m is ``most`` at most.  Shingles move once to be
+    counted where they meet, and from there those that are not alone to their sets.
     """
     spark = texts.sparkSession
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, root = np.asarray(batch["rid"]), np.asarray(batch["root"])
+            rid = np.asarray(batch["rid"])
             for s in slices(batch["text"]):
-                h, of, size = shingle_sets(s, words)
-                at = s.first + of
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[at], root[at], size[of].astype(np.int64), h.view(np.int64))], ["rid", "root", "n", "item"])
+                h, of, _ = shingle_sets(s, words)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[s.first + of]), pa.array(h.view(np.int64))], ["rid", "item"])
         tidy()
 
-    every = written(texts.mapInArrow(items, "rid bigint, root bigint, n bigint, item bigint"), "dup-elements")
-    common = written(every.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "dup-common")
-    own = _near(every, common, "item", common.count()).groupBy("rid", "root", "n").agg(F.sort_array(F.collect_set(F.struct("df", "item"))).alias("common"))
+    every = texts.mapInArrow(items, "rid bigint, item bigint")
+    common = every.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("item"))).where("df > 1")
+    common = common.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("df", "item"))).alias("common"))
+    own = _near(common, left, "rid", rows)
     own = own.withColumn("alone", F.col("n") - F.size("common"))
     reach = F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("alone")
     early = own.where(reach > 0).select("rid", "root", "n", "alone", F.posexplode(F.slice("common", F.lit(1), reach.cast("int"))).alias("place", "one"))

@@ -19,6 +19,7 @@ files; a task streams through them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,9 @@ CROWD = 200_000
 PACK = 1 << 18
 BUCKET = 1 << 17
 BROADCAST_ROWS = 1_000_000
+#: Minimizers are dealt to so many rounds by their hash, so that only one round's
+#: contexts stand on disk beside the texts they were cut from.
+ROUNDS = 2
 _CHUNK = 30_000
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -189,8 +193,6 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k:
     release(spark)
 
     # What surrounds each occurrence.
-    lists = marks.groupBy("tid").agg(F.collect_list(F.struct("h", "pos", "n")).alias("marks"))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks_ = batch["marks"]
@@ -214,8 +216,6 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k:
                     yield pa.RecordBatch.from_arrays([pa.array(h[i:j]), pa.array(count[i:j]), pa.array(tid[s.first + r]), pa.array(ord_[s.first + r]), pa.array(pos[i:j]), pa.array(lead.astype(np.int32)), ctx], ["h", "n", "tid", "ord", "pos", "lead", "ctx"])
         tidy()
 
-    near = firsts.join(lists, "tid").select("tid", "back", "text", "marks").mapInArrow(cut, "h bigint, n bigint, tid bigint, ord bigint, pos int, lead int, ctx binary")
-
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
             h, doc, pos, lead = (np.asarray(table[c]) for c in ("h", "ord", "pos", "lead"))
@@ -227,11 +227,20 @@ def find_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, k:
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(table["tid"])[hit]), pa.array(start), pa.array(end)], ["tid", "start", "end"])
         tidy()
 
-    few = near.where(F.col("n") <= CROWD).repartition("h").sortWithinPartitions("h")
-    spans = few.select("h", "tid", "ord", "pos", "lead", "ctx").mapInArrow(sort, "tid bigint, start bigint, end bigint")
+    def contexts(some: DataFrame) -> DataFrame:
+        lists = some.groupBy("tid").agg(F.collect_list(F.struct("h", "pos", "n")).alias("marks"))
+        return firsts.join(lists, "tid").select("tid", "back", "text", "marks").mapInArrow(cut, "h bigint, n bigint, tid bigint, ord bigint, pos int, lead int, ctx binary")
+
+    each = []
+    for i in range(ROUNDS):
+        few = contexts(marks.where((F.col("n") <= CROWD) & (F.pmod("h", F.lit(ROUNDS)) == i))).repartition("h").sortWithinPartitions("h")
+        few = few.select("h", "tid", "ord", "pos", "lead", "ctx").mapInArrow(sort, "tid bigint, start bigint, end bigint")
+        each.append(written(few, "rep-round"))
+    spans = reduce(DataFrame.unionByName, each)
     # marks holds counts, so whether there is anything crowded is known without the texts.
-    if not marks.where(F.col("n") > CROWD).isEmpty():
-        spans = spans.unionByName(_crowded(near.where(F.col("n") > CROWD), length))
+    crowd = marks.where(F.col("n") > CROWD)
+    if not crowd.isEmpty():
+        spans = spans.unionByName(_crowded(contexts(crowd), length))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Overlapping and adjacent spans of each text as one."""
